@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,6 +44,15 @@ def lookup(col: Column, values: Mapping[str, object], default) -> Column:
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside a lambda an outer expression is evaluated again for every element; a
+    lambda variable is not.
+    """
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def string_array(values) -> Column:
     """Constant array<string>, typed even when empty."""
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")

@@ -5,12 +5,10 @@ Everything happens inside the row, so tagging adds no shuffle to the scan.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import string_array
+from murmur.functions.exprs import bind, string_array
 from murmur.sources.dictionary import Dictionary
 
 CASHTAG = r"(?U)\$([A-Za-z][A-Za-z.]{0,5})\b"
@@ -32,47 +30,24 @@ def bare_symbols(text: Column, d: Dictionary) -> Column:
     return F.array_distinct(F.filter(found, lambda s: s.isin(allowed)))
 
 
-def _word_count(phrase: str) -> int:
-    return len(re.findall(r"\w+", phrase))
-
-
 def alias_symbols(text: Column, d: Dictionary) -> Column:
     """Symbols whose alias phrase occurs between word boundaries, longest phrase first.
 
-    The text is cut into words, each with the separator that follows it. A phrase of
-    ``k`` words matches exactly where ``k`` neighbouring pieces, less the last
-    separator, equal it. That is one hash lookup per word and phrase length instead
-    of one regular expression per alias.
+    A plain substring test rules out nearly all phrases; only phrases that occur at
+    all are tested with their word boundaries.
     """
     if not d.aliases:
         return string_array([])
-    pieces = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+\W*"), F.lit(0))
-    by_length: dict[int, list[str]] = {}
-    for phrase, _ in d.aliases:
-        by_length.setdefault(_word_count(phrase), []).append(phrase)
-    hits = []
-    for k, phrases in sorted(by_length.items()):
-        starts = F.when(F.size(pieces) >= k, F.sequence(F.lit(1), F.size(pieces) - (k - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        if k == 1:
-            grams = pieces
-        else:
-            grams = F.transform(starts, lambda i, k=k: F.array_join(F.slice(pieces, i, F.lit(k)), ""))
-        stripped = F.transform(grams, lambda g: F.regexp_replace(g, r"(?U)\W+$", ""))
-        hits.append(F.array_distinct(F.filter(stripped, lambda g, p=phrases: g.isin(p))))
-    matched = F.concat(*hits)
-    # Matches are few; each is turned into (rank, symbol) through a constant map.
-    entries = {}
-    for rank, (phrase, symbol) in enumerate(d.aliases):
-        entries.setdefault(phrase, []).append((rank, symbol))
-    pairs = [
-        (F.lit(phrase), F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(s).alias("symbol")) for r, s in items]))
-        for phrase, items in entries.items()
-    ]
-    table = F.create_map(*[c for pair in pairs for c in pair])
-    ranked = F.flatten(F.transform(matched, lambda m: table[m]))
-    return F.array_distinct(F.transform(F.array_sort(ranked), lambda e: e["symbol"]))
+    table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(s).alias("symbol")) for p, s in d.aliases])
+
+    def occurs(low: Column, e: Column) -> Column:
+        bounded = F.concat(F.lit(r"(?U)\b\Q"), e["phrase"], F.lit(r"\E\b"))
+        return F.contains(low, e["phrase"]) & F.regexp_like(low, bounded)
+
+    return bind(
+        F.lower(text),
+        lambda low: F.array_distinct(F.transform(F.filter(table, lambda e: occurs(low, e)), lambda e: e["symbol"])),
+    )
 
 
 def extract_tickers(text: Column, d: Dictionary) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import fixed_values as fv
-from murmur.functions.exprs import lookup
+from murmur.functions.exprs import bind, lookup
 from murmur.functions.stats import influence_weight, sentiment_label
 
 _NEGATED = r"(?U)\b(" + "|".join(fv.NEGATOR_WORDS) + r")\s+(\w+\s+){0,2}$"
@@ -35,23 +35,28 @@ def lexicon_raw(text: Column, bull=fv.BULL_PHRASES, bear=fv.BEAR_PHRASES) -> Col
     hit ``i`` is rebuilt from at most ``span`` parts, enough for the 30 characters
     that matter, so long texts with many hits stay linear.
     """
-    padded = F.concat(F.lit(" "), F.lower(text), F.lit(" "))
     shortest = min(len(p) for p in [*bull, *bear])
     span = fv.PREFIX_CHARS // shortest + 2
-    present = F.filter(_phrase_table(bull, bear), lambda e: F.contains(padded, e["phrase"]))
 
-    def phrase_score(e: Column) -> Column:
-        parts = F.split(padded, F.concat(F.lit("\\Q"), e["phrase"], F.lit("\\E")))
-
-        def hit(i: Column) -> Column:
-            first = F.greatest(F.lit(1), i - (span - 1))
-            before = F.array_join(F.slice(parts, first, i - first + 1), e["phrase"])
-            return _hit_factor(F.substring(before, -fv.PREFIX_CHARS, fv.PREFIX_CHARS))
-
-        hits = F.sequence(F.lit(1), F.size(parts) - 1)
-        return F.aggregate(hits, F.lit(0.0), lambda acc, i: acc + e["weight"] * hit(i))
-
-    return F.aggregate(present, F.lit(0.0), lambda acc, e: acc + phrase_score(e))
+    def hit(parts: Column, e: Column, i: Column) -> Column:
+        first = F.greatest(F.lit(1), i - (span - 1))
+        before = F.call_function("array_join", F.slice(parts, first, i - first + 1), e["phrase"])
+        return bind(F.substring(before, -fv.PREFIX_CHARS, fv.PREFIX_CHARS), _hit_factor)
+
+    def phrase_score(padded: Column, e: Column) -> Column:
+        quoted = F.concat(F.lit("\\Q"), e["phrase"], F.lit("\\E"))
+        return bind(
+            F.split(padded, quoted),
+            lambda parts: F.aggregate(
+                F.sequence(F.lit(1), F.size(parts) - 1), F.lit(0.0), lambda acc, i: acc + e["weight"] * hit(parts, e, i)
+            ),
+        )
+
+    def total(padded: Column) -> Column:
+        present = F.filter(_phrase_table(bull, bear), lambda e: F.contains(padded, e["phrase"]))
+        return F.aggregate(present, F.lit(0.0), lambda acc, e: acc + phrase_score(padded, e))
+
+    return bind(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), total)
 
 
 def lexicon_score(text: Column, **lexicon) -> Column:
