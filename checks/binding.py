@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.session import spread
 from murmur.sources.dictionary import Dictionary
 
 NOW = datetime(2024, 1, 30, 18, 0, 0, tzinfo=timezone.utc)
@@ -43,7 +44,8 @@ ENTITIES_SQL = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     reader = spark.read.schema(EVENTS) if name == "events" else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    df = reader.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def posts_from(events: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import string_array
+from murmur.functions.exprs import bind, string_array
 from murmur.functions.fixed_values import STOPWORDS
 
 # Normalised texts below this length are never fingerprinted.
@@ -42,9 +42,10 @@ def vocab_tokens(text: Column, stopwords=STOPWORDS) -> Column:
 
 def unigrams_and_bigrams(tokens: Column) -> Column:
     """All words plus all pairs of neighbouring words."""
-    pairs = F.zip_with(
-        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda a, b: F.concat_ws(" ", a, b),
-    )
-    return F.concat(tokens, F.when(F.size(tokens) > 1, pairs).otherwise(string_array([])))
+
+    def both(t: Column) -> Column:
+        n = F.greatest(F.size(t) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(t, F.when(F.size(t) > 1, pairs).otherwise(string_array([])))
+
+    return bind(tokens, both)

@@ -26,9 +26,8 @@ MIN_POSTS = 50
 
 def vector_terms(text: Column) -> Column:
     """Words of two or more characters and their bigrams; texts without any give ``empty``."""
-    joined = F.array_join(vocab_tokens(text), " ")
-    words = F.regexp_extract_all(F.when(joined == "", F.lit("empty")).otherwise(joined), F.lit(r"\w\w+"), F.lit(0))
-    return unigrams_and_bigrams(words)
+    joined = F.coalesce(F.nullif(F.array_join(vocab_tokens(text), " "), F.lit("")), F.lit("empty"))
+    return unigrams_and_bigrams(F.regexp_extract_all(joined, F.lit(r"\w\w+"), F.lit(0)))
 
 
 def vocabulary(docs: DataFrame, max_features: int = 4000, min_df: int = 2) -> DataFrame:
@@ -168,18 +167,19 @@ def pick_labels(scores: DataFrame, top_n: int = 6) -> DataFrame:
 
     Every round takes the best remaining term of each topic with a plain aggregation,
     so no topic's vocabulary is ever gathered in one task and no candidate is cut
-    off. The scores are written once and scanned ``top_n`` times.
+    off. The scores are written once and scanned ``top_n`` times; each round joins them
+    with one short list per topic.
     """
     ranked = materialize(scores.select("topic_id", "term", F.round("score", 12).alias("score")), "label-scores")
     picks = ranked.select("topic_id").distinct().withColumn("terms", F.array().cast("array<string>"))
     for _ in range(top_n):
-        open_terms = ranked.join(picks, "topic_id").filter(
-            ~F.exists("terms", lambda p: F.contains(p, F.col("term")) | F.contains(F.col("term"), p))
-        )
-        best = open_terms.groupBy("topic_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "term"))["term"].alias("term"))
-        picks = picks.join(best, "topic_id", "left").select(
-            "topic_id",
-            F.when(F.col("term").isNull(), F.col("terms")).otherwise(F.concat("terms", F.array("term"))).alias("terms"),
+        taken = F.exists("terms", lambda p: F.contains(p, F.col("term")) | F.contains(F.col("term"), p))
+        best = F.min(F.when(~taken, F.struct((-F.col("score")).alias("s"), "term")))["term"]
+        picks = (
+            ranked.join(picks, "topic_id")
+            .groupBy("topic_id")
+            .agg(best.alias("term"), F.first("terms").alias("terms"))
+            .select("topic_id", F.array_compact(F.concat("terms", F.array("term"))).alias("terms"))
         )
     return picks
 

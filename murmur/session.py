@@ -55,3 +55,13 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """Spread a scan over all cores when it has fewer partitions than cores.
+
+    Meant for text-heavy work on few unsplittable files; a scan that already has a
+    partition per core, as any large one has, is returned unchanged.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
