@@ -44,6 +44,16 @@ def lookup(col: Column, values: Mapping[str, object], default) -> Column:
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
+def round_to(col: Column, digits: int) -> Column:
+    """Round the binary value, halves away from zero.
+
+    ``F.round`` rounds the shortest decimal text of a double instead, which turns
+    values just below a half into halves.
+    """
+    scale = float(10**digits)
+    return F.round(col * scale, 0) / scale
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import fixed_values as fv
-from murmur.functions.exprs import HOUR_US, floor_div, micros, to_utc, ts_lit
+from murmur.functions.exprs import HOUR_US, floor_div, micros, round_to, to_utc, ts_lit
 from murmur.operators.asof import asof_join
 from murmur.operators.trends import cell_sums, derive_metrics, full_hours_ago, hours_ago, mentions, window_stats
 
@@ -133,7 +133,7 @@ def forward_returns(
     )
     slack = int(max_gap_hours / 2 * HOUR_US)
     # A zero base price counts as missing.
-    ret = F.round((F.try_divide(F.col("p.close"), F.nullif("base", F.lit(0.0))) - 1) * 100, 3)
+    ret = round_to((F.try_divide(F.col("p.close"), F.nullif("base", F.lit(0.0))) - 1) * 100, 3)
     elapsed = F.unix_micros("last_ts") >= F.unix_micros("p.at") - slack
     scored = (
         per_event.join(last, "ticker", "left")
@@ -158,9 +158,9 @@ def summarize(returns: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataF
     stats = counted.groupBy("horizon").agg(
         total.alias("n"),
         (total - moved_n).alias("flat"),
-        F.round(F.try_divide(up_n, moved_n), 3).alias("win_rate"),
-        F.round(F.round(F.sum(F.col("ret") * F.col("c")), 6) / total, 3).alias("avg"),
-        F.round(F.percentile("ret", 0.5, F.col("c")), 3).alias("median"),
+        round_to(F.try_divide(up_n, moved_n), 3).alias("win_rate"),
+        round_to(round_to(F.sum(F.col("ret") * F.col("c")), 6) / total, 3).alias("avg"),
+        round_to(F.percentile("ret", 0.5, F.col("c")), 3).alias("median"),
     )
     return frame.join(stats, "horizon", "left").select(
         "horizon",

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import floor_div, micros, to_utc, ts_lit
+from murmur.functions.exprs import floor_div, micros, round_to, to_utc, ts_lit
 from murmur.operators.trends import mentions
 
 MEASURES = ("mentions", "engagement", "bull", "bear", "neutral")
@@ -64,7 +64,7 @@ def bucket_series(
     cells = bucket_cells(posts, now, bucket_minutes, history_hours)
     if tickers is not None:
         cells = cells.join(tickers.select("ticker"), "ticker", "left_semi")
-    score = F.round(F.try_divide(F.round("score_sum", 6), F.col("scored")), 4).alias("sentiment_avg")
+    score = round_to(F.try_divide(round_to(F.col("score_sum"), 6), F.col("scored")), 4).alias("sentiment_avg")
     packed = cells.groupBy("ticker").agg(
         F.map_from_entries(F.collect_list(F.struct("idx", F.struct(*MEASURES, score, "platforms")))).alias("m")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import top_per_group
+from murmur.functions.exprs import round_to, top_per_group
 from murmur.functions.stats import pearson_agg
 
 MAX_LAG = 12
@@ -53,8 +53,8 @@ def align_series(buckets: DataFrame, prices: DataFrame) -> DataFrame:
             "ts",
             "close",
             "volume",
-            F.round("raw_return", 6).alias("return"),
-            F.round(F.abs("raw_return"), 6).alias("abs_return"),
+            round_to(F.col("raw_return"), 6).alias("return"),
+            round_to(F.abs("raw_return"), 6).alias("abs_return"),
             F.coalesce("mentions", F.lit(0)).alias("mentions"),
             "sentiment_avg",
         )
@@ -84,7 +84,7 @@ def lag_profile(aligned: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
         .select("ticker", "mentions", F.explode("pairs").alias("p"))
         .select("ticker", "mentions", "p.lag", "p.move")
     )
-    return rows.groupBy("ticker", "lag").agg(F.round(pearson_agg(F.col("mentions"), F.col("move")), 4).alias("r"))
+    return rows.groupBy("ticker", "lag").agg(round_to(pearson_agg(F.col("mentions"), F.col("move")), 4).alias("r"))
 
 
 def best_lag(profile: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def readout(ticker: Column, r: Column, lag: Column, lag_r: Column) -> Column:
     """One sentence about the relationship."""
     size = F.abs(lag_r)
     strength = F.when(size >= 0.5, "strong").when(size >= 0.3, "moderate").otherwise("weak")
-    two = F.round(lag_r, 2)
+    two = round_to(lag_r, 2)
     none = F.format_string("No meaningful buzz-move relationship for %s in this window.", ticker)
     lead = F.format_string(
         "Chatter tends to LEAD price moves by ~%dh (%s, r=%.2f) — social buzz has been an early signal for %s.",
@@ -117,7 +117,7 @@ def readout(ticker: Column, r: Column, lag: Column, lag_r: Column) -> Column:
         "Chatter tends to FOLLOW price moves by ~%dh (%s, r=%.2f) — the crowd is reacting to %s's tape, not predicting it.",
         -lag, strength, two, ticker,
     )
-    same = F.format_string("Buzz and price moves are concurrent for %s (%s, r=%.2f).", ticker, strength, F.round(r, 2))
+    same = F.format_string("Buzz and price moves are concurrent for %s (%s, r=%.2f).", ticker, strength, round_to(r, 2))
     return F.when(size < 0.15, none).when(lag > 0, lead).when(lag < 0, follow).otherwise(same)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import top_per_group
+from murmur.functions.exprs import round_to, top_per_group
 
 SORT_KEYS = ("mentions", "velocity", "breakout_score", "bull_bear_ratio", "share_of_voice", "engagement_weighted_score")
 
@@ -57,7 +57,7 @@ def sentiment_mix(df: DataFrame) -> DataFrame:
 def delta_badge(current: Column, previous: Column) -> Column:
     """``new``, ``·`` below one percent, or an arrow with the rounded percentage."""
     pct = (current - previous) / F.when(previous != 0, previous) * 100
-    size = F.format_string("%.0f%%", F.round(F.abs(pct), 0))
+    size = F.format_string("%.0f%%", round_to(F.abs(pct), 0))
     return (
         F.when(F.coalesce(previous, F.lit(0)) == 0, "new")
         .when(F.abs(pct) < 1, "·")

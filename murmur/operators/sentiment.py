@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import fixed_values as fv
-from murmur.functions.exprs import bind, lookup
+from murmur.functions.exprs import bind, lookup, round_to
 from murmur.functions.stats import influence_weight, sentiment_label
 
 _NEGATED = r"(?U)\b(" + "|".join(fv.NEGATOR_WORDS) + r")\s+(\w+\s+){0,2}$"
@@ -68,7 +68,7 @@ def score_posts_lexicon(posts: DataFrame, **lexicon) -> DataFrame:
     """Set score (4 decimals) and label; the label looks at the unrounded score."""
     scored = posts.withColumn("__s", lexicon_score(F.col("text"), **lexicon))
     return (
-        scored.withColumn("sentiment_score", F.round("__s", 4))
+        scored.withColumn("sentiment_score", round_to(F.col("__s"), 4))
         .withColumn("sentiment", sentiment_label(F.col("__s"), fv.LABEL_THRESHOLD))
         .drop("__s")
     )
@@ -94,7 +94,7 @@ def score_posts_model(posts: DataFrame, make_predict_fn: Callable, batch_size: i
         .otherwise("neutral")
     )
     return (
-        p.withColumn("sentiment_score", F.round(bull - bear, 4)).withColumn("sentiment", label).drop("__p")
+        p.withColumn("sentiment_score", round_to(bull - bear, 4)).withColumn("sentiment", label).drop("__p")
     )
 
 

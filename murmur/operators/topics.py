@@ -11,7 +11,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import floor_div, micros, to_utc, top_per_group, ts_lit
+from murmur.functions.exprs import floor_div, micros, round_to, to_utc, top_per_group, ts_lit
 from murmur.functions.text import unigrams_and_bigrams, vocab_tokens
 from murmur.operators.trends import mentions
 from murmur.session import materialize
@@ -170,7 +170,7 @@ def pick_labels(scores: DataFrame, top_n: int = 6) -> DataFrame:
     off. The scores are written once and scanned ``top_n`` times; each round joins them
     with one short list per topic.
     """
-    ranked = materialize(scores.select("topic_id", "term", F.round("score", 12).alias("score")), "label-scores")
+    ranked = materialize(scores.select("topic_id", "term", round_to(F.col("score"), 12).alias("score")), "label-scores")
     picks = ranked.select("topic_id").distinct().withColumn("terms", F.array().cast("array<string>"))
     for _ in range(top_n):
         taken = F.exists("terms", lambda p: F.contains(p, F.col("term")) | F.contains(F.col("term"), p))
@@ -194,8 +194,8 @@ def topic_sizes(posts: DataFrame) -> DataFrame:
         .groupBy("topic_id")
         .agg(
             F.count("*").alias("size"),
-            F.round(
-                F.coalesce(F.try_divide(F.round(F.sum("sentiment_score"), 6), F.count("sentiment_score")), F.lit(0.0)), 4
+            round_to(
+                F.coalesce(F.try_divide(round_to(F.sum("sentiment_score"), 6), F.count("sentiment_score")), F.lit(0.0)), 4
             ).alias("sentiment_avg"),
         )
     )
@@ -278,7 +278,7 @@ def normalized_points(points: DataFrame, x: str = "x", y: str = "y") -> DataFram
     for c in (x, y):
         lo, hi = F.col(f"__b.lo_{c}"), F.col(f"__b.hi_{c}")
         width = F.when(hi - lo > 0, hi - lo).otherwise(F.lit(1.0))
-        out = out.withColumn(c, F.round((F.col(c) - lo) / width, 4))
+        out = out.withColumn(c, round_to((F.col(c) - lo) / width, 4))
     return out.drop("__b")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions import fixed_values as fv
-from murmur.functions.exprs import HOUR_US, floor_div, micros, to_utc, top_per_group, ts_lit
+from murmur.functions.exprs import HOUR_US, floor_div, micros, round_to, to_utc, top_per_group, ts_lit
 from murmur.functions.stats import EPS, breakout_score, bull_bear_ratio, classify_phase, mood_label, velocity
 from murmur.operators.sentiment import post_weight, weighted_sentiment_agg
 from murmur.sources.dictionary import enrich_entities
@@ -109,11 +109,11 @@ def derive_metrics(stats: DataFrame, window_hours: int, history_hours: int) -> D
         stats.withColumn("z", z)
         .withColumn("vel", velocity(F.col("mentions"), F.col("mentions_prev"), w))
         .withColumn("phase", classify_phase(F.col("z"), F.col("vel"), F.col("mentions_prev") / F.lit(float(w)), base_mean))
-        .withColumn("velocity", F.round("vel", 4))
-        .withColumn("breakout_score", F.round("z", 3))
-        .withColumn("sentiment_avg", F.round(F.coalesce(F.try_divide("ws", "w"), F.lit(0.0)), 4))
-        .withColumn("bull_bear_ratio", F.round(bull_bear_ratio(F.col("bull"), F.col("bear")), 3))
-        .withColumn("engagement_weighted_score", F.round("log_eng", 2))
+        .withColumn("velocity", round_to(F.col("vel"), 4))
+        .withColumn("breakout_score", round_to(F.col("z"), 3))
+        .withColumn("sentiment_avg", round_to(F.coalesce(F.try_divide("ws", "w"), F.lit(0.0)), 4))
+        .withColumn("bull_bear_ratio", round_to(bull_bear_ratio(F.col("bull"), F.col("bear")), 3))
+        .withColumn("engagement_weighted_score", round_to(F.col("log_eng"), 2))
         .withColumn("sparkline", sparkline(w))
     )
 
@@ -149,7 +149,7 @@ def core_trends(
         derive_metrics(stats, window_hours, history_hours)
         .filter(F.col("mentions") >= min_mentions)
         .withColumn("window_hours", F.lit(window_hours))
-        .withColumn("share_of_voice", F.round(F.col("mentions") / (window_mentions(posts, now, window_hours) + EPS), 5))
+        .withColumn("share_of_voice", round_to(F.col("mentions") / (window_mentions(posts, now, window_hours) + EPS), 5))
         .select(
             "ticker", "window_hours", "mentions", "mentions_prev", "velocity", "breakout_score", "phase",
             "share_of_voice", "sentiment_avg", "bull", "bear", "neutral", "bull_bear_ratio", "engagement",
@@ -244,7 +244,7 @@ def market_mood(posts: DataFrame, now: datetime, window_hours: int = 24, authori
     scored = in_window(posts, now, window_hours).filter(F.col("sentiment_score").isNotNull())
     mean = weighted_sentiment_agg(post_weight(authority), F.col("sentiment_score"))
     row = scored.agg(
-        F.coalesce(F.round((mean + 1) / 2 * 100, 1), F.lit(50.0)).alias("index"),
+        F.coalesce(round_to((mean + 1) / 2 * 100, 1), F.lit(50.0)).alias("index"),
         F.count_if(F.col("sentiment") == "bull").alias("bull"),
         F.count_if(F.col("sentiment") == "bear").alias("bear"),
         F.count_if(F.col("sentiment") == "neutral").alias("neutral"),

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import to_utc
+from murmur.functions.exprs import round_to, to_utc
 from murmur.operators.trends import mentions
 from murmur.sinks.storage import partition_days
 from murmur.sources.scans import completed_buckets, completed_tagged_posts
@@ -25,7 +25,7 @@ def author_daily(posts: DataFrame, now: datetime) -> DataFrame:
     return keyed.groupBy("day", "author", "platform", "ticker").agg(
         F.count("*").alias("posts"),
         *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("bull", "bear", "neutral")],
-        F.round(F.try_divide(F.round(F.sum("sentiment_score"), 6), F.count("sentiment_score")), 6).alias("sentiment_avg"),
+        round_to(F.try_divide(round_to(F.sum("sentiment_score"), 6), F.count("sentiment_score")), 6).alias("sentiment_avg"),
     )
 
 

@@ -49,7 +49,7 @@ def merge_posts(path: str, incoming: DataFrame) -> None:
     incoming ids and of new posts are read in full and rewritten.
     """
     spark = incoming.sparkSession
-    if not exists(spark, path):
+    if not partition_days(spark, path):
         write_days(incoming, path, "ts", ["ts", "id"])
         return
     stored = read_days(spark, path)
@@ -66,7 +66,7 @@ def merge_buckets(path: str, incoming: DataFrame) -> None:
     spark = incoming.sparkSession
     live = live_buckets(incoming)
     order = ["ticker", "bucket_start"]
-    if not exists(spark, path):
+    if not partition_days(spark, path):
         write_days(live, path, "bucket_start", order)
         return
     days = [r["day"] for r in live.select(F.to_date("bucket_start").alias("day")).distinct().collect()]

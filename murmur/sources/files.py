@@ -33,7 +33,7 @@ def pick(df: DataFrame, field: str) -> Column:
 
 def _ticker_list(raw: Column) -> Column:
     listed = F.from_json(raw, "array<string>")
-    names = F.filter(F.transform(F.split(raw, ","), F.trim), lambda t: t != "")
+    names = F.filter(F.transform(F.split(raw, ","), lambda t: F.trim(t)), lambda t: t != "")
     typed = F.transform(names, lambda t: F.regexp_replace(F.upper(t), r"^\$+", ""))
     return F.when(raw.isNull(), F.array().cast("array<string>")).when(raw.startswith("["), listed).otherwise(typed)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.functions.exprs import round_to
 from murmur.functions.fixed_values import COINS
 from murmur.functions.timeparse import parse_mixed_timestamp
 from murmur.sources.dictionary import enrich_entities
@@ -26,6 +27,6 @@ def normalize_prices(raw: DataFrame) -> DataFrame:
     return raw.select(
         "ticker",
         parse_mixed_timestamp(F.col("ts")).alias("ts"),
-        *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("open", "high", "low", "close")],
+        *[round_to(F.col(c).cast("double"), 4).alias(c) for c in ("open", "high", "low", "close")],
         F.col("volume").cast("double").cast("bigint").alias("volume"),
     )

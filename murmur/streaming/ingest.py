@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import HOUR_US
+from murmur.functions.exprs import HOUR_US, round_to
 from murmur.operators.alerts import fresh_alerts
 from murmur.operators.dedup import dedupe_posts
 from murmur.sinks.storage import exists
@@ -47,7 +47,7 @@ def tumbling_buckets(posts: DataFrame, bucket: str = "1 hour", lateness: str = L
         F.col("w.start").alias("bucket_start"),
         minutes.cast("int").alias("bucket_minutes"),
         "mentions", "engagement", "bull", "bear", "neutral",
-        F.round(F.try_divide(F.round("score_sum", 6), F.col("scored")), 4).alias("sentiment_avg"),
+        round_to(F.try_divide(round_to(F.col("score_sum"), 6), F.col("scored")), 4).alias("sentiment_avg"),
         "platforms",
     )
 
@@ -66,7 +66,7 @@ def buckets_into(path: str, retention_days: int | None = None, clock: Callable |
 
     def write(batch: DataFrame, batch_id: int) -> None:
         merge_buckets(path, batch)
-        if retention_days is not None and clock is not None and exists(batch.sparkSession, path):
+        if retention_days is not None and clock is not None:
             prune_days(batch.sparkSession, path, "bucket_start", clock(), retention_days)
 
     return write
