@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.exprs import floor_div, micros, round_to, to_utc, top_per_group, ts_lit
 from murmur.functions.text import unigrams_and_bigrams, vocab_tokens
 from murmur.operators.trends import mentions
-from murmur.session import materialize
+from murmur.session import materialize, scratch_path
 
 SERIES_HOURS = 72
 SERIES_BUCKET_H = 3
@@ -73,26 +75,96 @@ def tfidf_vectors(docs: DataFrame, max_features: int = 4000, min_df: int = 2) ->
     return unit.transform(scale.transform(counts.transform(docs))).drop("__tf", "__w")
 
 
-def svd_reduce(vectors: DataFrame, k: int = 50) -> DataFrame:
-    """Replace ``features`` by its projection on the first ``k`` right singular vectors."""
-    from pyspark.ml.feature import ElementwiseProduct
-    from pyspark.ml.linalg import Vectors
-    from pyspark.mllib.common import callMLlibFunc
-    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-    from pyspark.mllib.util import MLUtils
-
-    # Row numbers must survive recomputation, so they are written out once.
-    numbered = materialize(vectors.withColumn("__row", F.monotonically_increasing_id()), "vectors")
-    old_style = MLUtils.convertVectorColumnsFromML(numbered.select("__row", "features"), "features")
-    matrix = IndexedRowMatrix(old_style.withColumnsRenamed({"__row": "index", "features": "vector"}))
-    width, height = numbered.select(F.max(F.size(_dense("features"))), F.count("*")).first()
-    k = max(2, min(k, width - 1, height - 1))
-    svd = matrix.computeSVD(k, computeU=True)
-    left = callMLlibFunc("getIndexedRows", svd.U._java_matrix_wrapper._java_model)
-    left = MLUtils.convertVectorColumnsToML(left.withColumnsRenamed({"index": "__row", "vector": "__u"}), "__u")
-    scaled = ElementwiseProduct(scalingVec=Vectors.dense(svd.s.toArray()), inputCol="__u", outputCol="features")
-    reduced = scaled.transform(left).select("__row", "features")
-    return numbered.drop("features").join(reduced, "__row").drop("__row")
+def sparse_arrays(vectors: DataFrame) -> DataFrame:
+    """Write ``features`` out and read them back as plain ``idx``/``val`` arrays."""
+    spark, path = vectors.sparkSession, scratch_path(vectors.sparkSession, "vectors")
+    vectors.write.parquet(path)
+    ddl = ", ".join(
+        f"`{f.name}` " + ("struct<type:tinyint,size:int,indices:array<int>,values:array<double>>" if f.name == "features" else f.dataType.simpleString())
+        for f in vectors.schema
+    )
+    f = F.col("features")
+    dense = F.transform(f["values"], lambda v, i: i)
+    return (
+        spark.read.schema(ddl)
+        .parquet(path)
+        .withColumn("idx", F.coalesce(f["indices"], dense))
+        .withColumn("val", f["values"])
+        .withColumn("width", F.coalesce(f["size"], F.size(f["values"])))
+        .drop("features")
+    )
+
+
+def _row_products():
+    """A function giving sparse rows (lists of index and value arrays) times a basis.
+
+    Built inside a function so that it travels to the workers by value.
+    """
+
+    def product(idx, val, basis):
+        out = np.zeros((len(idx), basis.shape[1]))
+        for i, (j, v) in enumerate(zip(idx, val)):
+            if len(j):
+                out[i] = v @ basis[j]
+        return out
+
+    return product
+
+
+def gram_product(rows: DataFrame, basis) -> DataFrame:
+    """One pass of ``X'X basis``: each task adds up its own small block, Spark adds the blocks by row.
+
+    ``basis`` has vocabulary-many rows and a few dozen columns, whatever the corpus.
+    """
+    width, p = basis.shape
+    product = _row_products()
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    names = [f"z{c}" for c in range(p)]
+
+    def block(batches):
+        q, z = shared.value, np.zeros((width, p))
+        for batch in batches:
+            y = product(batch["idx"], batch["val"], q)
+            for i, (j, v) in enumerate(zip(batch["idx"], batch["val"])):
+                z[j] += np.outer(v, y[i])
+        used = np.flatnonzero(np.abs(z).sum(axis=1))
+        yield pd.DataFrame({"j": used, **{n: z[used, c] for c, n in enumerate(names)}})
+
+    parts = rows.select("idx", "val").mapInPandas(block, "j bigint, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("j").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def svd_reduce(vectors: DataFrame, k: int = 50, passes: int = 4, oversample: int = 10, seed: int = 42) -> DataFrame:
+    """Replace ``features`` by its projection on the first ``k`` right singular vectors.
+
+    Block power iteration: ``passes`` scans of the vectors, each of which returns one
+    (vocabulary x k+oversample) block to the driver, then one row-wise projection.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    rows = sparse_arrays(vectors)
+    width, height = rows.select(F.max("width"), F.count("*")).first()
+    k = max(1, min(k, width, height))
+    p = min(width, k + oversample)
+    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, p)))
+    for step in range(passes):
+        got = gram_product(rows, basis).toPandas()
+        image = np.zeros((width, p))
+        image[got["j"].to_numpy()] = got.drop(columns="j").to_numpy()
+        if step + 1 < passes:
+            basis, _ = np.linalg.qr(image)
+    values, inner = np.linalg.eigh(basis.T @ image)
+    right = basis @ inner[:, np.argsort(values)[::-1][:k]]
+    right *= np.sign(right[np.abs(right).argmax(axis=0), np.arange(right.shape[1])])
+    shared = rows.sparkSession.sparkContext.broadcast(right)
+    product = _row_products()
+
+    @F.pandas_udf("array<double>")
+    def project(idx: pd.Series, val: pd.Series) -> pd.Series:
+        return pd.Series(list(product(idx, val, shared.value)))
+
+    reduced = rows.withColumn("features", project("idx", "val")).drop("idx", "val", "width")
+    return materialize(reduced, "reduced").withColumn("features", array_to_vector("features"))
 
 
 def _dense(column: str) -> Column:
