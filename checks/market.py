@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from checks.binding import AUTHORITY, NOW, NOW_SQL, POSTS_SQL, PRICES_SQL, posts, prices, ts_text, with_ctes
 from checks.trends import REPLAY_STEPS, ROLLING_START, TREND_SQL, bucket_sql
 from murmur.operators import asof, backtest, buckets, correlation, dashboard, trends
+from murmur.session import materialize
 
 
 def _buckets(spark, d):
-    return buckets.bucket_series(posts(spark, d), NOW)
+    """The bucket table; small next to the posts and read several times, so it is written out."""
+    return materialize(buckets.bucket_series(posts(spark, d), NOW), "series")
 
 
 def _aligned(spark, d):

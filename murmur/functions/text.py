@@ -15,13 +15,16 @@ COPYPASTE_MIN_CHARS = 80
 def normalized_tokens(text: Column) -> Column:
     """Lower-cased word and cashtag tokens without URLs, joined by single blanks."""
     bare = F.regexp_replace(F.lower(text), r"(?U)https?://\S+", " ")
-    return F.trim(F.regexp_replace(bare, r"[^a-z0-9$]+", " "))
+    # Extracting the kept characters is several times faster than replacing the others.
+    return F.array_join(F.regexp_extract_all(bare, F.lit("[a-z0-9$]+"), F.lit(0)), " ")
 
 
 def copypaste_fingerprint(text: Column, min_chars: int = COPYPASTE_MIN_CHARS) -> Column:
     """16 hex digits over the normalised text, or null for short texts."""
-    norm = normalized_tokens(text)
-    return F.when(F.length(norm) >= min_chars, F.substring(F.sha1(norm), 1, 16))
+    return bind(
+        normalized_tokens(text),
+        lambda norm: F.when(F.length(norm) >= min_chars, F.substring(F.sha1(norm), 1, 16)),
+    )
 
 
 def strip_html(html: Column) -> Column:
@@ -34,8 +37,7 @@ def vocab_tokens(text: Column, stopwords=STOPWORDS) -> Column:
     """Lower-case vocabulary words: no cashtags, URLs, digits, stopwords or short words."""
     clean = F.regexp_replace(text, r"\$[A-Za-z.]{1,6}", " ")
     clean = F.regexp_replace(clean, r"(?U)https?://\S+", " ")
-    clean = F.lower(F.regexp_replace(clean, r"[^a-zA-Z\s-]", " "))
-    words = F.split(clean, r"\s+")
+    words = F.transform(F.regexp_extract_all(clean, F.lit("[a-zA-Z-]+"), F.lit(0)), lambda w: F.lower(w))
     stop = list(stopwords)
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(stop))
 

@@ -121,11 +121,8 @@ def readout(ticker: Column, r: Column, lag: Column, lag_r: Column) -> Column:
     return F.when(size < 0.15, none).when(lag > 0, lead).when(lag < 0, follow).otherwise(same)
 
 
-def lead_lag(aligned: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
-    """Best lag per ticker; tickers without enough data get zeros and an empty profile."""
-    best = best_lag(lag_profile(aligned, max_lag))
-    all_tickers = aligned.select("ticker").distinct()
-    return all_tickers.join(best, "ticker", "left").select(
+def _with_defaults(tickers: DataFrame, best: DataFrame) -> DataFrame:
+    return tickers.join(best, "ticker", "left").select(
         "ticker",
         F.coalesce("pearson_r", F.lit(0.0)).alias("pearson_r"),
         F.coalesce("best_lag_hours", F.lit(0)).alias("best_lag_hours"),
@@ -134,6 +131,11 @@ def lead_lag(aligned: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     )
 
 
+def lead_lag(aligned: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """Best lag per ticker; tickers without enough data get zeros and an empty profile."""
+    return _with_defaults(aligned.select("ticker").distinct(), best_lag(lag_profile(aligned, max_lag)))
+
+
 def recent_series(aligned: DataFrame, rows: int = SERIES_ROWS) -> DataFrame:
     """The last rows of each aligned series."""
     return top_per_group(aligned, ["ticker"], [F.col("ts").desc()], rows)
@@ -144,12 +146,6 @@ def correlation(buckets: DataFrame, prices: DataFrame) -> DataFrame:
     aligned = align_series(buckets, prices)
     fields = ["ts", "close", "volume", "return", "abs_return", "mentions", "sentiment_avg"]
     series = recent_series(aligned).groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("series"))
-    result = buckets.select("ticker").distinct().join(lead_lag(aligned), "ticker", "left").select(
-        "ticker",
-        F.coalesce("pearson_r", F.lit(0.0)).alias("pearson_r"),
-        F.coalesce("best_lag_hours", F.lit(0)).alias("best_lag_hours"),
-        F.coalesce("best_lag_r", F.lit(0.0)).alias("best_lag_r"),
-        F.coalesce("by_lag", F.create_map().cast("map<int,double>")).alias("by_lag"),
-    )
+    result = _with_defaults(buckets.select("ticker").distinct(), best_lag(lag_profile(aligned)))
     text = readout(F.col("ticker"), F.col("pearson_r"), F.col("best_lag_hours"), F.col("best_lag_r"))
     return result.withColumn("readout", text).join(series, "ticker", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.exprs import top_per_group
-from murmur.functions.text import copypaste_fingerprint
+from murmur.functions.text import COPYPASTE_MIN_CHARS, copypaste_fingerprint, normalized_tokens
 
 
 def dedupe_posts(posts: DataFrame) -> DataFrame:
@@ -22,14 +22,15 @@ def collapse_near_duplicates(posts: DataFrame) -> DataFrame:
     windowed: copies combine inside each task first, so a campaign that holds a third
     of all rows reaches its reducer as one row per task.
     """
-    marked = posts.withColumn("__fp", copypaste_fingerprint(F.col("text")))
-    short = marked.filter(F.col("__fp").isNull()).drop("__fp")
+    norm = normalized_tokens(F.col("text"))
+    is_long = F.length(norm) >= COPYPASTE_MIN_CHARS
     rest = [c for c in posts.columns if c not in ("ts", "id", "engagement")]
     origin = F.min_by(F.struct("ts", "id", *rest), F.struct("ts", "id"))
     folded = (
-        marked.filter(F.col("__fp").isNotNull())
+        posts.withColumn("__fp", copypaste_fingerprint(F.col("text")))
+        .filter(F.col("__fp").isNotNull())
         .groupBy("__fp")
         .agg(origin.alias("o"), F.sum("engagement").alias("engagement"))
         .select(*[F.col("engagement") if c == "engagement" else F.col(f"o.{c}") for c in posts.columns])
     )
-    return short.unionByName(folded)
+    return posts.filter(~is_long).unionByName(folded)

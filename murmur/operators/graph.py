@@ -43,13 +43,14 @@ def graph_nodes(kept: DataFrame, weights: DataFrame, entities: DataFrame, min_me
     return enrich_entities(chosen.drop("linked"), entities).select(F.col("ticker").alias("id"), "name", "sector", "mentions")
 
 
-def graph_edges(weights: DataFrame, nodes: DataFrame, min_edge: int = 2, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The heaviest edges first, then the weight floor and the node test."""
-    top = weights.orderBy(F.col("weight").desc(), "source", "target").limit(max_edges).filter(F.col("weight") >= min_edge)
-    ids = nodes.select("id")
-    return top.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(
-        ids.withColumnRenamed("id", "target"), "target", "left_semi"
-    ).select("source", "target", "weight")
+def graph_edges(weights: DataFrame, min_edge: int = 2, max_edges: int = MAX_EDGES) -> DataFrame:
+    """The heaviest edges first, then the weight floor.
+
+    Both ends of an edge that passes the floor are kept tickers with a strong edge, so
+    they are nodes by definition and need no join.
+    """
+    top = weights.orderBy(F.col("weight").desc(), "source", "target").limit(max_edges)
+    return top.filter(F.col("weight") >= min_edge)
 
 
 def compute_graph(posts: DataFrame, entities: DataFrame, min_mentions: int = 5, min_edge: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -57,4 +58,4 @@ def compute_graph(posts: DataFrame, entities: DataFrame, min_mentions: int = 5,
     kept = mention_counts(posts, min_mentions)
     weights = co_mentions(posts, kept)
     nodes = graph_nodes(kept, weights, entities, min_mentions, min_edge)
-    return nodes, graph_edges(weights, nodes, min_edge)
+    return nodes, graph_edges(weights, min_edge)

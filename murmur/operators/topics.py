@@ -215,12 +215,13 @@ def cluster_term_scores(docs: DataFrame, min_count: int = 2) -> DataFrame:
     """Class-based TF-IDF: (topic_id, term, cnt, score) for words and bigrams of each topic.
 
     ``docs`` has ``topic_id`` and ``text``; topic -1 is left out. Document frequency
-    counts topics and is taken before the count floor.
+    counts topics and is taken before the count floor. The counts feed three
+    aggregates, so they are written once and the texts are cut into terms once.
     """
     rows = docs.filter(F.col("topic_id") != -1).select(
         "topic_id", F.explode(unigrams_and_bigrams(vocab_tokens(F.col("text")))).alias("term")
     )
-    counts = rows.groupBy("topic_id", "term").agg(F.count("*").alias("cnt"))
+    counts = materialize(rows.groupBy("topic_id", "term").agg(F.count("*").alias("cnt")), "term-counts")
     totals = counts.groupBy("topic_id").agg(F.sum("cnt").alias("total"))
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
     n_topics = docs.filter(F.col("topic_id") != -1).agg(F.count_distinct("topic_id")).scalar()
