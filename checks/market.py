@@ -60,9 +60,9 @@ leads as (select a.ticker, coalesce(pearson_r, 0.0) pearson_r, coalesce(best.lag
 
 READOUT_SQL = """
 case when abs(best_lag_r) < 0.15 then 'No meaningful buzz-move relationship for ' || ticker || ' in this window.'
- when best_lag_hours > 0 then 'Chatter tends to LEAD price moves by ~' || best_lag_hours || 'h (' || strength || ', r=' || printf('%.2f', round(best_lag_r, 2)) || ') — social buzz has been an early signal for ' || ticker || '.'
- when best_lag_hours < 0 then 'Chatter tends to FOLLOW price moves by ~' || (-best_lag_hours) || 'h (' || strength || ', r=' || printf('%.2f', round(best_lag_r, 2)) || ') — the crowd is reacting to ' || ticker || '''s tape, not predicting it.'
- else 'Buzz and price moves are concurrent for ' || ticker || ' (' || strength || ', r=' || printf('%.2f', round(pearson_r, 2)) || ').' end
+ when best_lag_hours > 0 then 'Chatter tends to LEAD price moves by ~' || best_lag_hours || 'h (' || strength || ', r=' || case when best_lag_r < 0 then '-' else '' end || printf('%.2f', abs(round(best_lag_r, 2))) || ') — social buzz has been an early signal for ' || ticker || '.'
+ when best_lag_hours < 0 then 'Chatter tends to FOLLOW price moves by ~' || (-best_lag_hours) || 'h (' || strength || ', r=' || case when best_lag_r < 0 then '-' else '' end || printf('%.2f', abs(round(best_lag_r, 2))) || ') — the crowd is reacting to ' || ticker || '''s tape, not predicting it.'
+ else 'Buzz and price moves are concurrent for ' || ticker || ' (' || strength || ', r=' || case when pearson_r < 0 then '-' else '' end || printf('%.2f', abs(round(pearson_r, 2))) || ').' end
 """
 
 MARKET_SQL = with_ctes(POSTS_SQL, PRICES_SQL, bucket_sql(60, ROLLING_START), ALIGN_SQL, LAG_SQL)

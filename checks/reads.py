@@ -119,7 +119,7 @@ alerts as (
   select name ticker, 'mention_spike' kind, breakout_score score, '$' || name || ' mention volume is ' || printf('%.1f', round(breakout_score, 1)) || 'σ above its trailing baseline (' || mentions || ' mentions/24h, phase: ' || phase || ').' message
     from rows_in where breakout_score >= 2.0 and mentions >= 10
   union all
-  select name, 'bearish_turn', abs(sentiment_avg), '$' || name || ' sentiment has turned decisively bearish (bull:bear ' || printf('%.2f', round(bull_bear_ratio, 2)) || ', avg ' || printf('%+.2f', round(sentiment_avg, 2)) || ').'
+  select name, 'bearish_turn', abs(sentiment_avg), '$' || name || ' sentiment has turned decisively bearish (bull:bear ' || printf('%.2f', round(bull_bear_ratio, 2)) || ', avg ' || case when sentiment_avg < 0 then '-' else '+' end || printf('%.2f', abs(round(sentiment_avg, 2))) || ').'
     from rows_in where mentions_prev >= 5 and mentions >= 5 and sentiment_avg <= -0.25 and bull_bear_ratio < 0.6
   union all
   select name, 'bullish_surge', sentiment_avg, '$' || name || ' is seeing a bullish surge (bull:bear ' || printf('%.2f', round(bull_bear_ratio, 2)) || ' on ' || mentions || ' mentions).'
@@ -164,11 +164,11 @@ lines as (
   union all select 3, 0, '- Nothing breaking out this window.' where not exists (select 1 from em)
   union all select 4, -2, '' where exists (select 1 from fa)
   union all select 4, -1, '## Fading stories' where exists (select 1 from fa)
-  union all select 4, rank, '- **$' || ticker || '** — chatter cooling (' || mentions || ' vs ' || mentions_prev || ' mentions), sentiment ' || printf('%+.2f', round(sentiment_avg, 2)) || '.' from fa
+  union all select 4, rank, '- **$' || ticker || '** — chatter cooling (' || mentions || ' vs ' || mentions_prev || ' mentions), sentiment ' || case when sentiment_avg < 0 then '-' else '+' end || printf('%.2f', abs(round(sentiment_avg, 2))) || '.' from fa
   union all select 5, -5, '' union all select 5, -4, '## Most discussed' union all select 5, -3, ''
   union all select 5, -2, '| Ticker | Mentions | Δ | Bull:Bear | Sentiment | Phase |'
   union all select 5, -1, '|---|---|---|---|---|---|'
-  union all select 5, rank, '| $' || ticker || ' | ' || mentions || ' | ' || {ARROW} || ' | ' || printf('%.1f', round(bull_bear_ratio, 1)) || ' | ' || printf('%+.2f', round(sentiment_avg, 2)) || ' | ' || phase || ' |' from vol
+  union all select 5, rank, '| $' || ticker || ' | ' || mentions || ' | ' || {ARROW} || ' | ' || printf('%.1f', round(bull_bear_ratio, 1)) || ' | ' || case when sentiment_avg < 0 then '-' else '+' end || printf('%.2f', abs(round(sentiment_avg, 2))) || ' | ' || phase || ' |' from vol
   union all select 7, -2, '' where exists (select 1 from al)
   union all select 7, -1, '## Unusual activity' where exists (select 1 from al)
   union all select 7, rank, '- ' || message from al

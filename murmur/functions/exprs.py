@@ -54,6 +54,13 @@ def round_to(col: Column, digits: int) -> Column:
     return F.round(col * scale, 0) / scale
 
 
+def fixed_text(col: Column, digits: int, signed: bool = False) -> Column:
+    """The value with a fixed number of decimals; ``signed`` always shows the sign, also of ``-0.00``."""
+    size = F.format_string(f"%.{digits}f", F.abs(round_to(col, digits)))
+    positive = F.lit("+" if signed else "")
+    return F.concat(F.when(col < 0, F.lit("-")).otherwise(positive), size)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

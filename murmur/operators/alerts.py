@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import ts_lit
+from murmur.functions.exprs import fixed_text, ts_lit
 
 
 def _alert(condition: Column, kind: str, score: Column, message: Column) -> Column:
@@ -25,15 +25,15 @@ def alert_candidates(trends: DataFrame, now: datetime) -> DataFrame:
     bearish = steady & (avg <= -0.25) & (ratio < 0.6)
     bullish = steady & ~bearish & (avg >= 0.35) & (ratio > 3.0) & (z > 1.0)
     spike_text = F.format_string(
-        "$%s mention volume is %.1fσ above its trailing baseline (%d mentions/%dh, phase: %s).",
-        F.col("ticker"), F.round(z, 1), cur, F.col("window_hours"), F.col("phase"),
+        "$%s mention volume is %sσ above its trailing baseline (%d mentions/%dh, phase: %s).",
+        F.col("ticker"), fixed_text(z, 1), cur, F.col("window_hours"), F.col("phase"),
     )
     bear_text = F.format_string(
-        "$%s sentiment has turned decisively bearish (bull:bear %.2f, avg %+.2f).",
-        F.col("ticker"), F.round(ratio, 2), F.round(avg, 2),
+        "$%s sentiment has turned decisively bearish (bull:bear %s, avg %s).",
+        F.col("ticker"), fixed_text(ratio, 2), fixed_text(avg, 2, signed=True),
     )
     bull_text = F.format_string(
-        "$%s is seeing a bullish surge (bull:bear %.2f on %d mentions).", F.col("ticker"), F.round(ratio, 2), cur
+        "$%s is seeing a bullish surge (bull:bear %s on %d mentions).", F.col("ticker"), fixed_text(ratio, 2), cur
     )
     new_text = F.format_string(
         "$%s entered the conversation from zero — %d mentions in the last window.", F.col("ticker"), cur

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import to_utc
+from murmur.functions.exprs import fixed_text, to_utc
 
 TITLE = "Market Chatter Brief"
 CLOSING = "*This brief aggregates public social chatter. Nothing here is financial advice.*"
@@ -89,9 +89,9 @@ def brief_lines(
             3,
             [],
             F.format_string(
-                "- **$%s** (%s) — %d mentions (%s vs prior window), breakout %.1fσ, bull:bear %.1f.",
+                "- **$%s** (%s) — %d mentions (%s vs prior window), breakout %sσ, bull:bear %s.",
                 "ticker", "name", "mentions", arrow(F.col("mentions"), F.col("mentions_prev")),
-                F.round("breakout_score", 1), F.round("bull_bear_ratio", 1),
+                fixed_text(F.col("breakout_score"), 1), fixed_text(F.col("bull_bear_ratio"), 1),
             ),
         ),
         emerging_tickers(trends)
@@ -103,8 +103,8 @@ def brief_lines(
             4,
             ["", "## Fading stories"],
             F.format_string(
-                "- **$%s** — chatter cooling (%d vs %d mentions), sentiment %+.2f.",
-                "ticker", "mentions", "mentions_prev", F.round("sentiment_avg", 2),
+                "- **$%s** — chatter cooling (%d vs %d mentions), sentiment %s.",
+                "ticker", "mentions", "mentions_prev", fixed_text(F.col("sentiment_avg"), 2, signed=True),
             ),
         ),
         _static(
@@ -117,9 +117,9 @@ def brief_lines(
             5,
             [],
             F.format_string(
-                "| $%s | %d | %s | %.1f | %+.2f | %s |",
+                "| $%s | %d | %s | %s | %s | %s |",
                 "ticker", "mentions", arrow(F.col("mentions"), F.col("mentions_prev")),
-                F.round("bull_bear_ratio", 1), F.round("sentiment_avg", 2), "phase",
+                fixed_text(F.col("bull_bear_ratio"), 1), fixed_text(F.col("sentiment_avg"), 2, signed=True), "phase",
             ),
         ),
         _lines(
@@ -148,7 +148,7 @@ def brief_lines(
                 F.concat(
                     F.format_string("- **%s** — %d posts", "label", "size"),
                     F.when(F.size("tickers") > 0, F.concat(F.lit(" (mostly "), names, F.lit(")"))).otherwise(F.lit("")),
-                    F.format_string(", sentiment %+.2f.", F.round("sentiment_avg", 2)),
+                    F.format_string(", sentiment %s.", fixed_text(F.col("sentiment_avg"), 2, signed=True)),
                 ),
             )
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import round_to, top_per_group
+from murmur.functions.exprs import fixed_text, round_to, top_per_group
 from murmur.functions.stats import pearson_agg
 
 MAX_LAG = 12
@@ -107,17 +107,17 @@ def readout(ticker: Column, r: Column, lag: Column, lag_r: Column) -> Column:
     """One sentence about the relationship."""
     size = F.abs(lag_r)
     strength = F.when(size >= 0.5, "strong").when(size >= 0.3, "moderate").otherwise("weak")
-    two = round_to(lag_r, 2)
+    two = fixed_text(lag_r, 2)
     none = F.format_string("No meaningful buzz-move relationship for %s in this window.", ticker)
     lead = F.format_string(
-        "Chatter tends to LEAD price moves by ~%dh (%s, r=%.2f) — social buzz has been an early signal for %s.",
+        "Chatter tends to LEAD price moves by ~%dh (%s, r=%s) — social buzz has been an early signal for %s.",
         lag, strength, two, ticker,
     )
     follow = F.format_string(
-        "Chatter tends to FOLLOW price moves by ~%dh (%s, r=%.2f) — the crowd is reacting to %s's tape, not predicting it.",
+        "Chatter tends to FOLLOW price moves by ~%dh (%s, r=%s) — the crowd is reacting to %s's tape, not predicting it.",
         -lag, strength, two, ticker,
     )
-    same = F.format_string("Buzz and price moves are concurrent for %s (%s, r=%.2f).", ticker, strength, round_to(r, 2))
+    same = F.format_string("Buzz and price moves are concurrent for %s (%s, r=%s).", ticker, strength, fixed_text(r, 2))
     return F.when(size < 0.15, none).when(lag > 0, lead).when(lag < 0, follow).otherwise(same)
 
 
