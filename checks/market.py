@@ -179,13 +179,26 @@ STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S') {0}"
 
 
 def rebased_pair(spark, d):
-    """Closes of two tickers on their common clock, rebased to percent."""
-    p = prices(spark, d)
-    a, b = p.filter("ticker = 'TKA'"), p.filter("ticker = 'TKB'")
-    rows = dashboard.rebase(dashboard.join_series(a, b, "close"))
+    """Closes of the two most mentioned tickers on their common clock, rebased to percent."""
+    pair = dashboard.matchup(trends.core_trends(posts(spark, d), NOW))
+    rows = dashboard.rebase(dashboard.pair_series(prices(spark, d), pair, "close"))
     return rows.select(ts_text("ts").alias("ts"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
+def joined_series(spark, d):
+    """The closes of two tickers through the two-frame form of the alignment."""
+    p, pair = prices(spark, d), dashboard.matchup(trends.core_trends(posts(spark, d), NOW))
+    a, b = (p.join(pair.filter(F.col("side") == x), "ticker", "left_semi") for x in ("a", "b"))
+    return dashboard.join_series(a, b, "close").withColumn("ts", ts_text("ts"))
+
+
+PAIR_SQL = with_ctes(POSTS_SQL, PRICES_SQL, f"""
+busy as (select ticker, row_number() over (order by count(*) desc, ticker) r from mentions where ts >= {NOW_SQL} - interval 24 hour group by ticker),
+pair as (select coalesce(a.ts, b.ts) ts, a.close a, b.close b from (select * from prices where ticker = (select ticker from busy where r = 1)) a
+  full join (select * from prices where ticker = (select ticker from busy where r = 2)) b on a.ts = b.ts),
+bases as (select arg_min(a, ts) filter (where a is not null) ba, arg_min(b, ts) filter (where b is not null) bb from pair)
+""")
+
 QUERIES = {
     "aligned_series": (aligned_series, MARKET_SQL + "select * replace (strftime(ts, '%Y-%m-%d %H:%M:%S') as ts) from aligned"),
     "lag_profile": (lag_profile, MARKET_SQL + "select * from profile"),
@@ -241,11 +254,8 @@ QUERIES = {
     ),
     "rebased_pair": (
         rebased_pair,
-        with_ctes(POSTS_SQL, PRICES_SQL, """
-pair as (select coalesce(a.ts, b.ts) ts, a.close a, b.close b from (select * from prices where ticker = 'TKA') a
-  full join (select * from prices where ticker = 'TKB') b on a.ts = b.ts),
-bases as (select arg_min(a, ts) filter (where a is not null) ba, arg_min(b, ts) filter (where b is not null) bb from pair)
-""")
+        PAIR_SQL
         + "select strftime(ts, '%Y-%m-%d %H:%M:%S') ts, round((a / nullif(ba, 0) - 1) * 100, 6) a, round((b / nullif(bb, 0) - 1) * 100, 6) b from pair, bases",
     ),
+    "joined_series": (joined_series, PAIR_SQL + "select strftime(ts, '%Y-%m-%d %H:%M:%S') ts, a, b from pair"),
 }

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from checks.binding import AUTHORITY, EVENTS, NOW, NOW_SQL, POSTS_SQL, all_posts, posts, posts_from, table, ts_text, with_ctes
 from checks.market import COOLDOWN_SQL, HOT_SQL, _replay
+from checks.reads import ALERT_SQL
 from checks.trends import ALIGNED_START, ROLLING_START, bucket_sql
 from murmur.functions.exprs import map_text
-from murmur.operators import backtest, buckets, merge
-from murmur.session import scratch_path
+from murmur.operators import alerts, backtest, buckets, merge
+from murmur.session import materialize, scratch_path
 from murmur.sinks import archive, artifacts, tables
 from murmur.streaming import ingest
 
@@ -191,6 +192,17 @@ def stream_cooldown(spark, d):
     return spark.read.schema("ticker string, flagged_at timestamp, breakout_score double").parquet(out).withColumn("flagged_at", ts_text("flagged_at"))
 
 
+def alerts_delivered(spark, d):
+    """Three batches of replayed alerts; each delivers what the one before did not raise."""
+    out, state = scratch_path(spark, "delivered"), scratch_path(spark, "alerts")
+    rows = materialize(backtest.replay_trends(posts(spark, d), NOW, authority=AUTHORITY), "replay").withColumn("window_hours", F.lit(24))
+    for batch, k in enumerate((2, 1, 0)):
+        found = alerts.alert_candidates(rows.filter(F.col("k") == k), NOW)
+        deliver = lambda df, b=batch: df.withColumn("batch", F.lit(b)).write.mode("append").parquet(out)
+        ingest.alerts_once(state, deliver)(found, batch)
+    return spark.read.schema("ticker string, kind string, score double, batch int").parquet(out)
+
+
 MERGED_SQL = f"""
 stored as (select * from allposts where ts < {NOW_SQL} - interval 24 hour),
 fetched as (select id, 'renamed' author, 40 - engagement engagement, 'neutral' sentiment, 0.0::double sentiment_score, ts from allposts where ts >= {NOW_SQL} - interval 72 hour),
@@ -279,6 +291,12 @@ QUERIES = {
         with_ctes(POSTS_SQL, CLOSED_SQL)
         + f"select ticker, count(*) buckets, cast(sum(mentions) as bigint) mentions from bks where h >= {NOW_SQL} - interval 7 day group by 1",
     ),
+    "alerts_delivered": (
+        alerts_delivered,
+        _replay(ALERT_SQL.replace("ticker || '@' || k as name", "ticker as name").replace("select name ticker", "select k, name ticker").replace("select name,", "select k, name,"))
+        + "select ticker, kind, score, 2 - k as batch from (select *, row_number() over (partition by k order by score desc, ticker, kind) r from alerts a where k <= 2 "
+        "and not exists (select 1 from alerts p where a.k < 2 and p.k = a.k + 1 and p.ticker = a.ticker and p.kind = a.kind)) where r <= 6",
+    ),
     "stream_cooldown": (
         stream_cooldown,
         _replay(HOT_SQL, COOLDOWN_SQL.format(name="hot", source="hot"))

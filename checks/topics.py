@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.binding import NOW, NOW_SQL, POSTS_SQL, all_posts, posts, table, with_ctes
 from murmur.functions.fixed_values import STOPWORDS
 from murmur.functions.text import vocab_tokens
-from murmur.operators import topics
+from murmur.operators import dashboard, topics
 
 
 def _docs(spark, d):
@@ -108,6 +108,11 @@ def assign_topics(spark, d):
     )
 
 
+def points_of_topic(spark, d):
+    points = topics.export_points(_topic_posts(all_posts(spark, d)).withColumn("x", F.lit(0.5)).withColumn("y", F.lit(0.5)))
+    return dashboard.points_of_topic(points, 2).select("post_id", "topic_id")
+
+
 def recency_sample(spark, d):
     return topics.recency_sample(posts(spark, d), 3000).select("id", "engagement")
 
@@ -192,5 +197,6 @@ QUERIES = {
         with_ctes(POSTS_SQL)
         + "select case when k < 20 then 'none' else (k // 20 - 1)::varchar end topic_id, count(*) posts, cast(sum(engagement) as bigint) engagement from allposts group by 1",
     ),
+    "points_of_topic": (points_of_topic, with_ctes(POSTS_SQL) + "select id post_id, 2 topic_id from allposts where k // 20 = 3"),
     "recency_sample": (recency_sample, with_ctes(POSTS_SQL) + "select id, engagement from posts order by ts desc, id limit 3000"),
 }

@@ -33,7 +33,8 @@ def micros_to_ts(col: Column) -> Column:
 
 def floor_div(col: Column, divisor: int) -> Column:
     """Integer division rounding towards minus infinity."""
-    return ((col - F.pmod(col, F.lit(divisor))) / F.lit(divisor)).cast("long")
+    d = F.lit(divisor).cast("long")
+    return F.call_function("div", col - F.pmod(col, d), d)
 
 
 def lookup(col: Column, values: Mapping[str, object], default) -> Column:

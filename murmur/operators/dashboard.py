@@ -85,31 +85,31 @@ def platform_shares(trends: DataFrame) -> DataFrame:
     )
 
 
-def default_matchup(trends: DataFrame) -> DataFrame:
-    """The two most mentioned tickers."""
-    return top_two(trends).select("ticker")
-
-
-def top_two(trends: DataFrame) -> DataFrame:
-    return trends.orderBy(F.col("mentions").desc(), "ticker").limit(2)
+def matchup(trends: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
+    """(ticker, side) of a pair; by default the two most mentioned tickers. Two rows."""
+    if a and b:
+        return trends.filter(F.col("ticker").isin(a, b)).select(
+            "ticker", F.when(F.col("ticker") == a, "a").otherwise("b").alias("side")
+        )
+    order = [F.col("mentions").desc(), F.col("ticker")]
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+    return trends.orderBy(*order).limit(2).select("ticker", F.when(rank == 1, "a").otherwise("b").alias("side"))
 
 
 def head_to_head(trends: DataFrame, a: str | None = None, b: str | None = None) -> DataFrame:
-    """Six metrics of two tickers side by side; by default the two most mentioned.
-
-    Rows are ``metric, a, b`` where ``a`` is the first ticker of the pair.
-    """
-    pair = trends.filter(F.col("ticker").isin(a, b)) if a and b else top_two(trends)
-    if a and b:
-        side = F.when(F.col("ticker") == a, "a").otherwise("b")
-    else:
-        rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("mentions").desc(), "ticker"))
-        side = F.when(rank == 1, "a").otherwise("b")
-    slim = pair.select(side.alias("side"), *[F.col(k).cast("double").alias(k) for k in SORT_KEYS])
+    """Six metrics of a pair side by side: ``metric, a, b``."""
+    pair = trends.join(matchup(trends, a, b), "ticker")
+    slim = pair.select("side", *[F.col(k).cast("double").alias(k) for k in SORT_KEYS])
     long = slim.unpivot("side", list(SORT_KEYS), "metric", "value")
     return long.groupBy("metric").pivot("side", ["a", "b"]).agg(F.max("value"))
 
 
+def pair_series(series: DataFrame, pair: DataFrame, field: str) -> DataFrame:
+    """The series of a pair aligned on the union of their times: ``ts, a, b``."""
+    rows = series.join(pair, "ticker")
+    return rows.groupBy("ts").agg(*[F.max(F.when(F.col("side") == x, F.col(field))).alias(x) for x in ("a", "b")])
+
+
 def join_series(series_a: DataFrame, series_b: DataFrame, field: str) -> DataFrame:
     """Two series aligned on their union of times: ``ts, a, b``."""
     left = series_a.select("ts", F.col(field).alias("a"))

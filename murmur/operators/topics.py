@@ -180,7 +180,7 @@ def embedding_vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
 
 
-def embed_texts(posts: DataFrame, make_predict_fn, dims: int, batch_size: int = 64) -> DataFrame:
+def embed_texts(posts: DataFrame, make_predict_fn, batch_size: int = 64) -> DataFrame:
     """Add ``features`` from an encoder; ``make_predict_fn`` loads it once per worker."""
     from pyspark.ml.functions import array_to_vector, predict_batch_udf
     from pyspark.sql.types import ArrayType, FloatType

@@ -45,7 +45,7 @@ def _append_days(df: DataFrame, path: str, order: list[str]) -> dict[str, int]:
     have = partition_days(spark, path)
     todo = unarchived(df, spark.createDataFrame([(d,) for d in have], "day date"))
     (
-        todo.repartitionByRange(F.col("day"), *[F.col(c) for c in order])
+        todo.hint("rebalance", "day")
         .sortWithinPartitions("day", *order)
         .write.mode("append")
         .partitionBy("day")

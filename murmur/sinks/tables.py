@@ -26,10 +26,14 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 
 def write_days(df: DataFrame, path: str, ts_col: str, order: list[str]) -> None:
-    """Overwrite the days present in ``df``; a large day is split over several files."""
-    dated = df.withColumn("day", F.to_date(ts_col))
+    """Overwrite the days present in ``df``.
+
+    Rebalancing gathers small days and splits a large one by its measured size, so a
+    day that holds a third of all rows is still written by many tasks.
+    """
     (
-        dated.repartitionByRange(F.col("day"), *[F.col(c) for c in order])
+        df.withColumn("day", F.to_date(ts_col))
+        .hint("rebalance", "day")
         .sortWithinPartitions("day", *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -88,7 +92,7 @@ def merge_meta(path: str, incoming: DataFrame) -> None:
         stored = spark.read.parquet(path).filter(F.col("shard").isin(shards))
         sharded = upsert_by_key(stored, sharded, ["key"])
     (
-        sharded.repartition("shard")
+        sharded.hint("rebalance", "shard")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("shard")
