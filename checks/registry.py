@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from checks import market, reads, sources, storage, text, topics, trends
+from checks import market, orders, reads, sources, storage, text, topics, trends
 
-MODULES = (trends, market, text, topics, reads, sources, storage)
+MODULES = (trends, market, orders, text, topics, reads, sources, storage)
 
 
 def queries() -> dict:
