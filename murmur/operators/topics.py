@@ -130,7 +130,9 @@ def gram_product(rows: DataFrame, basis) -> DataFrame:
         used = np.flatnonzero(np.abs(z).sum(axis=1))
         yield pd.DataFrame({"j": used, **{n: z[used, c] for c, n in enumerate(names)}})
 
-    parts = rows.select("idx", "val").mapInPandas(block, "j bigint, " + ", ".join(f"{n} double" for n in names))
+    # Fewer, longer tasks: every task sends one block.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.select("idx", "val").coalesce(2 * cores).mapInPandas(block, "j bigint, " + ", ".join(f"{n} double" for n in names))
     return parts.groupBy("j").agg(*[F.sum(n).alias(n) for n in names])
 
 

@@ -17,6 +17,7 @@ from murmur.operators.merge import sink_columns
 from murmur.operators.sentiment import score_posts_lexicon
 from murmur.session import materialize
 from murmur.sinks import archive, artifacts, tables
+from murmur.sinks.storage import exists
 from murmur.sources.dictionary import Dictionary
 from murmur.sources.scans import load_recent_posts
 
@@ -45,7 +46,7 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
     feeds every metric and is therefore written out once, not cached.
     """
     path = {n: f"{root}/{n}" for n in (
-        "posts", "ticker_buckets", "ticker_trends", "correlations", "alerts", "graph_nodes", "graph_edges",
+        "posts", "ticker_buckets", "ticker_trends", "correlations", "alerts", "fresh_alerts", "graph_nodes", "graph_edges",
         "topics", "topic_points", "backtest", "meta", "archive",
     )}
     entities = dictionary.entities(spark)
@@ -58,7 +59,9 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
     tables.write_snapshot(sink_columns(trend), path["ticker_trends"])
     top = trends.top_tickers(trend, cfg.top_n)
 
-    raised = alerting.detect_alerts(trend, now)
+    raised = materialize(alerting.detect_alerts(trend, now), "raised")
+    before = spark.read.parquet(path["alerts"]) if exists(spark, path["alerts"]) else raised.limit(0)
+    tables.write_snapshot(alerting.fresh_alerts(raised, before), path["fresh_alerts"])
     tables.write_snapshot(raised, path["alerts"])
     nodes, edges = graph.compute_graph(posts, entities)
     tables.write_snapshot(nodes, path["graph_nodes"])
@@ -93,6 +96,9 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
     summary = trends.run_summary(posts, now, cfg.window_hours, cfg.mode, "lexicon", "tfidf" if topic_rows else "skipped")
     payloads = (
         artifacts.payload_rows(summary, F.lit("meta"))
+        .unionByName(artifacts.list_payload(raised, "alerts", "alerts", ["ticker", "kind"]))
+        .unionByName(artifacts.list_payload(backtest.summarize(returns), "backtest", "horizons", ["horizon"]))
+        .unionByName(artifacts.list_payload(backtest.event_log(returns), "backtest_events", "events", ["flagged_at", "ticker"]))
         .unionByName(artifacts.payload_rows(text, F.lit("brief")))
         .unionByName(dashboard.ticker_bundle(top, series, prices, corr))
     )

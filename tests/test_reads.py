@@ -162,3 +162,14 @@ def test_topic_activity_trend(spark):
     got = {r["topic_id"]: r for r in dicts(topics.topic_activity(frame(spark, rows), NOW))}
     assert got[1]["trend"] == "rising" and got[2]["trend"] == "cooling" and got[3]["trend"] == "flat"
     assert sum(got[1]["series"]) == 10 and got[3]["series"] == [0] * 24
+
+
+def test_encoder_hook_feeds_the_clustering(spark):
+    def make():
+        import numpy as np
+
+        return lambda texts: np.array([[float(len(t)), float("oil" in t)] for t in texts], dtype="float32")
+
+    df = frame(spark, [post(i, 1, text="oil " * (i % 2) + "x" * (i % 5)) for i in range(60)])
+    points = topics.layout(topics.svd_reduce(topics.embed_texts(df, make), 2))
+    assert points.count() == 60 and points.filter("x is null").count() == 0
