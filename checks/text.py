@@ -90,6 +90,13 @@ def extract_tickers(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(found), ",").alias("found"))
 
 
+def extract_tickers_by_join(spark, d):
+    """The table form of the dictionary must give the same symbols."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.array().cast("array<string>").alias("tickers"))
+    tagged = ents.tag_posts_by_join(docs, DOC_DICTIONARY.terms(spark), DOC_DICTIONARY.max_words())
+    return tagged.select(F.col("id").alias("doc_id"), F.array_join(F.array_sort("tickers"), ",").alias("found"))
+
+
 def entity_enrichment(spark, d):
     counts = all_posts(spark, d).select(F.explode("tickers").alias("ticker")).groupBy("ticker").agg(F.count("*").alias("n"))
     return enrich_entities(counts, entities(spark))
@@ -197,6 +204,10 @@ QUERIES = {
         extract_tickers,
         f"select doc_id, {_set_text('list_concat(' + _cash_sql(DOC_DICTIONARY) + ', ' + _bare_sql(DOC_DICTIONARY) + ', ' + _alias_sql(DOC_DICTIONARY) + ')')} from documents",
     ),
+    "extract_tickers_by_join": (
+        extract_tickers_by_join,
+        f"select doc_id, {_set_text('list_concat(' + _cash_sql(DOC_DICTIONARY) + ', ' + _bare_sql(DOC_DICTIONARY) + ', ' + _alias_sql(DOC_DICTIONARY) + ')')} from documents",
+    ),
     "entity_enrichment": (
         entity_enrichment,
         with_ctes(POSTS_SQL, ENTITIES_SQL)

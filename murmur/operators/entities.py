@@ -59,3 +59,77 @@ def tag_posts(posts: DataFrame, d: Dictionary) -> DataFrame:
     """Merge extracted symbols behind the ones a post already carries."""
     own = F.coalesce("tickers", F.array().cast("array<string>"))
     return posts.withColumn("tickers", F.array_distinct(F.concat(own, extract_tickers(F.col("text"), d))))
+
+
+# --- dictionaries kept as tables ---------------------------------------------
+
+KINDS = ("cashtag", "bare", "alias")
+
+
+def _numbered(terms: Column, kind: str) -> Column:
+    return F.transform(terms, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), i.alias("pos")))
+
+
+def _phrases(text: Column, max_words: int) -> Column:
+    """All runs of up to ``max_words`` neighbouring words with their own separators."""
+
+    def runs(parts: Column) -> Column:
+        pieces, words = parts["pieces"], parts["words"]
+        found = []
+        for k in range(1, max_words + 1):
+            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(
+                F.array().cast("array<int>")
+            )
+            found.append(_runs_of(starts, pieces, words, k))
+        return F.array_distinct(F.concat(*found))
+
+    low = F.lower(text)
+    split = F.struct(
+        F.regexp_extract_all(low, F.lit(r"(?U)\w+\W*"), F.lit(0)).alias("pieces"),
+        F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)).alias("words"),
+    )
+    return bind(split, runs)
+
+
+def _runs_of(starts: Column, pieces: Column, words: Column, k: int) -> Column:
+    return F.transform(
+        starts,
+        lambda i: F.concat(F.array_join(F.slice(pieces, i, F.lit(k - 1)), ""), F.element_at(words, i + (k - 1))),
+    )
+
+
+def tag_posts_by_join(posts: DataFrame, terms: DataFrame, max_words: int) -> DataFrame:
+    """``tag_posts`` for dictionaries too large to be constants of a plan.
+
+    ``terms`` has ``kind`` (cashtag, bare, alias or blocked), ``term``, ``ticker`` and
+    ``rank``, as ``Dictionary.terms`` gives. Candidates of a post are distinct before the
+    join, so a word that occurs in every post costs one row per post; the join side of
+    such a word can be split because the dictionary holds it once. ``posts`` must be
+    unique by id.
+    """
+    text = F.col("text")
+    cash = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CASHTAG), F.lit(1)), lambda s: F.upper(s)))
+    bare = F.array_distinct(F.regexp_extract_all(text, F.lit(BARE), F.lit(1)))
+    candidates = posts.select(
+        "id",
+        F.explode(
+            F.concat(_numbered(cash, "cashtag"), _numbered(bare, "bare"), _numbered(_phrases(text, max_words), "alias"))
+        ).alias("c"),
+    ).select("id", "c.kind", "c.term", "c.pos")
+    listed = terms.filter(F.col("kind").isin(*KINDS))
+    known = candidates.join(listed, ["kind", "term"]).select(
+        "id", "kind", F.when(F.col("kind") == "alias", F.col("rank")).otherwise(F.col("pos")).alias("place"), "ticker"
+    )
+    taken = terms.filter(F.col("kind").isin("cashtag", "blocked")).select("term").distinct()
+    unknown = (
+        candidates.filter((F.col("kind") == "cashtag") & F.col("term").rlike("^[A-Z]{2,5}$"))
+        .join(taken, "term", "left_anti")
+        .select("id", "kind", F.col("pos").alias("place"), F.col("term").alias("ticker"))
+    )
+    order = F.when(F.col("kind") == "cashtag", 0).when(F.col("kind") == "bare", 1).otherwise(2)
+    found = known.unionByName(unknown).groupBy("id").agg(
+        F.sort_array(F.collect_set(F.struct(order.alias("o"), "place", "ticker"))).alias("f")
+    )
+    own = F.coalesce("tickers", F.array().cast("array<string>"))
+    extra = F.coalesce(F.transform("f", lambda x: x["ticker"]), F.array().cast("array<string>"))
+    return posts.join(found, "id", "left").withColumn("tickers", F.array_distinct(F.concat(own, extra))).drop("f")

@@ -74,19 +74,21 @@ def score_posts_lexicon(posts: DataFrame, **lexicon) -> DataFrame:
     )
 
 
-def score_posts_model(posts: DataFrame, make_predict_fn: Callable, batch_size: int = 32, max_chars: int = 512) -> DataFrame:
+def score_posts_model(posts: DataFrame, make_predict_fn: Callable, batch_size: int = 32, max_chars: int | None = None) -> DataFrame:
     """Set score and label from a classifier.
 
     ``make_predict_fn`` loads the model once per Python worker and returns a function
     from an array of texts to ``{"bull": [...], "bear": [...], "neutral": [...]}``
-    probabilities. ``max_chars`` is the input limit of the model.
+    probabilities. Texts are passed whole; ``max_chars`` cuts them for models with a
+    fixed input length (512 for the usual finance classifier).
     """
     from pyspark.ml.functions import predict_batch_udf
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     result = StructType([StructField(n, DoubleType()) for n in ("bull", "bear", "neutral")])
     predict = predict_batch_udf(make_predict_fn, return_type=result, batch_size=batch_size)
-    p = posts.withColumn("__p", predict(F.substring("text", 1, max_chars)))
+    text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
+    p = posts.withColumn("__p", predict(text))
     bull, bear, neutral = F.col("__p.bull"), F.col("__p.bear"), F.col("__p.neutral")
     label = (
         F.when((bull >= bear) & (bull >= neutral), "bull")

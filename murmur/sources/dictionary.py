@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ class Dictionary:
         """From ``{symbol: {"name", "sector", "aliases"}}``."""
         pairs = [(a.lower(), s) for s, info in symbols.items() for a in info.get("aliases", [])]
         if len(symbols) + len(pairs) > MAX_DICTIONARY_TERMS:
-            raise ValueError(f"dictionary exceeds {MAX_DICTIONARY_TERMS} terms")
+            raise ValueError(f"more than {MAX_DICTIONARY_TERMS} terms: keep them as a table and use tag_posts_by_join")
         pairs.sort(key=lambda p: -len(p[0]))
         return cls(
             {s: (info["name"], info["sector"]) for s, info in symbols.items()},
@@ -49,6 +50,18 @@ class Dictionary:
         rows = [(s, name, sector) for s, (name, sector) in self.symbols.items()]
         return spark.createDataFrame(rows, schemas.ENTITIES)
 
+    def terms(self, spark: SparkSession) -> DataFrame:
+        """The dictionary as the lookup table of ``entities.tag_posts_by_join``."""
+        bare = set(self.symbols) - self.ambiguous - self.blocklist
+        rows = [("cashtag", s, s, 0) for s in self.symbols] + [("bare", s, s, 0) for s in sorted(bare)]
+        rows += [("alias", phrase, s, rank) for rank, (phrase, s) in enumerate(self.aliases)]
+        rows += [("blocked", s, None, 0) for s in sorted(self.blocklist)]
+        return spark.createDataFrame(rows, "kind string, term string, ticker string, rank int")
+
+    def max_words(self) -> int:
+        """Words of the longest alias phrase."""
+        return max((len(re.findall(r"\w+", phrase)) for phrase, _ in self.aliases), default=0)
+
     def alias_table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, phrase, symbol) for i, (phrase, symbol) in enumerate(self.aliases)]
         return spark.createDataFrame(rows, "rank int, alias string, ticker string")
