@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.binding import AUTHORITY, ENTITIES_SQL, NOW, POSTS_SQL, PRICES_SQL, entities, posts, prices, ts_text, with_ctes
+from checks.binding import AUTHORITY, ENTITIES_SQL, NOW, POSTS_SQL, PRICES_SQL, posts, prices, ts_text, with_ctes
 from checks.market import ALIGN_SQL, LAG_SQL, REPLAY_SQL
 from checks.trends import (
     HISTOGRAM_SQL, MOOD_SQL, ONE_STEP, ROLLING_START, TOP_POSTS_SQL, TREND_SQL, bucket_sql, core, full,
 )
-from murmur.functions.exprs import map_text
 from murmur.operators import alerts, backtest, brief, buckets, correlation, dashboard, merge, trends
 from murmur.session import materialize
 

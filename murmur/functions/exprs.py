@@ -27,10 +27,6 @@ def ts_lit(now: datetime) -> Column:
     return F.lit(to_utc(now))
 
 
-def micros_to_ts(col: Column) -> Column:
-    return F.timestamp_micros(col)
-
-
 def floor_div(col: Column, divisor: int) -> Column:
     """Integer division rounding towards minus infinity."""
     d = F.lit(divisor).cast("long")

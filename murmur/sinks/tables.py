@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.functions.exprs import to_utc
-from murmur.operators.merge import live_buckets, retained, upsert_by_key, upsert_posts
+from murmur.operators.merge import live_buckets, retained, upsert_buckets, upsert_meta, upsert_posts
 from murmur.sinks.storage import drop_day, exists, partition_days
 
 META_SHARDS = 64
@@ -75,8 +75,7 @@ def merge_buckets(path: str, incoming: DataFrame) -> None:
         return
     days = [r["day"] for r in live.select(F.to_date("bucket_start").alias("day")).distinct().collect()]
     touched = read_days(spark, path).filter(F.col("day").isin(days)).drop("day")
-    merged = upsert_by_key(touched, live, ["ticker", "bucket_start", "bucket_minutes"])
-    write_days(merged, path, "bucket_start", order)
+    write_days(upsert_buckets(touched, live), path, "bucket_start", order)
 
 
 def _shard(column: str):
@@ -90,7 +89,7 @@ def merge_meta(path: str, incoming: DataFrame) -> None:
     if exists(spark, path):
         shards = [r["shard"] for r in sharded.select("shard").distinct().collect()]
         stored = spark.read.parquet(path).filter(F.col("shard").isin(shards))
-        sharded = upsert_by_key(stored, sharded, ["key"])
+        sharded = upsert_meta(stored, sharded)
     (
         sharded.hint("rebalance", "shard")
         .write.mode("overwrite")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import NOW, dicts, frame, post
-from murmur.operators import alerts, brief, dashboard, graph, topics, trends
+from murmur.operators import alerts, brief, dashboard, graph, topics
 from murmur.sources.dictionary import Dictionary
 
 DICT = Dictionary.build({"AA": {"name": "Alpha", "sector": "S1"}, "BB": {"name": "Beta", "sector": "S2"}})
