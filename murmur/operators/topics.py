@@ -237,28 +237,66 @@ def cluster_term_scores(docs: DataFrame, min_count: int = 2) -> DataFrame:
     )
 
 
-def pick_labels(scores: DataFrame, top_n: int = 6) -> DataFrame:
-    """Greedy terms per topic: best score first, skipping terms that contain or are contained in a pick.
+LABEL_POOL = 64
+
+
+def _conflict(picked: Column, term: Column) -> Column:
+    return F.exists(picked, lambda p: F.contains(p, term) | F.contains(term, p))
+
+
+def _pooled_labels(ranked: DataFrame, top_n: int, pool: int) -> DataFrame:
+    """(topic_id, terms, settled): greedy picks among the ``pool`` best terms of each topic.
 
-    Every round takes the best remaining term of each topic with a plain aggregation,
-    so no topic's vocabulary is ever gathered in one task and no candidate is cut
-    off. The scores are written once and scanned ``top_n`` times; each round joins them
-    with one short list per topic.
+    Settled topics have all their picks, or no term beyond the pool.
     """
-    ranked = materialize(scores.select("topic_id", "term", round_to(F.col("score"), 12).alias("score")), "label-scores")
+    best = top_per_group(ranked, ["topic_id"], [F.col("score").desc(), F.col("term")], pool, rank="rank")
+    packed = best.groupBy("topic_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("pool")
+    )
+    none = F.array().cast("array<string>")
+    fold = F.aggregate(
+        "pool",
+        none,
+        lambda acc, t: F.when((F.size(acc) >= top_n) | _conflict(acc, t), acc).otherwise(F.concat(acc, F.array(t))),
+    )
+    sizes = ranked.groupBy("topic_id").agg(F.count("*").alias("n"))
+    return (
+        packed.withColumn("terms", fold)
+        .join(sizes, "topic_id")
+        .select("topic_id", "terms", ((F.size("terms") >= top_n) | (F.col("n") <= pool)).alias("settled"))
+    )
+
+
+def _labels_by_rounds(ranked: DataFrame, top_n: int) -> DataFrame:
+    """Greedy picks over all terms: each round takes the best remaining term of each topic."""
     picks = ranked.select("topic_id").distinct().withColumn("terms", F.array().cast("array<string>"))
     for _ in range(top_n):
-        taken = F.exists("terms", lambda p: F.contains(p, F.col("term")) | F.contains(F.col("term"), p))
-        best = F.min(F.when(~taken, F.struct((-F.col("score")).alias("s"), "term")))["term"]
+        free = F.when(~_conflict(F.col("terms"), F.col("term")), F.struct((-F.col("score")).alias("s"), "term"))
         picks = (
             ranked.join(picks, "topic_id")
             .groupBy("topic_id")
-            .agg(best.alias("term"), F.first("terms").alias("terms"))
+            .agg(F.min(free)["term"].alias("term"), F.first("terms").alias("terms"))
             .select("topic_id", F.array_compact(F.concat("terms", F.array("term"))).alias("terms"))
         )
     return picks
 
 
+def pick_labels(scores: DataFrame, top_n: int = 6, pool: int = LABEL_POOL) -> DataFrame:
+    """Greedy terms per topic: best score first, skipping terms that contain or are contained in a pick.
+
+    Nearly every topic settles within its ``pool`` best terms, which one pass finds. The
+    rest run over all their terms in ``top_n`` rounds of plain aggregation, so no topic's
+    vocabulary is ever gathered in one task and no candidate is cut off.
+    """
+    ranked = materialize(scores.select("topic_id", "term", round_to(F.col("score"), 12).alias("score")), "label-scores")
+    pooled = materialize(_pooled_labels(ranked, top_n, pool), "label-pool")
+    settled = pooled.filter("settled").select("topic_id", "terms")
+    rest = pooled.filter("not settled").select("topic_id")
+    if rest.isEmpty():
+        return settled
+    return settled.unionByName(_labels_by_rounds(ranked.join(rest, "topic_id", "left_semi"), top_n))
+
+
 # --- rollups ----------------------------------------------------------------
 
 

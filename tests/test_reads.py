@@ -119,8 +119,24 @@ def test_graph_equals_brute_force(spark):
 
 def test_labels_skip_contained_terms(spark):
     rows = [(0, t, s) for t, s in [("rate cut", 9.0), ("rate", 8.0), ("cut", 7.0), ("fed rate cut", 6.5), ("oil", 6.0), ("gold", 6.0), ("x1", 5.0)]] + [(1, "solo", 1.0)]
-    picks = {r["topic_id"]: r["terms"] for r in topics.pick_labels(spark.createDataFrame(rows, "topic_id int, term string, score double"), 4).collect()}
-    assert picks == {0: ["rate cut", "gold", "oil", "x1"], 1: ["solo"]}
+    scores = spark.createDataFrame(rows, "topic_id int, term string, score double")
+    for pool in (64, 3, 1):  # small pools send topic 0 through the rounds
+        picks = {r["topic_id"]: r["terms"] for r in topics.pick_labels(scores, 4, pool).collect()}
+        assert picks == {0: ["rate cut", "gold", "oil", "x1"], 1: ["solo"]}
+
+
+def test_labels_by_pool_and_by_rounds_equal_a_plain_loop(spark):
+    rng = random.Random(11)
+    words = ["oil", "oil price", "price", "gas", "gas oil", "rate", "rates", "cut", "rate cut", "chip", "chips", "ai", "main", "rain"]
+    rows = [(t, w, round(rng.uniform(0, 3), 1)) for t in range(12) for w in rng.sample(words, rng.randrange(1, len(words)))]
+    want = {}
+    for t, w, _ in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
+        got = want.setdefault(t, [])
+        if len(got) < 5 and not any(w in p or p in w for p in got):
+            got.append(w)
+    scores = spark.createDataFrame(rows, "topic_id int, term string, score double")
+    for pool in (64, 4):
+        assert {r["topic_id"]: r["terms"] for r in topics.pick_labels(scores, 5, pool).collect()} == want
 
 
 def test_svd_finds_the_dominant_directions(spark):
