@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import exact_dedup, mixing, url_filter
+from murmur.llm import exact_dedup, mixing, token_counts, token_files, url_filter
+from murmur.session import scratch_path
 
 RULES = [
     ("com", "/en/", "block"),
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = exact_dedup.dedup_stream(spark, f"{sf_dir}/documents.parquet")
     return judged.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -30,6 +36,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
@@ -58,8 +70,10 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from parts
 """
 
 QUERIES = {
+    "op1_token_counts": (op1_token_counts, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
+    "op7_token_files": (op7_token_files, None),
     "op10_mixing": (op10_mixing, None),
 }
 
