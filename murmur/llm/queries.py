@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import exact_dedup, mixing, token_counts, token_files, url_filter
+from murmur.llm import decontaminate, exact_dedup, mixing, near_dedup, token_counts, token_files, url_filter
 from murmur.session import scratch_path
 
 RULES = [
@@ -26,6 +26,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = exact_dedup.dedup_stream(spark, f"{sf_dir}/documents.parquet")
     return judged.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -71,6 +79,8 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from parts
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_decontaminate": (op2_decontaminate, None),
+    "op3_near_dedup": (op3_near_dedup, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op7_token_files": (op7_token_files, None),
