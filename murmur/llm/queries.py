@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, exact_dedup, mixing, near_dedup, token_counts, token_files, url_filter
+from murmur.llm import decontaminate, exact_dedup, language, mixing, near_dedup, token_counts, token_files, url_filter
 from murmur.session import scratch_path
 
 RULES = [
@@ -50,6 +50,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
@@ -84,6 +88,7 @@ QUERIES = {
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op7_token_files": (op7_token_files, None),
+    "op9_language": (op9_language, None),
     "op10_mixing": (op10_mixing, None),
 }
 
