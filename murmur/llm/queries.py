@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, exact_dedup, language, mixing, near_dedup, token_counts, token_files, url_filter
+from murmur.llm import decontaminate, exact_dedup, language, mixing, near_dedup, repeats, token_counts, token_files, url_filter
 from murmur.session import scratch_path
 
 RULES = [
@@ -44,6 +44,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(table(spark, sf_dir, "documents"))
+    cut = found.cut.select(
+        "k1", "k2", F.sha2("kept", 256).alias("cut_sha256"), F.size("spans").cast("long").alias("runs"), F.length("kept").cast("long").alias("n_kept")
+    )
+    judged = found.documents.join(cut, ["k1", "k2"], "left")
+    return judged.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
+        F.coalesce("runs", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
@@ -87,6 +99,7 @@ QUERIES = {
     "op3_near_dedup": (op3_near_dedup, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
     "op5_url_filter": (op5_url_filter, OP5_SQL),
+    "op6_repeats": (op6_repeats, None),
     "op7_token_files": (op7_token_files, None),
     "op9_language": (op9_language, None),
     "op10_mixing": (op10_mixing, None),
