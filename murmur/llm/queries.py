@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, exact_dedup, language, mixing, near_dedup, repeats, token_counts, token_files, url_filter
+from murmur.llm import decontaminate, exact_dedup, language, line_dedup, mixing, near_dedup, repeats, token_counts, token_files, url_filter
 from murmur.session import scratch_path
 
 RULES = [
@@ -62,6 +62,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_removed", "n_links", "classes", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -101,6 +106,7 @@ QUERIES = {
     "op5_url_filter": (op5_url_filter, OP5_SQL),
     "op6_repeats": (op6_repeats, None),
     "op7_token_files": (op7_token_files, None),
+    "op8_line_dedup": (op8_line_dedup, None),
     "op9_language": (op9_language, None),
     "op10_mixing": (op10_mixing, None),
 }
