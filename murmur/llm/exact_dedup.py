@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from murmur.session import materialize, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition reserves disk it does not fill
+}
 LOG_SCHEMA = "digest binary, keep_id long, locator string, group_size long, batch long"
 
 
@@ -45,7 +47,7 @@ def run_stream(
     micro-batch that a repeated micro-batch replaces, so a restart neither loses nor doubles it.
     """
     path = path.rstrip("/")
-    previous = spark.conf.get(STATE_STORE)
+    previous = {name: spark.conf.get(name, None) for name in STATE_STORE}
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
@@ -60,7 +62,8 @@ def run_stream(
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{state_dir}/log/{number:09d}")
 
-    spark.conf.set(STATE_STORE, ROCKSDB)
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
     try:
         query = (
             updates.writeStream.outputMode("update")
@@ -71,7 +74,8 @@ def run_stream(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(STATE_STORE, previous)
+        for name, value in previous.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return latest_state(spark, state_dir)
 
 
