@@ -21,16 +21,16 @@ from murmur.llm.inputs import cut, texts
 from murmur.llm.words import BATCH_BYTES, SHINGLE_WORDS, shingles
 
 HASHES = 32
-BASE = 4  # shingles per smallest block of window minima
+BASE = 4  # shingles per smallest block of window minima; fewer for the smallest classes
 BLOCK_BYTES = 4 << 20  # item texts searched in one scan of the documents
 _FACTORS = np.random.RandomState(20).randint(1, 1 << 62, HASHES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def size_class(n: int) -> int:
-    """The smallest of 8, 16, 24, 32, 48, 64, 96, 128, ... that is not below ``n``."""
-    m = 8
+    """The smallest of 2, 4, 8, 16, 24, 32, 48, 64, 96, 128, ... that is not below ``n``."""
+    m = 2
     while m < n:
-        m = m * 3 // 2 if m & (m - 1) == 0 and m >= 16 else (16 if m == 8 else m // 3 * 4)
+        m = m * 2 if m < 16 else m * 3 // 2 if m & (m - 1) == 0 else m // 3 * 4
     return m
 
 
@@ -67,11 +67,14 @@ class ItemIndex:
         padded = np.concatenate([flat, flat[-1:].repeat(pad)]) if pad else flat
         found: set[tuple[int, int]] = set()
         for row, factor in enumerate(_FACTORS):
-            hashed = padded * factor
-            low = np.minimum(np.minimum(hashed[0::4], hashed[1::4]), np.minimum(hashed[2::4], hashed[3::4]))
+            lows = {1: padded * factor}
+            lows[2] = np.minimum(lows[1][0::2], lows[1][1::2])
+            lows[4] = np.minimum(lows[2][0::2], lows[2][1::2])
             for m, rows in self.classes.items():
                 values, items, seen = rows[row]
-                hop = m // 2 // BASE
+                base = min(BASE, m // 2)
+                low = lows[base]
+                hop = m // 2 // base
                 steps = -(-len(low) // hop)
                 hops = np.concatenate([low, low[-1:].repeat(steps * hop - len(low))]).reshape(steps, hop)
                 least = hops[:, 0].copy()
@@ -84,9 +87,9 @@ class ItemIndex:
                 hits = np.flatnonzero(seen[(window & np.uint64(0xFFFF)).astype(np.int64)])
                 begin, end = np.searchsorted(values, window[hits], "left"), np.searchsorted(values, window[hits], "right")
                 for w, a, b in zip(hits[begin < end], begin[begin < end], end[begin < end]):
-                    start = w * hop * BASE
+                    start = w * hop * base
                     first = int(np.searchsorted(offsets, start, "right")) - 1
-                    last = int(np.searchsorted(offsets, min(start + 3 * hop * BASE, len(flat)), "left"))
+                    last = int(np.searchsorted(offsets, min(start + 3 * hop * base, len(flat)), "left"))
                     for d in range(first, last):
                         if offsets[d] < offsets[d + 1]:
                             found.update((d, int(i)) for i in items[a:b])

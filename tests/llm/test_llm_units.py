@@ -91,7 +91,7 @@ def test_batches_are_cut_by_bytes_and_lose_nothing():
 
 
 def test_size_classes_follow_each_other():
-    assert [size_class(n) for n in (1, 8, 9, 17, 25, 33, 49, 65, 97)] == [8, 8, 16, 24, 32, 48, 64, 96, 128]
+    assert [size_class(n) for n in (1, 2, 3, 5, 8, 9, 17, 25, 33, 49, 65, 97)] == [2, 2, 4, 8, 8, 16, 24, 32, 48, 64, 96, 128]
 
 
 def test_items_are_found_in_long_texts():
