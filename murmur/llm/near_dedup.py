@@ -9,12 +9,17 @@
 3. Texts with the same words fall together by a digest first. Of every bucket (band, key),
    each text is compared with the bucket's least one; links are pairs whose weighted
    Jaccard similarity, computed in full, is at least ``threshold``.
-4. Buckets whose members then belong to several components are compared across these.
-   So every pair that shares a bucket has been compared or is linked by others.
+4. Buckets whose members then belong to several components are compared across these, but
+   for pairs that cannot be similar: what no other such text has counts for neither, which
+   bounds the similarity of a pair from above. That rules out texts that only share a passage.
+   So every pair that shares a bucket has been compared, is bound below the threshold or is
+   linked by others.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +34,7 @@ BANDS, ROWS = 20, 4
 CLIP = 100  # shingles in fewer than 1 of CLIP documents share the highest weight
 POOL = 1 << 14  # random triples per hash function, picked by the shingle's hash
 BLOCK_SHINGLES = 1 << 22  # of a block of documents that names its frequent shingles
+SLOTS = 64  # partial sums of a text's weight, for a bound of what two texts share
 LOCAL_NAMES = 1 << 21  # named shingles up to this many are sent to every task; beyond it they are joined
 
 
@@ -262,6 +268,33 @@ def verified(pairs: DataFrame, rows: DataFrame, frequencies: Frequencies, thresh
     return both.mapInArrow(compare, "a long, b long")
 
 
+def shared_weights(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
+    """(doc_id, total, common, slots): a text's weight, and that of its shingles that some other text of ``rows`` has, too.
+
+    ``slots`` spreads the common weight over ``SLOTS`` places by shingle: what two texts share is at
+    most the sum of their lesser slots.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(frequencies)
+
+    def weigh(batches):
+        weights = sent.value
+        for batch in batches:
+            for piece in cut(batch, BATCH_BYTES):
+                flat, times, offsets = counted(*shingles(piece.column(0)))
+                ids = np.repeat(piece.column(1).to_numpy(), np.diff(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids), pa.array(times * weights.of(flat))], ["shingle", "doc_id", "weight"])
+
+    cells = rows.select("text", "doc_id").mapInArrow(weigh, "shingle long, doc_id long, weight double")
+    slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
+    by_slot = lambda name: F.array(*[F.coalesce(F.sum(F.when(slot == i, F.col("weight"))), F.lit(0.0)) for i in range(SLOTS)]).alias(name)
+    owners = cells.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("weight").alias("weight"))
+    alone = owners.filter("doc_id = last").groupBy("doc_id").agg(by_slot("alone"))
+    totals = cells.groupBy("doc_id").agg(F.sum("weight").alias("total"), by_slot("slots"))
+    left = F.when(F.col("alone").isNull(), F.col("slots")).otherwise(F.zip_with("slots", "alone", lambda x, y: x - y)).cast("array<float>")
+    found = totals.join(alone, "doc_id", "left").select("doc_id", "total", left.alias("slots"))
+    return found.withColumn("common", F.aggregate("slots", F.lit(0.0), lambda s, x: s + x))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, kept: one row per document row.
 
@@ -293,10 +326,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     mixed = placed.groupBy("band", "key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("band", "key")
     rest = materialize(placed.join(mixed, ["band", "key"], "left_semi").select("band", "key", "rep", "class_id"), "mixed-buckets")
     if not rest.isEmpty():
-        other = rest.select("band", "key", F.col("rep").alias("b"), F.col("class_id").alias("class_b"))
-        across = rest.withColumnRenamed("rep", "a").join(other, ["band", "key"]).filter("class_id < class_b").select("a", "b").distinct()
+        members = rest.select(F.col("rep").alias("doc_id")).distinct()
+        weights = shared_weights(speaking.join(members, "doc_id", "left_semi"), frequencies)
+        least = threshold * (1 - 1e-5)  # slots are kept in single precision
+        weights = materialize(weights.filter(F.col("common") >= F.col("total") * least), "shared-weights")
+        rest = rest.join(weights.withColumnRenamed("doc_id", "rep"), "rep")
+        rest = materialize(rest.select("band", "key", "rep", "class_id", "total", "common", "slots"), "open-buckets")
+        parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rest = rest.repartition(parts, "band", "key")  # few bytes, much work: not to be coalesced by size
+        other = rest.select("band", "key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "class_id", "total", "common", "slots")])
+        at_most = F.least("common", "common_b")
+        lesser = [F.least(F.get("slots", F.lit(i)), F.get("slots_b", F.lit(i))) for i in range(SLOTS)]
+        shared_most = reduce(lambda x, y: x + y, lesser)  # no lambda in the plan: this runs for every pair of a bucket
+        enough = lambda shared: shared >= (F.col("total") + F.col("total_b") - shared) * least
+        met = rest.join(other, ["band", "key"]).filter((F.col("class_id") < F.col("class_id_b")) & enough(at_most) & enough(shared_most))
+        across = met.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct()
         across = across.join(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        across = across.join(pairs, ["a", "b"], "left_anti")
+        across = materialize(across.join(pairs, ["a", "b"], "left_anti"), "pairs-across")
         links = links.union(materialize(verified(across, speaking, frequencies, threshold), "verified"))
     classes = components(links.union(membership))
     return (
