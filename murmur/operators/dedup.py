@@ -18,12 +18,12 @@ def dedupe_posts(posts: DataFrame) -> DataFrame:
 def collapse_near_duplicates(posts: DataFrame) -> DataFrame:
     """Fold copies of one long text into the earliest post, adding up engagement.
 
-    Short posts have no fingerprint and never shuffle. Long posts are aggregated, not
+    Short posts and posts without a text have no fingerprint and never shuffle. Long posts are aggregated, not
     windowed: copies combine inside each task first, so a campaign that holds a third
     of all rows reaches its reducer as one row per task.
     """
     norm = normalized_tokens(F.col("text"))
-    is_long = F.length(norm) >= COPYPASTE_MIN_CHARS
+    is_long = F.coalesce(F.length(norm) >= COPYPASTE_MIN_CHARS, F.lit(False))
     rest = [c for c in posts.columns if c not in ("ts", "id", "engagement")]
     origin = F.min_by(F.struct("ts", "id", *rest), F.struct("ts", "id"))
     folded = (

@@ -7,6 +7,9 @@ from datetime import date
 from pyspark.sql import SparkSession
 
 
+NO_DAY = "day=__HIVE_DEFAULT_PARTITION__"
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
@@ -19,12 +22,12 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def partition_days(spark: SparkSession, path: str) -> list[date]:
-    """The ``day=`` partitions below ``path``; empty when the table is absent."""
+    """The ``day=`` partitions below ``path``; empty when the table is absent. Rows without a day are in none of them."""
     fs, root = _fs(spark, path)
     if not fs.exists(root):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-    return sorted(date.fromisoformat(n[4:]) for n in names if n.startswith("day="))
+    return sorted(date.fromisoformat(n[4:]) for n in names if n.startswith("day=") and n != NO_DAY)
 
 
 def drop_day(spark: SparkSession, path: str, day: date) -> None:

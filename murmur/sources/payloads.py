@@ -52,7 +52,8 @@ def _posts(df: DataFrame, **cols) -> DataFrame:
         "sentiment", "sentiment_score", "tickers", "topic_id", "ts",
     ]
     merged = {**defaults, **cols}
-    return df.select(*[merged[n].cast(types.get(n, "string")).alias(n) for n in names])
+    posts = df.select(*[merged[n].cast(types.get(n, "string")).alias(n) for n in names])
+    return posts.filter(F.col("id").isNotNull() & F.col("ts").isNotNull())
 
 
 def first_seen(df: DataFrame, key: str) -> DataFrame:

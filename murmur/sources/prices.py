@@ -23,10 +23,11 @@ def with_quote_symbol(tickers: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def normalize_prices(raw: DataFrame) -> DataFrame:
-    """Candles with UTC time, four decimals and whole volumes."""
+    """Candles with UTC time, four decimals and whole volumes; what is no number becomes null."""
+    number = lambda c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
     return raw.select(
         "ticker",
         parse_mixed_timestamp(F.col("ts")).alias("ts"),
-        *[round_to(F.col(c).cast("double"), 4).alias(c) for c in ("open", "high", "low", "close")],
-        F.col("volume").cast("double").cast("bigint").alias("volume"),
+        *[round_to(number(c), 4).alias(c) for c in ("open", "high", "low", "close")],
+        number("volume").try_cast("bigint").alias("volume"),
     )
