@@ -252,7 +252,7 @@ QUERIES = {
     "normalize_reddit": (
         reddit,
         "select 'reddit:' || event_id id, 'reddit' platform, event_type source, case when event_id % 4 <> 0 then 'u' || user_id else 'unknown' end author, "
-        f"'title ' || event_id || case when {NO_BODY} then '' else '. ' || left(repeat('body ' || event_id || ' ', 120), 1000) end as text, "
+        f"'title ' || event_id || case when {NO_BODY} then '' else '. ' || repeat('body ' || event_id || ' ', 120) end as text, "
         "'https://reddit.com/r/x/' || event_id url, 'en' lang, cast(floor(value) as bigint) + case when event_id % 3 = 0 then user_id % 9 else 0 end engagement, "
         f"{TS} from events",
     ),
@@ -271,7 +271,7 @@ QUERIES = {
     ),
     "normalize_mastodon": (
         mastodon,
-        f"select 'mastodon:' || page_id id, 'mastodon' platform, '#stocks' source, 'a' || (page_id % 7) author, left({CLEAN}, 1000) as text, url, 'en' lang, "
+        f"select 'mastodon:' || page_id id, 'mastodon' platform, '#stocks' source, 'a' || (page_id % 7) author, {CLEAN} as text, url, 'en' lang, "
         "page_id % 11 + 2 * (page_id % 3) engagement, strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%d %H:%M:%S') ts "
         f"from pages where page_id % 5 <> 0 and length({CLEAN}) >= 10",
     ),
@@ -286,10 +286,10 @@ QUERIES = {
     "normalize_rss": (
         rss,
         "select 'rss:' || left(sha1(case when doc_id % 3 = 0 then 'guid-' || doc_id when doc_id % 3 = 1 then 'https://f.example/' || doc_id else 'headline ' || doc_id end), 16) id, "
-        "'rss' platform, source, source author, 'headline ' || doc_id || case when doc_id % 4 <> 0 and text <> '' then '. ' || left(text, 300) else '' end as text, "
+        "'rss' platform, source, source author, 'headline ' || doc_id || case when doc_id % 4 <> 0 and text <> '' then '. ' || text else '' end as text, "
         "case when doc_id % 3 <> 2 then 'https://f.example/' || doc_id else '' end url, 'en' lang, 0 engagement, "
         f"strftime(case when doc_id % 6 <> 0 then make_timestamp((1700000000 + doc_id) * 1000000) else {NOW_SQL} end, '%Y-%m-%d %H:%M:%S') ts "
-        "from (select *, row_number() over (partition by source order by doc_id) r from documents) where r <= 40 and doc_id % 10 <> 9",
+        "from documents where doc_id % 10 <> 9",
     ),
     "normalize_edgar": (
         edgar,
@@ -308,9 +308,9 @@ QUERIES = {
     "normalize_finnhub": (
         finnhub,
         "select 'finnhub:' || doc_id id, 'finnhub' platform, case when doc_id % 2 = 0 then 'wire' else lang end source, case when doc_id % 2 = 0 then 'wire' else 'finnhub' end author, "
-        "'news ' || doc_id || case when doc_id % 4 <> 0 and text <> '' then '. ' || left(text, 300) else '' end as text, 'https://w.example/' || doc_id url, 'en' lang, 0 engagement, "
+        "'news ' || doc_id || case when doc_id % 4 <> 0 and text <> '' then '. ' || text else '' end as text, 'https://w.example/' || doc_id url, 'en' lang, 0 engagement, "
         "strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%d %H:%M:%S') ts "
-        "from (select *, row_number() over (partition by lang order by doc_id) r from documents) where r <= 60 and doc_id % 10 <> 3",
+        "from documents where doc_id % 10 <> 3",
     ),
     "source_stats": (source_stats, with_ctes(POSTS_SQL) + "select platform, count(*) posts, count(*) filter (where len(tickers) > 0) with_tickers from allposts group by 1"),
     "recent_posts": (

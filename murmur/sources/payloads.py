@@ -67,7 +67,7 @@ def normalize_reddit(raw: DataFrame) -> DataFrame:
         "id string, title string, selftext string, author string, created_utc double, "
         "score bigint, num_comments bigint, permalink string",
     )
-    body = F.substring(_text("selftext"), 1, 1000)
+    body = _text("selftext")
     title = _text("title")
     keep_body = (body != "") & ~body.isin("[removed]", "[deleted]")
     return _posts(
@@ -149,7 +149,7 @@ def normalize_mastodon(raw: DataFrame, dedupe: bool = True) -> DataFrame:
         platform=F.lit("mastodon"),
         source=F.concat(F.lit("#"), F.col("listing")),
         author=F.coalesce("account.acct", F.lit("unknown")),
-        text=F.substring("body", 1, 1000),
+        text=F.col("body"),
         ts=parse_mixed_timestamp(F.col("created_at")),
         engagement=_count("favourites_count") + _count("reblogs_count") * 2,
         url=_text("url"),
@@ -182,16 +182,16 @@ def normalize_hackernews(raw: DataFrame, dedupe: bool = True) -> DataFrame:
 
 
 def _feed_budget(rows: DataFrame, budget: int | None) -> DataFrame:
-    """The first ``budget`` items per listing, as the source adapters fetch them."""
+    """The first ``budget`` items per listing of one fetch; all of them by default."""
     if budget is None:
         return rows
     return top_per_group(rows, ["listing"], [F.col("position")], budget)
 
 
-def normalize_rss(raw: DataFrame, now: datetime, per_feed: int | None = 40) -> DataFrame:
+def normalize_rss(raw: DataFrame, now: datetime, per_feed: int | None = None) -> DataFrame:
     rows = _parse(_feed_budget(raw, per_feed), "id string, link string, title string, summary string, published string")
     rows = rows.filter(_text("title") != "")
-    summary = F.substring(_text("summary"), 1, 300)
+    summary = _text("summary")
     native = F.coalesce(F.nullif("id", F.lit("")), F.nullif("link", F.lit("")), F.col("title"))
     return _posts(
         rows,
@@ -246,12 +246,12 @@ def normalize_gdelt(raw: DataFrame, now: datetime, dedupe: bool = True) -> DataF
     )
 
 
-def normalize_finnhub(raw: DataFrame, per_category: int | None = 60) -> DataFrame:
+def normalize_finnhub(raw: DataFrame, per_category: int | None = None) -> DataFrame:
     rows = _parse(
         _feed_budget(raw, per_category),
         "id string, headline string, summary string, source string, url string, datetime bigint",
     ).filter(_text("headline") != "")
-    summary = F.substring(_text("summary"), 1, 300)
+    summary = _text("summary")
     return _posts(
         rows,
         id=F.concat(F.lit("finnhub:"), F.coalesce("id", F.lit("None"))),
