@@ -189,7 +189,7 @@ QUERIES = {
     "detect_alerts": (detect_alerts, MANY + "select ticker, kind, score from alerts order by score desc, ticker, kind limit 20"),
     "fresh_alerts": (
         fresh_alerts,
-        MANY + "select ticker, kind, score from alerts where kind <> 'mention_spike' order by score desc, ticker, kind limit 6",
+        MANY + "select ticker, kind, score from alerts where kind <> 'mention_spike'",
     ),
     "change_arrows": (change_arrows, MANY + f"select name ticker, {ARROW} arrow, {BADGE} badge from rows_in"),
     "sentiment_mix": (

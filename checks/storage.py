@@ -294,8 +294,8 @@ QUERIES = {
     "alerts_delivered": (
         alerts_delivered,
         _replay(ALERT_SQL.replace("ticker || '@' || k as name", "ticker as name").replace("select name ticker", "select k, name ticker").replace("select name,", "select k, name,"))
-        + "select ticker, kind, score, 2 - k as batch from (select *, row_number() over (partition by k order by score desc, ticker, kind) r from alerts a where k <= 2 "
-        "and not exists (select 1 from alerts p where a.k < 2 and p.k = a.k + 1 and p.ticker = a.ticker and p.kind = a.kind)) where r <= 6",
+        + "select ticker, kind, score, 2 - k as batch from alerts a where k <= 2 "
+        "and not exists (select 1 from alerts p where a.k < 2 and p.k = a.k + 1 and p.ticker = a.ticker and p.kind = a.kind)",
     ),
     "stream_cooldown": (
         stream_cooldown,

@@ -54,7 +54,11 @@ def detect_alerts(trends: DataFrame, now: datetime, limit: int = 20) -> DataFram
     return alert_candidates(trends, now).orderBy(F.col("score").desc(), "ticker", "kind").limit(limit)
 
 
-def fresh_alerts(alerts: DataFrame, previous: DataFrame, limit: int = 6) -> DataFrame:
-    """Alerts whose (ticker, kind) the previous run did not raise, strongest first."""
+def fresh_alerts(alerts: DataFrame, previous: DataFrame, limit: int | None = None) -> DataFrame:
+    """Alerts whose (ticker, kind) the previous run did not raise, strongest first.
+
+    With a ``limit`` the weaker ones are not delivered by later runs either, since they count as raised.
+    """
     fresh = alerts.join(previous.select("ticker", "kind").distinct(), ["ticker", "kind"], "left_anti")
-    return fresh.orderBy(F.col("score").desc(), "ticker", "kind").limit(limit)
+    ranked = fresh.orderBy(F.col("score").desc(), "ticker", "kind")
+    return ranked if limit is None else ranked.limit(limit)

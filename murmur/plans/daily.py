@@ -59,7 +59,7 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
     tables.write_snapshot(sink_columns(trend), path["ticker_trends"])
     top = trends.top_tickers(trend, cfg.top_n)
 
-    raised = materialize(alerting.detect_alerts(trend, now), "raised")
+    raised = materialize(alerting.alert_candidates(trend, now), "raised")
     before = spark.read.parquet(path["alerts"]) if exists(spark, path["alerts"]) else raised.limit(0)
     tables.write_snapshot(alerting.fresh_alerts(raised, before), path["fresh_alerts"])
     tables.write_snapshot(raised, path["alerts"])
@@ -96,7 +96,7 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
     summary = trends.run_summary(posts, now, cfg.window_hours, cfg.mode, "lexicon", "tfidf" if topic_rows else "skipped")
     payloads = (
         artifacts.payload_rows(summary, F.lit("meta"))
-        .unionByName(artifacts.list_payload(raised, "alerts", "alerts", ["ticker", "kind"]))
+        .unionByName(artifacts.list_payload(alerting.detect_alerts(trend, now), "alerts", "alerts", ["ticker", "kind"]))
         .unionByName(artifacts.list_payload(backtest.summarize(returns), "backtest", "horizons", ["horizon"]))
         .unionByName(artifacts.list_payload(backtest.event_log(returns), "backtest_events", "events", ["flagged_at", "ticker"]))
         .unionByName(artifacts.payload_rows(text, F.lit("brief")))
