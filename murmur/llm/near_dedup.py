@@ -1,8 +1,9 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies: only shingles in at least 1 of ``CLIP`` documents get a lower
-   weight, so only those are counted. A shingle that frequent is so in some block
-   of documents, which names it; all documents then count the named ones exactly.
+1. Document frequencies of all shingles, exactly. Those in at least 1 of ``CLIP`` documents are few and sent to
+   every task: a shingle that frequent is so in some block of documents, which names it; all documents
+   then count the named ones. All others are counted by a shuffle, and those in several documents are
+   joined to the texts that have them. What is left is in one document.
 2. Every text is drawn ``BANDS * ROWS`` consistent weighted samples: a sample agrees
    between two texts with the probability of their weighted Jaccard similarity. ``ROWS``
    samples form the key of a band.
@@ -31,7 +32,7 @@ from murmur.llm.words import BATCH_BYTES, SHINGLE_WORDS, mix64, shingles, word_h
 from murmur.session import materialize
 
 BANDS, ROWS = 20, 4
-CLIP = 100  # shingles in fewer than 1 of CLIP documents share the highest weight
+CLIP = 100  # shingles in at least 1 of CLIP documents are sent to every task, the others joined to the texts
 POOL = 1 << 14  # random triples per hash function, picked by the shingle's hash
 BLOCK_SHINGLES = 1 << 22  # of a block of documents that names its frequent shingles
 SLOTS = 64  # partial sums of a text's weight, for a bound of what two texts share
@@ -39,12 +40,12 @@ LOCAL_NAMES = 1 << 21  # named shingles up to this many are sent to every task;
 
 
 def idf(documents: int, frequency):
-    """ln(1 + N / df), with df at least N / CLIP."""
-    return np.log1p(documents / np.maximum(frequency, documents / CLIP))
+    """ln(1 + N / df)."""
+    return np.log1p(documents / frequency)
 
 
 class Frequencies:
-    """The weights of the frequent shingles; every other one has ``rare``.
+    """The weights of the frequent shingles; every other one has ``rare``, unless ``shared`` tells in how many documents it is.
 
     At most ``CLIP`` times the mean number of shingles per document can be frequent,
     however many documents there are.
@@ -52,22 +53,35 @@ class Frequencies:
 
     def __init__(self, documents: int, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
+        self.documents = max(documents, 1)
         self.keys = keys[order]
-        self.weights = idf(max(documents, 1), counts[order].astype(float))
-        self.rare = float(np.log1p(CLIP))
+        self.weights = idf(self.documents, counts[order].astype(float))
+        self.rare = float(np.log1p(self.documents))
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.keys & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def of(self, flat: np.ndarray) -> np.ndarray:
+    def of(self, flat: np.ndarray, shared: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         found = np.full(len(flat), self.rare)
         maybe = np.flatnonzero(self.seen[(flat & np.uint64(0xFFFF)).astype(np.int64)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.keys, flat[maybe]), len(self.keys) - 1)
             hit = self.keys[at] == flat[maybe]
             found[maybe[hit]] = self.weights[at[hit]]
+        if shared is not None and len(shared[0]):
+            keys, documents = shared
+            at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+            hit = keys[at] == flat
+            found[hit] = idf(self.documents, documents[at[hit]].astype(float))
         return found
 
 
+def listed(*columns: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, documents) without repeats, sorted, from pairs of list columns."""
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+    keys, first = np.unique(np.concatenate(flat[::2]).astype(np.int64).view(np.uint64), return_index=True)
+    return keys, np.concatenate(flat[1::2])[first]
+
+
 def counted(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct shingles of every text, how often each, offsets): sorted within a text."""
     text = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets))
@@ -149,6 +163,38 @@ def document_frequencies(rows: DataFrame) -> Frequencies:
     return Frequencies(documents, frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy())
 
 
+def _cells(batches, frequencies: Frequencies):
+    """(shingle, text_key): the shingles of every text that are not frequent."""
+    for batch in batches:
+        for piece in cut(batch, BATCH_BYTES):
+            flat, _, offsets = counted(*shingles(piece.column(0)))
+            keys = np.repeat(piece.column(1).to_numpy(), np.diff(offsets))
+            other = frequencies.of(flat) == frequencies.rare
+            yield pa.RecordBatch.from_arrays([pa.array(flat[other].view(np.int64)), pa.array(keys[other])], ["shingle", "text_key"])
+
+
+def shared_shingles(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
+    """(text_key, shingles, documents): the shingles of a text that several documents have but fewer than 1 of CLIP.
+
+    ``rows`` is (doc_id, text, text_key). No shingle here is in more than 1 of CLIP documents, so no key is hot.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(frequencies)
+    counts = rows.select("text").mapInArrow(_counts, "shingle long, documents long")
+    sums = counts.groupBy("shingle").agg(F.sum("documents").alias("documents"))
+    several = sums.filter((F.col("documents") > 1) & (F.col("documents") * CLIP < frequencies.documents))
+    several = materialize(several, "shared-frequencies")
+    cells = rows.filter("doc_id is not null").select("text", "text_key").mapInArrow(lambda batches: _cells(batches, sent.value), "shingle long, text_key long")
+    held = cells.join(several, "shingle").dropDuplicates(["text_key", "shingle"])  # copies of a text have one key
+    lists = held.groupBy("text_key").agg(F.collect_list(F.struct("shingle", "documents")).alias("held"))
+    return materialize(lists.select("text_key", F.col("held.shingle").alias("shingles"), F.col("held.documents").alias("documents")), "shared-shingles")
+
+
+def with_shared(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """``rows`` with the lists of their texts; empty ones where there are none."""
+    none = F.array().cast("array<bigint>")
+    return rows.join(lists, "text_key", "left").withColumns({c: F.coalesce(c, none) for c in ("shingles", "documents")})
+
+
 class Sampler:
     """Consistent weighted samples of weighted shingle sets.
 
@@ -217,13 +263,14 @@ def signatures(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
                     continue
                 digests = word_digests(piece.column(0))
                 flat, times, offsets = counted(flat, offsets)
-                bands = sampler.bands(flat, times, weights.of(flat), np.append(offsets[has], len(flat)))
+                held = listed(piece.column(2), piece.column(3))
+                bands = sampler.bands(flat, times, weights.of(flat, held), np.append(offsets[has], len(flat)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(1).take(pa.array(has)), pa.array([digests[i] for i in has], pa.binary()), lists], ["doc_id", "words", "bands"]
                 )
 
-    return rows.select("text", "doc_id").mapInArrow(sign, SIGNATURE_SCHEMA)
+    return rows.select("text", "doc_id", "shingles", "documents").mapInArrow(sign, SIGNATURE_SCHEMA)
 
 
 def word_digests(column: pa.Array) -> list[bytes]:
@@ -234,25 +281,27 @@ def word_digests(column: pa.Array) -> list[bytes]:
     return [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def weighted_jaccard(left, right, frequencies: Frequencies) -> float:
+def weighted_jaccard(left, right, frequencies: Frequencies, shared=None) -> float:
     """Of two (shingles, times) sets, by the weights times * idf."""
     keys, at = np.unique(np.concatenate([left[0], right[0]]), return_inverse=True)
     a, b = np.zeros(len(keys)), np.zeros(len(keys))
     a[at[: len(left[0])]] = left[1]
     b[at[len(left[0]) :]] = right[1]
-    weights = frequencies.of(keys)
+    weights = frequencies.of(keys, shared)
     return float((np.minimum(a, b) * weights).sum() / (np.maximum(a, b) * weights).sum())
 
 
 def verified(pairs: DataFrame, rows: DataFrame, frequencies: Frequencies, threshold: float) -> DataFrame:
     """The pairs (a, b) of representatives whose weighted Jaccard similarity is at least ``threshold``.
 
-    ``rows`` is (doc_id, text), ids without repeats. Texts of documents in pairs are found first; a
+    ``rows`` is (doc_id, text, shingles, documents), ids without repeats. Texts of documents in pairs are found first; a
     document in many pairs is joined to each of them by a join that adaptive execution can split.
     """
     sent = rows.sparkSession.sparkContext.broadcast(frequencies)
-    left = pairs.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("text_a", "text_b", "a", "b")
+    columns = ("text", "shingles", "documents")
+    left = pairs.join(rows.select(F.col("doc_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns]), "a")
+    both = left.join(rows.select(F.col("doc_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns]), "b")
+    both = both.select("text_a", "text_b", "a", "b", "shingles_a", "documents_a", "shingles_b", "documents_b")
 
     def compare(batches):
         weights = sent.value
@@ -262,7 +311,8 @@ def verified(pairs: DataFrame, rows: DataFrame, frequencies: Frequencies, thresh
                 for i in (0, 1):
                     flat, times, offsets = counted(*shingles(piece.column(i)))
                     sets.append([(flat[a:b], times[a:b]) for a, b in zip(offsets[:-1], offsets[1:])])
-                good = [weighted_jaccard(x, y, weights) >= threshold for x, y in zip(*sets)]
+                held = listed(*(piece.column(i) for i in range(4, 8)))
+                good = [weighted_jaccard(x, y, weights, held) >= threshold for x, y in zip(*sets)]
                 yield piece.select([2, 3]).filter(pa.array(good))
 
     return both.mapInArrow(compare, "a long, b long")
@@ -282,9 +332,9 @@ def shared_weights(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
             for piece in cut(batch, BATCH_BYTES):
                 flat, times, offsets = counted(*shingles(piece.column(0)))
                 ids = np.repeat(piece.column(1).to_numpy(), np.diff(offsets))
-                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids), pa.array(times * weights.of(flat))], ["shingle", "doc_id", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids), pa.array(times * weights.of(flat, listed(piece.column(2), piece.column(3))))], ["shingle", "doc_id", "weight"])
 
-    cells = rows.select("text", "doc_id").mapInArrow(weigh, "shingle long, doc_id long, weight double")
+    cells = rows.select("text", "doc_id", "shingles", "documents").mapInArrow(weigh, "shingle long, doc_id long, weight double")
     slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
     by_slot = lambda name: F.array(*[F.coalesce(F.sum(F.when(slot == i, F.col("weight"))), F.lit(0.0)) for i in range(SLOTS)]).alias(name)
     owners = cells.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("weight").alias("weight"))
@@ -305,7 +355,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """
     rows = texts(docs, id_col, text_col)
     frequencies = document_frequencies(rows)
-    signed = materialize(signatures(rows.filter("doc_id is not null"), frequencies), "signatures")
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
+    lists = shared_shingles(rows, frequencies)
+    signed = materialize(signatures(with_shared(rows.filter("doc_id is not null"), lists), frequencies), "signatures")
     copies = signed.groupBy("words").agg(F.min("doc_id").alias("rep"))
     copies = materialize(copies, "copies")
     membership = signed.select("doc_id", "words").join(copies, "words").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -318,7 +370,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     pairs = materialize(shared.filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     involved = shared.select(F.col("rep").alias("doc_id")).distinct()
     speaking = rows.join(involved.hint("shuffle_hash"), "doc_id", "left_semi")
-    speaking = materialize(speaking.groupBy("doc_id").agg(F.min("text").alias("text")), "involved")
+    speaking = speaking.groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    speaking = materialize(with_shared(speaking, lists).drop("text_key"), "involved")
     links = materialize(verified(pairs, speaking, frequencies, threshold), "verified")
 
     found = components(links)

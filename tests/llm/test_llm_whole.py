@@ -1,11 +1,14 @@
 """Operators against counterparts that take no limit or weight from the modules."""
 
+import math
 import random
+from collections import Counter
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from llm_fixtures import corpus
-from murmur.llm import line_dedup
+from llm_fixtures import Classes, corpus, shingle_counts
+from murmur.llm import line_dedup, near_dedup
 
 
 def spoiled(rng, line, edits):
@@ -34,3 +37,36 @@ def test_lines_may_differ_by_a_tenth_whatever_their_length(spark):
     assert len(found) == len(set(found))
     assert set(found) == want
     assert len(want) > 150
+
+
+def similarity(x, y, n, frequency):
+    weigh = lambda kept: sum(times * math.log1p(n / frequency[s]) for s, times in kept.items())
+    return weigh(x & y) / weigh(x | y)
+
+
+def test_shingles_below_a_hundredth_weigh_by_their_frequency(spark):
+    """Pairs whose own shingles are in one document and whose shared ones in two to five, of 600 documents."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for group in range(60):
+        base = [word() for _ in range(100)]
+        for _ in range(rng.randint(2, 5)):
+            own = list(base)
+            own[-rng.randint(8, 14) :] = [word() for _ in range(rng.randint(5, 14))]
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + i, " ".join(word() for _ in range(20))) for i in range(600 - len(rows))]
+    held = {i: shingle_counts(text) for i, text in rows}
+    frequency = Counter(s for counts in held.values() for s in counts)
+    classes, flat = Classes(), Classes()
+    clipped = Counter({s: max(f, 6) for s, f in frequency.items()})
+    for a, b in combinations(held, 2):
+        if held[a].keys() & held[b].keys():
+            if similarity(held[a], held[b], 600, frequency) >= 0.8:
+                classes.link(a, b)
+            if similarity(held[a], held[b], 600, clipped) >= 0.8:
+                flat.link(a, b)
+    want = {i: classes.find(i) for i in held}
+    assert want != {i: flat.find(i) for i in held}
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == want
