@@ -14,8 +14,14 @@ from murmur.session import materialize, scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter have none."""
-    judged = language.identify(docs, language.train(docs), prefix="stage_")
+    """Documents in a language that was learned; those without a letter have none.
+
+    Where no document that may teach names a language, nothing is learned and those with a letter stay.
+    """
+    model = language.train(docs)
+    if not model.languages:
+        return docs.filter(language.has_letter("text"))
+    judged = language.identify(docs, model, prefix="stage_")
     return judged.filter(judged["stage_lang_pred"] != language.UNKNOWN).select(*docs.columns)
 
 

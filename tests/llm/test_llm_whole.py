@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from llm_fixtures import Classes, corpus, shingle_counts
 from murmur.llm import line_dedup, near_dedup
 
@@ -70,3 +71,11 @@ def test_shingles_below_a_hundredth_weigh_by_their_frequency(spark):
     assert want != {i: flat.find(i) for i in held}
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"]: r["class_id"] for r in found.collect()} == want
+
+
+def test_a_table_without_languages_keeps_what_has_letters(spark):
+    rows = [(1, "some words", None), (2, "12 !!", None), (3, None, None), (4, "слово", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
