@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 
 from murmur.llm.inputs import cut, map_batches, texts, tokenizer_path
 
-MEMO_WORDS = 500_000  # about 100 MB a worker; a full memory is started anew
-MEMO_PAIRS = 500_000
-DECODE_IDS = 1 << 19  # ids that are decoded at a time; a longer document is a group of its own
+MEMO_WORDS = 200_000  # about 40 MB a worker; a full memory is started anew
+MEMO_PAIRS = 200_000
+DECODE_IDS = 1 << 17  # ids that are decoded at a time; a longer document is a group of its own
 
 # The word pattern this encoder cuts by itself, and the end mark of words in the vocabulary.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
