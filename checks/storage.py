@@ -68,7 +68,7 @@ def stored_payloads(spark, d):
     second = p.filter(F.col("platform") == "click").groupBy(F.col("author").alias("key")).agg(F.sum("engagement").cast("string").alias("value")).withColumn("updated_at", F.lit(NOW))
     tables.merge_meta(path, first)
     tables.merge_meta(path, second)
-    return spark.read.parquet(path).select("key", "value")
+    return tables.read_days(spark, path).select("key", "value")
 
 
 def snapshot_replace(spark, d):
@@ -101,14 +101,14 @@ def archived_buckets(spark, d):
     series = buckets.bucket_series(posts(spark, d), NOW)
     archive.archive_buckets(series, NOW, path)
     archive.archive_buckets(series.withColumn("mentions", F.lit(999).cast("bigint")), NOW, path)
-    rows = spark.read.schema("ticker string, bucket_start string, mentions bigint, day date").json(path)
+    rows = archive.read_archive(spark, path, "ticker string, bucket_start string, mentions bigint")
     return rows.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"), F.sum("mentions").alias("mentions"))
 
 
 def archived_authors(spark, d):
     path = scratch_path(spark, "archive")
     archive.archive_author_daily(all_posts(spark, d), NOW, path)
-    rows = spark.read.schema("author string, platform string, ticker string, posts bigint, sentiment_avg double, day date").json(path)
+    rows = archive.read_archive(spark, path, "author string, platform string, ticker string, posts bigint, sentiment_avg double")
     return rows.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("rows"), F.sum("posts").alias("posts"))
 
 
@@ -117,7 +117,7 @@ def archived_trends(spark, d):
     counts = all_posts(spark, d).select(F.explode("tickers").alias("ticker")).groupBy("ticker").agg(F.count("*").alias("mentions"))
     archive.archive_trends(counts, NOW, path)
     archive.archive_trends(counts.withColumn("mentions", F.lit(0).cast("bigint")), NOW, path)
-    rows = spark.read.schema("ticker string, mentions bigint, day date").json(path)
+    rows = archive.read_archive(spark, path, "ticker string, mentions bigint")
     return rows.withColumn("day", F.col("day").cast("string"))
 
 

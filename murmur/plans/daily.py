@@ -87,7 +87,7 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
     stored_buckets = tables.read_days(spark, path["ticker_buckets"]).drop("day")
     archive.archive_buckets(stored_buckets, now, f"{path['archive']}/ticker_buckets")
     archive.archive_trends(sink_columns(trend), now, f"{path['archive']}/ticker_trends")
-    archive.archive_author_daily(tables.read_days(spark, path["posts"]).drop("day"), now, f"{path['archive']}/author_daily")
+    archive.archive_author_daily(tables.read_days(spark, path["posts"]), now, f"{path['archive']}/author_daily")
     tables.prune_days(spark, path["posts"], "ts", now, cfg.retention_days)
     tables.prune_days(spark, path["ticker_buckets"], "bucket_start", now, cfg.retention_days)
 

@@ -1,9 +1,8 @@
-"""Parquet tables: snapshots, day-partitioned merges, retention.
+"""Parquet tables: snapshots, merged tables in cells, retention.
 
-Merges rewrite only the day partitions they touch. Dynamic partition overwrite
-stages the new files first and swaps partitions when the job commits, so a failed
-job leaves the table as it was and a repeated one converges. Each table has a single
-writer.
+Posts, buckets and payloads are kept in cells of (day, hash bucket), see
+``murmur.sinks.cells``: a merge reads and writes only the cells it touches and is visible
+whole or not at all, and one that is run again converges. Each table has a single writer.
 """
 
 from __future__ import annotations
@@ -13,11 +12,9 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.functions.exprs import to_utc
-from murmur.operators.merge import live_buckets, retained, upsert_buckets, upsert_meta, upsert_posts
-from murmur.sinks.storage import drop_day, exists, partition_days
-
-META_SHARDS = 64
+from murmur.functions.exprs import to_utc, ts_lit
+from murmur.operators.merge import live_buckets, upsert_buckets, upsert_meta, upsert_posts
+from murmur.sinks.cells import BUCKETS, bucket_of, current, filter_days, merge_cells, read_cells
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
@@ -25,102 +22,41 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_days(df: DataFrame, path: str, ts_col: str, order: list[str]) -> None:
-    """Overwrite the days present in ``df``.
-
-    Rebalancing gathers small days and splits a large one by its measured size, so a
-    day that holds a third of all rows is still written by many tasks.
-    """
-    (
-        df.withColumn("day", F.to_date(ts_col))
-        .hint("rebalance", "day")
-        .sortWithinPartitions("day", *order)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )
-
-
 def read_days(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A merged table with its partition column ``day``."""
+    return read_cells(spark, path).drop("bucket")
 
 
-def merge_posts(path: str, incoming: DataFrame) -> None:
-    """Upsert posts by id into the day-partitioned table.
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """Days that a merged table holds rows of."""
+    manifest = current(spark, path)
+    return manifest.days if manifest else []
 
-    A known post keeps its time and with it its partition. Only the days of known
-    incoming ids and of new posts are read in full and rewritten.
-    """
-    spark = incoming.sparkSession
-    if not partition_days(spark, path):
-        write_days(incoming, path, "ts", ["ts", "id"])
-        return
-    stored = read_days(spark, path)
-    known = stored.select("id", "day").join(incoming.select("id"), "id", "left_semi").select("day")
-    new = incoming.select(F.to_date("ts").alias("day"))
-    # Distinct days are bounded by the retention period.
-    days = [r["day"] for r in known.union(new).distinct().collect()]
-    touched = stored.filter(F.col("day").isin(days)).drop("day")
-    write_days(upsert_posts(touched, incoming), path, "ts", ["ts", "id"])
 
+def merge_posts(path: str, incoming: DataFrame, buckets: int = BUCKETS) -> None:
+    """Upsert posts by id; ``incoming`` must be unique by id. A known post keeps its time and with it its cell."""
+    merge_cells(path, incoming, "id", lambda: F.to_date("ts"), ["ts", "id"], upsert_posts, keeps_day=True, buckets=buckets)
 
-def merge_buckets(path: str, incoming: DataFrame) -> None:
+
+def merge_buckets(path: str, incoming: DataFrame, buckets: int = BUCKETS) -> None:
     """Upsert non-empty buckets by (ticker, bucket_start, bucket_minutes)."""
-    spark = incoming.sparkSession
-    live = live_buckets(incoming)
-    order = ["ticker", "bucket_start"]
-    if not partition_days(spark, path):
-        write_days(live, path, "bucket_start", order)
-        return
-    days = [r["day"] for r in live.select(F.to_date("bucket_start").alias("day")).distinct().collect()]
-    touched = read_days(spark, path).filter(F.col("day").isin(days)).drop("day")
-    write_days(upsert_buckets(touched, live), path, "bucket_start", order)
-
-
-def _shard(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(META_SHARDS)).cast("int")
-
-
-def merge_meta(path: str, incoming: DataFrame) -> None:
-    """Upsert key/value payloads; a hash shard is the unit that is rewritten."""
-    spark = incoming.sparkSession
-    sharded = incoming.withColumn("shard", _shard("key"))
-    if exists(spark, path):
-        shards = [r["shard"] for r in sharded.select("shard").distinct().collect()]
-        stored = spark.read.parquet(path).filter(F.col("shard").isin(shards))
-        sharded = upsert_meta(stored, sharded)
-    (
-        sharded.hint("rebalance", "shard")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("shard")
-        .parquet(path)
-    )
+    day = lambda: F.to_date("bucket_start")
+    merge_cells(path, live_buckets(incoming), "ticker", day, ["ticker", "bucket_start"], upsert_buckets, buckets=buckets)
 
 
-def read_meta(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Rows of one key; only its shard is scanned."""
-    shard = _shard_of(spark, key)
-    return spark.read.parquet(path).filter((F.col("shard") == shard) & (F.col("key") == key)).drop("shard")
+def merge_meta(path: str, incoming: DataFrame, buckets: int = BUCKETS) -> None:
+    """Upsert key/value payloads, which belong to no day."""
+    merge_cells(path, incoming, "key", lambda: F.lit(None).cast("date"), ["key"], upsert_meta, buckets=buckets)
 
 
-def _shard_of(spark: SparkSession, key: str) -> int:
-    return spark.range(1).select(F.lit(key).alias("key")).select(_shard("key")).first()[0]
+def read_meta(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Rows of one key; only its bucket is scanned, and finding it takes no job."""
+    manifest = current(spark, path)
+    rows = read_cells(spark, path)
+    return rows.filter((F.col("bucket") == bucket_of(F.lit(key), manifest.buckets)) & (F.col("key") == key)).drop("day", "bucket")
 
 
 def prune_days(spark: SparkSession, path: str, ts_col: str, now: datetime, days: int = 30) -> list[date]:
-    """Drop day partitions past the retention; the day of the cut-off keeps its younger rows."""
+    """Drop what is past the retention; the day of the cut-off keeps its younger rows."""
     cutoff = to_utc(now) - timedelta(days=days)
-    dropped = [d for d in partition_days(spark, path) if d < cutoff.date()]
-    for d in dropped:
-        drop_day(spark, path, d)
-    if cutoff.date() in partition_days(spark, path):
-        edge = read_days(spark, path).filter(F.col("day") == F.lit(cutoff.date())).drop("day")
-        young = retained(edge, ts_col, now, days)
-        if young.isEmpty():
-            drop_day(spark, path, cutoff.date())
-            dropped.append(cutoff.date())
-        else:
-            write_days(young, path, ts_col, [ts_col])
-    return dropped
+    return filter_days(spark, path, cutoff.date(), F.col(ts_col) >= ts_lit(cutoff), [ts_col])

@@ -19,7 +19,7 @@ def test_a_full_run_twice(spark, sf_dir, tmp_path):
     assert read("alerts").columns == ["ticker", "kind", "score", "message", "created_at"]
     assert read("fresh_alerts").count() == 0  # the second run raises nothing new
     assert read("correlations").count() == trends.count()
-    keys = {r["key"] for r in read("meta").select("key").collect()}
+    keys = {r["key"] for r in tables.read_days(spark, path["meta"]).select("key").collect()}
     assert {"meta", "brief", "alerts", "backtest", "backtest_events"} <= keys and sum(k.startswith("ticker:") for k in keys) == trends.count()
     brief = tables.read_meta(spark, path["meta"], "brief").first()["value"]
     assert "Market Chatter Brief" in brief

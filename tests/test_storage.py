@@ -3,13 +3,13 @@ import json
 from datetime import date, timedelta
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import NOW, dicts, frame, post
 from murmur import schemas
 from murmur.operators import merge
-from murmur.sinks import archive, artifacts, tables
-from murmur.sinks.storage import partition_days
+from murmur.sinks import archive, artifacts, cells, tables
 from murmur.sources import scans
 
 
@@ -58,19 +58,128 @@ def test_first_trend_snapshot_of_a_day_wins(spark, tmp_path):
     assert [x["mentions"] for x in lines(root, "2026-06-11")] == [10]
 
 
-def test_post_merge_touches_only_its_days(spark, tmp_path):
+def files(path, **parts):
+    """Data files of a table, of one day or bucket, with what they hold."""
+    wanted = [f"{k}={v}" for k, v in parts.items()]
+    found = Path(path).glob("version=*/day=*/bucket=*/*.parquet")
+    return {str(f): f.read_bytes() for f in found if all(w in f.parts for w in wanted)}
+
+
+def test_post_merge_touches_only_its_cells(spark, tmp_path):
     path = str(tmp_path / "posts")
-    tables.merge_posts(path, frame(spark, [post("a", 1, text="old", engagement=5), post("b", 60, engagement=1)]))
-    untouched = sorted(p.name for p in Path(path, "day=2026-06-09").iterdir())
-    update = frame(spark, [post("a", 200, text="new", engagement=3, sentiment="bull", tickers=["AA"]), post("c", 2, engagement=9)])
+    tables.merge_posts(path, frame(spark, [post("a", 1, text="old", engagement=5), post("b", 60, engagement=1), *[post(f"x{i}", 1) for i in range(40)]]), buckets=8)
+    before = files(path)
+    held = tables.read_cells(spark, path).filter("id = 'a'").first()
+    update = frame(spark, [post("a", 200, text="new", engagement=3, sentiment="bull", tickers=["AA"])])
     tables.merge_posts(path, update)
     tables.merge_posts(path, update)
     rows = {r["id"]: r for r in dicts(tables.read_days(spark, path))}
-    assert set(rows) == {"a", "b", "c"}
+    assert len(rows) == 42
     assert rows["a"]["text"] == "old" and rows["a"]["engagement"] == 5
     assert rows["a"]["sentiment"] == "bull" and rows["a"]["tickers"] == ["AA"]
     assert rows["a"]["day"] == date(2026, 6, 11)
-    assert sorted(p.name for p in Path(path, "day=2026-06-09").iterdir()) == untouched
+    after = files(path)
+    replaced = {f for f in before if f not in after}
+    assert replaced and all(f"day=2026-06-11/bucket={held['bucket']}/" in f for f in replaced)
+    assert all(after[f] == data for f, data in before.items() if f not in replaced)
+
+
+def test_a_merge_that_dies_before_its_commit_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "posts")
+    tables.merge_posts(path, frame(spark, [post(f"x{i}", i) for i in range(60)]), buckets=4)
+    before = sorted(map(str, dicts(tables.read_days(spark, path))))
+    update = frame(spark, [post(f"x{i}", i, engagement=9) for i in range(0, 80, 7)])
+
+    def die(*args):
+        raise OSError("lost")
+
+    monkeypatch.setattr(cells, "commit", die)
+    with pytest.raises(OSError):
+        tables.merge_posts(path, update)
+    assert sorted(map(str, dicts(tables.read_days(spark, path)))) == before
+    monkeypatch.undo()
+    tables.merge_posts(path, update)
+    rows = {r["id"]: r["engagement"] for r in dicts(tables.read_days(spark, path))}
+    assert len(rows) == 63 and {r for r, e in rows.items() if e == 9} == {f"x{i}" for i in range(0, 80, 7)}
+    versions = {p.name for p in Path(path).glob("version=*")}
+    named = {f"version={v}" for n in cells._numbers(spark, path) for v in cells._manifest(spark, path, n).cells.values()}
+    assert versions == named  # what the dead merge wrote is gone
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    tables.merge_posts(path, frame(spark, [post("a", 1)]))
+    state = cells.current(spark, path)
+    with pytest.raises(RuntimeError):
+        cells.commit(spark, path, state)
+
+
+def test_a_merge_evaluates_its_input_once(spark, tmp_path):
+    path, seen = str(tmp_path / "posts"), spark.sparkContext.accumulator(0)
+    tables.merge_posts(path, frame(spark, [post(f"x{i}", i) for i in range(50)]))
+
+    @F.udf("string")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    fetched = frame(spark, [post(f"x{i}", i, author="b") for i in range(30, 70)])
+    tables.merge_posts(path, fetched.withColumn("author", counted("author")))
+    assert seen.value == 40 and tables.read_days(spark, path).count() == 70
+
+
+def test_posts_without_a_time_have_a_cell(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    rows = frame(spark, [post("a", 1), post("b", 1)]).withColumn("ts", F.when(F.col("id") == "a", F.col("ts")))
+    for _ in range(2):
+        tables.merge_posts(path, rows)
+    assert sorted((r["id"], r["day"]) for r in tables.read_days(spark, path).collect()) == [("a", date(2026, 6, 11)), ("b", None)]
+    assert tables.stored_days(spark, path) == [date(2026, 6, 11)]
+
+
+def test_merging_nothing(spark, tmp_path):
+    path = str(tmp_path / "posts")
+    tables.merge_posts(path, frame(spark, []))
+    assert tables.read_days(spark, path).count() == 0
+    tables.merge_posts(path, frame(spark, [post("a", 1)]))
+    tables.merge_posts(path, frame(spark, []))
+    assert tables.read_days(spark, path).count() == 1
+
+
+def test_a_half_written_day_is_written_again(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "buckets")
+    rows = bucket_rows(spark, [(t, NOW - timedelta(days=d), 5) for t in "ABC" for d in (1, 2, 3)])
+    torn = Path(root, "day=2026-06-09")
+    torn.mkdir(parents=True)
+    (torn / "part-0.json").write_text('{"ticker": "A"}\n')
+    publish = archive.publish_day
+
+    def die_at_the_last(spark, staged, path, day):
+        if day == date(2026, 6, 10):
+            monkeypatch.setattr(archive, "touch", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        publish(spark, staged, path, day)
+
+    assert archive.archived_days(spark, root) == [] and archive.read_archive(spark, root, "ticker string").count() == 0
+    monkeypatch.setattr(archive, "publish_day", die_at_the_last)
+    with pytest.raises(OSError):
+        archive.archive_buckets(rows, NOW, root)
+    monkeypatch.undo()
+    assert archive.archived_days(spark, root) == [date(2026, 6, 8), date(2026, 6, 9)]
+    assert len(lines(root, "2026-06-09")) == 3 and not list(torn.glob("part-0.json"))
+    again = rows.withColumn("mentions", F.lit(7).cast("bigint"))
+    assert archive.archive_buckets(again, NOW, root) == {"2026-06-10": 3}
+    found = archive.read_archive(spark, root, "ticker string, mentions bigint")
+    assert {(r["day"].day, r["mentions"]): r["count"] for r in found.groupBy("day", "mentions").count().collect()} == {(8, 5): 3, (9, 5): 3, (10, 7): 3}
+
+
+def test_author_days_read_only_days_that_are_not_archived(spark, tmp_path):
+    path, root = str(tmp_path / "posts"), str(tmp_path / "authors")
+    tables.merge_posts(path, frame(spark, [post(f"p{h}", h, ["XYZ"], author=f"a{h % 3}") for h in range(0, 96, 3)]))
+    assert len(archive.archive_author_daily(tables.read_days(spark, path), NOW, root)) == 4
+    rest = archive.unfinished(tables.read_days(spark, path), F.col("day"), archive.archived_days(spark, root))
+    assert {r["day"] for r in rest.select("day").distinct().collect()} == {date(2026, 6, 11)}
+    assert "PartitionFilters: [NOT day" in rest._jdf.queryExecution().executedPlan().toString()
+    assert archive.archive_author_daily(tables.read_days(spark, path), NOW, root) == {}
 
 
 def test_bucket_merge_skips_empty_rows_and_converges(spark, tmp_path):
@@ -90,7 +199,7 @@ def test_payload_merge_and_lookup(spark, tmp_path):
     tables.merge_meta(path, rows({"ticker:AA": "2"}))
     assert [r["value"] for r in tables.read_meta(spark, path, "ticker:AA").collect()] == ["2"]
     assert [r["value"] for r in tables.read_meta(spark, path, "brief").collect()] == ["x"]
-    meta = spark.read.parquet(path)
+    meta = tables.read_days(spark, path)
     assert scans.ticker_payload(meta, "AA").count() == 1
     assert scans.ticker_payload(meta, "aa").count() == 0 and scans.ticker_payload(meta, "TOOLONGX").count() == 0
 
@@ -103,7 +212,7 @@ def test_prune_drops_old_days_and_trims_the_edge(spark, tmp_path):
     tables.merge_posts(path, df)
     tables.prune_days(spark, path, "ts", NOW)
     assert {r["id"] for r in tables.read_days(spark, path).collect()} == {"young", "edge_in"}
-    assert date(2026, 5, 2) not in partition_days(spark, path)
+    assert date(2026, 5, 2) not in tables.stored_days(spark, path)
 
 
 def test_recent_scan_prunes_partitions_and_fills_defaults(spark, tmp_path):
