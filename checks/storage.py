@@ -15,6 +15,7 @@ from murmur.sinks import archive, artifacts, tables
 from murmur.streaming import ingest
 
 DAY = 86_400
+BUCKETS = 2  # a day of the test posts is small
 
 
 def _stored_and_fetched(spark, d):
@@ -44,9 +45,9 @@ def stored_posts(spark, d):
     """The same merge through the day-partitioned table, run twice."""
     path = scratch_path(spark, "posts")
     stored, fetched = _stored_and_fetched(spark, d)
-    tables.merge_posts(path, stored)
-    tables.merge_posts(path, fetched)
-    tables.merge_posts(path, fetched)
+    tables.merge_posts(path, stored, BUCKETS)
+    tables.merge_posts(path, fetched, BUCKETS)
+    tables.merge_posts(path, fetched, BUCKETS)
     return _post_out(tables.read_days(spark, path))
 
 
@@ -55,8 +56,8 @@ def stored_buckets(spark, d):
     path = scratch_path(spark, "buckets")
     p = posts(spark, d)
     yesterday = NOW.replace(day=29)
-    tables.merge_buckets(path, buckets.aligned_bucket_series(p.filter(F.col("ts") <= F.lit(yesterday)), yesterday))
-    tables.merge_buckets(path, buckets.aligned_bucket_series(p, NOW))
+    tables.merge_buckets(path, buckets.aligned_bucket_series(p.filter(F.col("ts") <= F.lit(yesterday)), yesterday), BUCKETS)
+    tables.merge_buckets(path, buckets.aligned_bucket_series(p, NOW), BUCKETS)
     rows = tables.read_days(spark, path).filter(F.col("bucket_start") >= F.lit(NOW) - F.expr("interval 167 hours"))
     return rows.select("ticker", ts_text("bucket_start").alias("bucket_start"), "mentions", "engagement", "sentiment_avg", map_text(F.col("platforms")).alias("platforms"))
 
@@ -66,8 +67,8 @@ def stored_payloads(spark, d):
     p = all_posts(spark, d)
     first = p.groupBy(F.col("author").alias("key")).agg(F.count("*").cast("string").alias("value")).withColumn("updated_at", F.lit(NOW))
     second = p.filter(F.col("platform") == "click").groupBy(F.col("author").alias("key")).agg(F.sum("engagement").cast("string").alias("value")).withColumn("updated_at", F.lit(NOW))
-    tables.merge_meta(path, first)
-    tables.merge_meta(path, second)
+    tables.merge_meta(path, first, BUCKETS)
+    tables.merge_meta(path, second, BUCKETS)
     return tables.read_days(spark, path).select("key", "value")
 
 
@@ -86,7 +87,7 @@ def prune_report(spark, d):
 
 def pruned_posts(spark, d):
     path = scratch_path(spark, "posts")
-    tables.merge_posts(path, all_posts(spark, d).drop("k"))
+    tables.merge_posts(path, all_posts(spark, d).drop("k"), BUCKETS)
     tables.prune_days(spark, path, "ts", NOW, days=7)
     return tables.read_days(spark, path).groupBy("platform").agg(F.count("*").alias("n"), F.min(ts_text("ts")).alias("oldest"))
 
@@ -169,7 +170,7 @@ def stream_buckets(spark, d):
 def stream_upsert(spark, d):
     """Micro-batches merged into the posts table."""
     out, state = scratch_path(spark, "stream-posts"), scratch_path(spark, "state")
-    _run(_stream(spark, d).writeStream.foreachBatch(ingest.posts_into(out)).option("checkpointLocation", state).trigger(availableNow=True).start())
+    _run(_stream(spark, d).writeStream.foreachBatch(ingest.posts_into(out, BUCKETS)).option("checkpointLocation", state).trigger(availableNow=True).start())
     return _post_out(tables.read_days(spark, out))
 
 
@@ -177,7 +178,7 @@ def stream_bucket_upsert(spark, d):
     """Converging buckets with retention in the same writer."""
     out, state = scratch_path(spark, "stream-converge"), scratch_path(spark, "state")
     rows = ingest.tumbling_buckets(_stream(spark, d))
-    writer = ingest.buckets_into(out, retention_days=7, clock=lambda: NOW)
+    writer = ingest.buckets_into(out, retention_days=7, clock=lambda: NOW, buckets=BUCKETS)
     _run(rows.writeStream.foreachBatch(writer).option("checkpointLocation", state).trigger(availableNow=True).start())
     return tables.read_days(spark, out).groupBy("ticker").agg(F.count("*").alias("buckets"), F.sum("mentions").alias("mentions"))
 

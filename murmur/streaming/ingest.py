@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from murmur.functions.exprs import HOUR_US, round_to
 from murmur.operators.alerts import fresh_alerts
 from murmur.operators.dedup import dedupe_posts
+from murmur.sinks.cells import BUCKETS
 from murmur.sinks.storage import exists
 from murmur.sinks.tables import merge_buckets, merge_posts, prune_days, write_snapshot
 
@@ -52,20 +53,20 @@ def tumbling_buckets(posts: DataFrame, bucket: str = "1 hour", lateness: str = L
     )
 
 
-def posts_into(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: upsert each batch of posts; replays converge."""
+def posts_into(path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer: upsert each batch of posts, which is evaluated once; replays converge."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_posts(path, dedupe_posts(batch))
+        merge_posts(path, dedupe_posts(batch), buckets)
 
     return write
 
 
-def buckets_into(path: str, retention_days: int | None = None, clock: Callable | None = None) -> Callable[[DataFrame, int], None]:
+def buckets_into(path: str, retention_days: int | None = None, clock: Callable | None = None, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` writer: upsert buckets, then prune when a clock is given."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_buckets(path, batch)
+        merge_buckets(path, batch, buckets)
         if retention_days is not None and clock is not None:
             prune_days(batch.sparkSession, path, "bucket_start", clock(), retention_days)
 
