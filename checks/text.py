@@ -9,7 +9,8 @@ from murmur.functions import fixed_values as fv
 from murmur.functions.stats import sentiment_label
 from murmur.functions.text import copypaste_fingerprint
 from murmur.operators import dedup, entities as ents, sentiment
-from murmur.sources.dictionary import Dictionary, enrich_entities
+from murmur.session import scratch_path
+from murmur.sources.dictionary import Dictionary, enrich_entities, entries_to_terms, read_entries
 
 # A dictionary over words that occur in the documents, so that every rule fires.
 DOC_DICTIONARY = Dictionary.build(
@@ -97,6 +98,30 @@ def extract_tickers_by_join(spark, d):
     return tagged.select(F.col("id").alias("doc_id"), F.array_join(F.array_sort("tickers"), ",").alias("found"))
 
 
+def _part_entries(spark, d):
+    """A dictionary written as lines: every part is an entity named by its words; some symbols are blocked."""
+    path = scratch_path(spark, "dictionary")
+    part = table(spark, d, "part")
+    symbol = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
+    words = F.split(F.lower("p_name"), " ")
+    entries = part.select(
+        symbol.alias("ticker"), F.col("p_name").alias("name"), F.col("p_brand").alias("sector"),
+        F.when(F.col("p_partkey") % 5 != 0, F.array(F.lower("p_name"), words[0])).alias("aliases"),
+        F.when(F.col("p_partkey") % 9 == 0, symbol).alias("blocked"),
+    )
+    entries.write.json(path)
+    return read_entries(spark, path)
+
+
+def loaded_dictionary(spark, d):
+    """The terms of a dictionary read back from its files."""
+    return entries_to_terms(_part_entries(spark, d), ambiguous=["P7", "P11"])
+
+
+def loaded_entities(spark, d):
+    return _part_entries(spark, d).select("ticker", "name", "sector", F.size(F.coalesce("aliases", F.array().cast("array<string>"))).alias("n_aliases"))
+
+
 def entity_enrichment(spark, d):
     counts = all_posts(spark, d).select(F.explode("tickers").alias("ticker")).groupBy("ticker").agg(F.count("*").alias("n"))
     return enrich_entities(counts, entities(spark))
@@ -126,7 +151,6 @@ WORD = r"[\p{L}\p{N}_]"
 
 def lexicon_sql(source: str, key: str, bull, bear) -> str:
     """Per row of ``source`` (key, text): the signed phrase sum ``raw``."""
-    negators = "|".join(w.replace("'", "''") for w in fv.NEGATOR_WORDS)
     factors = " * ".join(
         f"(case when ends_with(rtrim(prefix, ' ' || chr(9) || chr(10) || chr(13)), '{w}') then {m}::double else 1.0::double end)"
         for w, m in fv.INTENSIFIERS.items()
@@ -137,7 +161,7 @@ cut as (select s.{key} key, phrase, w, string_split(' ' || lower(s.text) || ' ',
         from {source} s join lex on contains(' ' || lower(s.text) || ' ', phrase)),
 occ as (select key, phrase, w, right(list_reduce(parts[1:i], lambda a, b: a || phrase || b), 30) prefix
         from (select *, unnest(range(1, len(parts))) i from cut)),
-raws as (select key, sum(w * (case when regexp_matches(prefix, '(^|[^\p{{L}}\p{{N}}_])({negators})\s+({WORD}+\s+){{0,2}}$') then -0.8::double else 1.0::double end) * {factors}) raw
+raws as (select key, sum(w * (case when regexp_matches(prefix, '(^|[^\p{{L}}\p{{N}}_])(not|no|never|isn''t|aren''t|won''t|don''t|doesn''t|wasn''t)\s+({WORD}+\s+){{0,2}}$') then -0.8::double else 1.0::double end) * {factors}) raw
          from occ group by key)
 """
 
@@ -176,6 +200,7 @@ def _set_text(expr: str) -> str:
     return f"array_to_string(list_sort(list_distinct({expr})), ',') found"
 
 
+PARTS_SQL = "parts as (select *, 'P' || p_partkey ticker from part)"
 FIX = fixture_dictionary()
 
 QUERIES = {
@@ -208,6 +233,18 @@ QUERIES = {
         extract_tickers_by_join,
         f"select doc_id, {_set_text('list_concat(' + _cash_sql(DOC_DICTIONARY) + ', ' + _bare_sql(DOC_DICTIONARY) + ', ' + _alias_sql(DOC_DICTIONARY) + ')')} from documents",
     ),
+    "loaded_dictionary": (
+        loaded_dictionary,
+        with_ctes(PARTS_SQL)
+        + "select 'cashtag' kind, ticker term, ticker, 0::int as rank from parts "
+        "union all select 'bare', ticker, ticker, 0 from parts where p_partkey % 9 <> 0 and ticker not in ('P7', 'P11') "
+        "union all select distinct 'alias', a, ticker, -length(a) from (select ticker, unnest([lower(p_name), string_split(lower(p_name), ' ')[1]]) a from parts where p_partkey % 5 <> 0) "
+        "union all select 'blocked', ticker, null, 0 from parts where p_partkey % 9 = 0",
+    ),
+    "loaded_entities": (
+        loaded_entities,
+        with_ctes(PARTS_SQL) + "select ticker, p_name as name, p_brand sector, case when p_partkey % 5 <> 0 then 2 else 0 end n_aliases from parts",
+    ),
     "entity_enrichment": (
         entity_enrichment,
         with_ctes(POSTS_SQL, ENTITIES_SQL)

@@ -44,7 +44,7 @@ BEAR_PHRASES = {
 }
 
 # --- fixed values: negators and intensifiers -------------------------------
-NEGATOR_WORDS = ("not", "no", "never", "isn't", "aren't", "won't", "don't", "doesn't", "wasn't")
+NEGATED = r"(?U)\b(not|no|never|isn't|aren't|won't|don't|doesn't|wasn't)\s+(\w+\s+){0,2}$"
 INTENSIFIERS = {"absolutely": 1.4, "insanely": 1.4, "massively": 1.3, "huge": 1.2, "very": 1.15}
 NEGATION_FACTOR = -0.8
 PREFIX_CHARS = 30
@@ -57,6 +57,11 @@ PLATFORM_AUTHORITY = {
     "reddit": 1.3, "stocktwits": 1.0, "bluesky": 0.9, "mastodon": 0.8, "sample": 1.0,
 }
 
+# --- fixed values: symbols in texts ------------------------------------------
+CASHTAG = r"(?U)\$([A-Za-z][A-Za-z.]{0,5})\b"
+BARE_SYMBOL = r"(?U)\b([A-Z][A-Z.]{1,5})\b"
+PLAUSIBLE_SYMBOL = "^[A-Z]{2,5}$"
+
 # --- fixed values: symbols that read as ordinary words when bare ------------
 AMBIGUOUS_SYMBOLS = (
     "NOW", "NET", "ARM", "ALL", "ANY", "F", "T", "C", "V", "MA", "MS", "GS", "GE", "GM",
@@ -74,16 +79,25 @@ FILING_BLURBS = {
 }
 
 # --- fixed values: vocabulary stopwords -------------------------------------
-STOPWORDS = tuple(
-    (
-        "a about after all also an and any are as at be been before being but by can could "
-        "did do does for from had has have he her his how i if in into is it its just like "
-        "me more most my no not now of on one or our out over so some than that the their "
-        "them then there these they this to up us was we were what when which who will with "
-        "would you your yours im dont thats whats theres"
-    ).split()
+STOPWORDS = (
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "before",
+    "being", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "he",
+    "her", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "like", "me", "more", "most",
+    "my", "no", "not", "now", "of", "on", "one", "or", "our", "out", "over", "so", "some", "than", "that",
+    "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "us", "was", "we", "were",
+    "what", "when", "which", "who", "will", "with", "would", "you", "your", "yours", "im", "dont", "thats",
+    "whats", "theres",
 )
 
+# --- fixed values: topics ---------------------------------------------------
+TOPIC_SERIES_HOURS = 72
+TOPIC_BUCKET_HOURS = 3
+TOPIC_MIN_POSTS = 50
+TOPIC_MIN_MEMBERS = 28
+TOPIC_MEMBER_SHARE = 55
+BIGRAM_BOOST = 1.6
+TREND_RATIO = 1.3
+
 # --- fixed values: field names accepted by the file loader ------------------
 FIELD_ALIASES = {
     "text": ("text", "body", "title", "content", "message", "selftext"),

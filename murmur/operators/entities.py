@@ -1,53 +1,75 @@
 """Entity extraction: cashtags, bare symbols and alias phrases.
 
-Everything happens inside the row, so tagging adds no shuffle to the scan.
+Everything happens inside the row, so tagging adds no shuffle to the scan. Dictionaries that
+are too large for a plan are joined as tables.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.exprs import bind, string_array
+from murmur.functions.fixed_values import BARE_SYMBOL, CASHTAG, PLAUSIBLE_SYMBOL
+from murmur.functions.lookup import member, slotted
 from murmur.sources.dictionary import Dictionary
 
-CASHTAG = r"(?U)\$([A-Za-z][A-Za-z.]{0,5})\b"
-BARE = r"(?U)\b([A-Z][A-Z.]{1,5})\b"
+# Above this a dictionary is joined as a table; below it is a literal of the plan.
+PLAN_TERMS = 200_000
 
 
 def cashtags(text: Column, d: Dictionary) -> Column:
     """Known symbols, or two to five letters that are not blocked."""
     found = F.transform(F.regexp_extract_all(text, F.lit(CASHTAG), F.lit(1)), F.upper)
-    known, blocked = sorted(d.symbols), sorted(d.blocklist)
-    plausible = lambda s: s.rlike("^[A-Z]{2,5}$") & ~s.isin(blocked)
-    return F.array_distinct(F.filter(found, lambda s: s.isin(known) | plausible(s)))
+    known, blocked = member(d.symbols), member(d.blocklist)
+    return F.array_distinct(F.filter(found, lambda s: known(s) | (s.rlike(PLAUSIBLE_SYMBOL) & ~blocked(s))))
 
 
 def bare_symbols(text: Column, d: Dictionary) -> Column:
     """Upper-case known symbols that are neither ambiguous nor blocked."""
-    found = F.regexp_extract_all(text, F.lit(BARE), F.lit(1))
-    allowed = sorted(set(d.symbols) - d.ambiguous - d.blocklist)
-    return F.array_distinct(F.filter(found, lambda s: s.isin(allowed)))
+    found = F.regexp_extract_all(text, F.lit(BARE_SYMBOL), F.lit(1))
+    allowed = member(set(d.symbols) - d.ambiguous - d.blocklist)
+    return F.array_distinct(F.filter(found, allowed))
+
+
+def of_words(phrase: str) -> bool:
+    """Whether a phrase begins and ends with a word and splits into words alike in Python and the JVM."""
+    same = all(unicodedata.category(c)[0] != "M" and c.isnumeric() == c.isdecimal() for c in phrase)
+    return same and re.fullmatch(r"\w(.*\w)?", phrase, re.DOTALL) is not None
 
 
 def alias_symbols(text: Column, d: Dictionary) -> Column:
     """Symbols whose alias phrase occurs between word boundaries, longest phrase first.
 
-    A plain substring test rules out nearly all phrases; only phrases that occur at
-    all are tested with their word boundaries.
+    The text is cut once into its runs of neighbouring words, as long as the longest phrase
+    has words, and each run is looked up: the cost does not depend on the number of
+    aliases. Phrases that do not begin and end with a word are searched for one by one.
     """
     if not d.aliases:
         return string_array([])
-    table = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit(s).alias("symbol")) for p, s in d.aliases])
-
-    def occurs(low: Column, e: Column) -> Column:
-        bounded = F.concat(F.lit(r"(?U)\b\Q"), e["phrase"], F.lit(r"\E\b"))
-        return F.contains(low, e["phrase"]) & F.regexp_like(low, bounded)
-
-    return bind(
-        F.lower(text),
-        lambda low: F.array_distinct(F.transform(F.filter(table, lambda e: occurs(low, e)), lambda e: e["symbol"])),
-    )
+    entries: dict[str, list] = {}
+    odd = []
+    for rank, (phrase, symbol) in enumerate(d.aliases):
+        if of_words(phrase):
+            entries.setdefault(phrase, []).append({"rank": rank, "symbol": symbol})
+        else:
+            odd.append((rank, phrase, symbol))
+    hit = "array<struct<rank:int,symbol:string>>"
+    find = slotted(entries, hit)
+
+    def hits(low: Column) -> Column:
+        looked_up = F.flatten(F.filter(F.transform(_phrases(low, d.max_words()), find), lambda x: x.isNotNull()))
+        searched = [
+            F.when(F.contains(low, F.lit(p)) & low.rlike(rf"(?U)\b\Q{p}\E\b"), F.struct(F.lit(rank).alias("rank"), F.lit(s).alias("symbol")))
+            for rank, p, s in odd
+        ]
+        both = F.concat(looked_up, F.array_compact(F.array(*searched)).cast(hit)) if searched else looked_up
+        return F.array_distinct(F.transform(F.array_sort(both), lambda x: x["symbol"]))
+
+    return F.coalesce(bind(F.lower(text), hits), string_array([]))
 
 
 def extract_tickers(text: Column, d: Dictionary) -> Column:
@@ -55,8 +77,14 @@ def extract_tickers(text: Column, d: Dictionary) -> Column:
     return F.array_distinct(F.concat(cashtags(text, d), bare_symbols(text, d), alias_symbols(text, d)))
 
 
-def tag_posts(posts: DataFrame, d: Dictionary) -> DataFrame:
-    """Merge extracted symbols behind the ones a post already carries."""
+def tag_posts(posts: DataFrame, d: Dictionary, plan_terms: int = PLAN_TERMS) -> DataFrame:
+    """Merge extracted symbols behind the ones a post already carries.
+
+    A dictionary of up to ``plan_terms`` terms travels with the plan and adds no shuffle; a
+    larger one is joined as a table, which needs posts that are unique by id.
+    """
+    if d.size() > plan_terms:
+        return tag_posts_by_join(posts, d.terms(posts.sparkSession), d.max_words())
     own = F.coalesce("tickers", F.array().cast("array<string>"))
     return posts.withColumn("tickers", F.array_distinct(F.concat(own, extract_tickers(F.col("text"), d))))
 
@@ -70,8 +98,8 @@ def _numbered(terms: Column, kind: str) -> Column:
     return F.transform(terms, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), i.alias("pos")))
 
 
-def _phrases(text: Column, max_words: int) -> Column:
-    """All runs of up to ``max_words`` neighbouring words with their own separators."""
+def _phrases(low: Column, max_words: int) -> Column:
+    """All runs of up to ``max_words`` neighbouring words of a lower-case text with their own separators."""
 
     def runs(parts: Column) -> Column:
         pieces, words = parts["pieces"], parts["words"]
@@ -83,7 +111,6 @@ def _phrases(text: Column, max_words: int) -> Column:
             found.append(_runs_of(starts, pieces, words, k))
         return F.array_distinct(F.concat(*found))
 
-    low = F.lower(text)
     split = F.struct(
         F.regexp_extract_all(low, F.lit(r"(?U)\w+\W*"), F.lit(0)).alias("pieces"),
         F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)).alias("words"),
@@ -109,11 +136,11 @@ def tag_posts_by_join(posts: DataFrame, terms: DataFrame, max_words: int) -> Dat
     """
     text = F.col("text")
     cash = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CASHTAG), F.lit(1)), lambda s: F.upper(s)))
-    bare = F.array_distinct(F.regexp_extract_all(text, F.lit(BARE), F.lit(1)))
+    bare = F.array_distinct(F.regexp_extract_all(text, F.lit(BARE_SYMBOL), F.lit(1)))
     candidates = posts.select(
         "id",
         F.explode(
-            F.concat(_numbered(cash, "cashtag"), _numbered(bare, "bare"), _numbered(_phrases(text, max_words), "alias"))
+            F.concat(_numbered(cash, "cashtag"), _numbered(bare, "bare"), _numbered(_phrases(F.lower(text), max_words), "alias"))
         ).alias("c"),
     ).select("id", "c.kind", "c.term", "c.pos")
     listed = terms.filter(F.col("kind").isin(*KINDS))
@@ -122,7 +149,7 @@ def tag_posts_by_join(posts: DataFrame, terms: DataFrame, max_words: int) -> Dat
     )
     taken = terms.filter(F.col("kind").isin("cashtag", "blocked")).select("term").distinct()
     unknown = (
-        candidates.filter((F.col("kind") == "cashtag") & F.col("term").rlike("^[A-Z]{2,5}$"))
+        candidates.filter((F.col("kind") == "cashtag") & F.col("term").rlike(PLAUSIBLE_SYMBOL))
         .join(taken, "term", "left_anti")
         .select("id", "kind", F.col("pos").alias("place"), F.col("term").alias("ticker"))
     )

@@ -11,8 +11,6 @@ from murmur.functions import fixed_values as fv
 from murmur.functions.exprs import bind, lookup, round_to
 from murmur.functions.stats import influence_weight, sentiment_label
 
-_NEGATED = r"(?U)\b(" + "|".join(fv.NEGATOR_WORDS) + r")\s+(\w+\s+){0,2}$"
-
 
 def _phrase_table(bull: Mapping[str, float], bear: Mapping[str, float]) -> Column:
     rows = [(p, w) for p, w in bull.items()] + [(p, -w) for p, w in bear.items()]
@@ -21,7 +19,7 @@ def _phrase_table(bull: Mapping[str, float], bear: Mapping[str, float]) -> Colum
 
 def _hit_factor(prefix: Column) -> Column:
     """Negation and intensifier factor for one hit, from the text right before it."""
-    factor = F.when(prefix.rlike(_NEGATED), F.lit(fv.NEGATION_FACTOR)).otherwise(F.lit(1.0))
+    factor = F.when(prefix.rlike(fv.NEGATED), F.lit(fv.NEGATION_FACTOR)).otherwise(F.lit(1.0))
     tail = F.regexp_replace(prefix, r"(?U)\s+$", "")
     for word, mult in fv.INTENSIFIERS.items():
         factor = factor * F.when(tail.endswith(word), F.lit(mult)).otherwise(F.lit(1.0))

@@ -13,15 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.functions import fixed_values as fv
 from murmur.functions.exprs import floor_div, micros, round_to, to_utc, top_per_group, ts_lit
 from murmur.functions.text import unigrams_and_bigrams, vocab_tokens
 from murmur.operators.trends import mentions
 from murmur.session import materialize, scratch_path
 
-SERIES_HOURS = 72
-SERIES_BUCKET_H = 3
-MIN_POSTS = 50
-
 
 # --- vocabulary and vectors -------------------------------------------------
 
@@ -206,7 +203,7 @@ def cluster(reduced: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:
     labelled = model.transform(reduced)
     sizes = labelled.groupBy("topic_id").agg(F.count("*").alias("__size"))
     kept = labelled.join(sizes, "topic_id", "left")
-    floor = max(28, n // 55)
+    floor = max(fv.TOPIC_MIN_MEMBERS, n // fv.TOPIC_MEMBER_SHARE)
     return kept.withColumn("topic_id", F.when(F.col("__size") >= floor, F.col("topic_id")).otherwise(F.lit(-1))).drop("__size")
 
 
@@ -227,7 +224,7 @@ def cluster_term_scores(docs: DataFrame, min_count: int = 2) -> DataFrame:
     totals = counts.groupBy("topic_id").agg(F.sum("cnt").alias("total"))
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
     n_topics = docs.filter(F.col("topic_id") != -1).agg(F.count_distinct("topic_id")).scalar()
-    boost = F.when(F.contains("term", F.lit(" ")), 1.6).otherwise(1.0)
+    boost = F.when(F.contains("term", F.lit(" ")), fv.BIGRAM_BOOST).otherwise(1.0)
     score = F.col("cnt") / F.col("total") * F.log(1 + n_topics / F.col("df")) * boost
     return (
         counts.filter(F.col("cnt") >= min_count)
@@ -322,9 +319,9 @@ def topic_tickers(posts: DataFrame, k: int = 6) -> DataFrame:
 
 def topic_activity(posts: DataFrame, now: datetime) -> DataFrame:
     """Three-hourly counts of the last 72 hours, oldest first, and their trend."""
-    n = SERIES_HOURS // SERIES_BUCKET_H
-    start = to_utc(now) - timedelta(hours=SERIES_HOURS)
-    width = SERIES_BUCKET_H * 3_600_000_000
+    n = fv.TOPIC_SERIES_HOURS // fv.TOPIC_BUCKET_HOURS
+    start = to_utc(now) - timedelta(hours=fv.TOPIC_SERIES_HOURS)
+    width = fv.TOPIC_BUCKET_HOURS * 3_600_000_000
     idx = F.least(F.lit(n - 1), floor_div(F.unix_micros("ts") - F.lit(micros(start)), width)).cast("int")
     counts = (
         posts.filter(F.col("topic_id") != -1)
@@ -344,8 +341,8 @@ def topic_activity(posts: DataFrame, now: datetime) -> DataFrame:
         .withColumn("late", late)
         .withColumn(
             "trend",
-            F.when(F.col("late") > F.col("early") * 1.3, "rising")
-            .when(F.col("late") * 1.3 < F.col("early"), "cooling")
+            F.when(F.col("late") > F.col("early") * fv.TREND_RATIO, "rising")
+            .when(F.col("late") * fv.TREND_RATIO < F.col("early"), "cooling")
             .otherwise("flat"),
         )
         .select("topic_id", "series", "trend")
@@ -423,7 +420,7 @@ def recency_sample(posts: DataFrame, n: int) -> DataFrame:
 
 def compute_topics(posts: DataFrame, now: datetime, k: int = 12, max_features: int = 4000) -> tuple[DataFrame, DataFrame] | None:
     """(topics, points) over all given posts, or None below the minimum of posts."""
-    if posts.limit(MIN_POSTS).count() < MIN_POSTS:
+    if posts.limit(fv.TOPIC_MIN_POSTS).count() < fv.TOPIC_MIN_POSTS:
         return None
     docs = posts.drop("topic_id").withColumn("terms", vector_terms(F.col("text")))
     reduced = svd_reduce(tfidf_vectors(docs, max_features).drop("terms"))

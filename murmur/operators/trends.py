@@ -17,6 +17,7 @@ from murmur.functions import fixed_values as fv
 from murmur.functions.exprs import HOUR_US, floor_div, micros, round_to, to_utc, top_per_group, ts_lit
 from murmur.functions.stats import EPS, breakout_score, bull_bear_ratio, classify_phase, mood_label, velocity
 from murmur.operators.sentiment import post_weight, weighted_sentiment_agg
+from murmur.session import materialize
 from murmur.sources.dictionary import enrich_entities
 
 SPIKE_HOURS = 6
@@ -127,29 +128,27 @@ def sparkline(window_hours: int) -> Column:
     )
 
 
-def core_trends(
-    posts: DataFrame,
-    now: datetime,
-    window_hours: int = 24,
-    history_hours: int = 168,
-    min_mentions: int = 3,
-    authority=fv.PLATFORM_AUTHORITY,
-) -> DataFrame:
-    """One row per ticker above the mention floor, without the per-platform and top-post parts."""
+def ticker_cells(posts: DataFrame, now: datetime, window_hours: int = 24, history_hours: int = 168, authority=fv.PLATFORM_AUTHORITY) -> DataFrame:
+    """Additive measures and the earliest time per (ticker, hours ago, platform): the one pass over the posts that trends need."""
     reach = max(history_hours, 2 * window_hours)
     recent = posts.filter(F.col("ts") >= ts_lit(to_utc(now) - timedelta(hours=reach)))
-    cells = (
+    return (
         mentions(recent, "ts", "platform", "engagement", "sentiment", "sentiment_score")
         .withColumn("a", F.greatest(hours_ago(now), F.lit(1)))
-        .groupBy("ticker", "a")
-        .agg(*cell_sums(authority))
+        .groupBy("ticker", "a", "platform")
+        .agg(*cell_sums(authority), F.min("ts").alias("first_ts"))
     )
+
+
+def core_of_cells(cells: DataFrame, window_hours: int = 24, history_hours: int = 168, min_mentions: int = 3) -> DataFrame:
+    """The counted part of the trends from ``ticker_cells``; the share of voice counts tickers below the floor too."""
+    spoken = cells.filter(F.col("a") <= window_hours).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     stats = window_stats(cells, ["ticker"], window_hours, history_hours)
     return (
         derive_metrics(stats, window_hours, history_hours)
         .filter(F.col("mentions") >= min_mentions)
         .withColumn("window_hours", F.lit(window_hours))
-        .withColumn("share_of_voice", round_to(F.col("mentions") / (window_mentions(posts, now, window_hours) + EPS), 5))
+        .withColumn("share_of_voice", round_to(F.col("mentions") / (spoken + EPS), 5))
         .select(
             "ticker", "window_hours", "mentions", "mentions_prev", "velocity", "breakout_score", "phase",
             "share_of_voice", "sentiment_avg", "bull", "bear", "neutral", "bull_bear_ratio", "engagement",
@@ -158,17 +157,33 @@ def core_trends(
     )
 
 
+def platforms_of_cells(cells: DataFrame, window_hours: int = 24) -> DataFrame:
+    """Per ticker: platform histogram map and the platform that spoke first, from ``ticker_cells``."""
+    per = cells.filter(F.col("a") <= window_hours).groupBy("ticker", "platform").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"))
+    return _platform_maps(per)
+
+
+def core_trends(
+    posts: DataFrame,
+    now: datetime,
+    window_hours: int = 24,
+    history_hours: int = 168,
+    min_mentions: int = 3,
+    authority=fv.PLATFORM_AUTHORITY,
+) -> DataFrame:
+    """One row per ticker above the mention floor, without the per-platform and top-post parts.
+
+    The posts are read once: their cells are written out and everything is folded from those.
+    """
+    cells = materialize(ticker_cells(posts, now, window_hours, history_hours, authority), "ticker-cells")
+    return core_of_cells(cells, window_hours, history_hours, min_mentions)
+
+
 def in_window(posts: DataFrame, now: datetime, window_hours: int) -> DataFrame:
     """Posts of the current window; the lower edge counts, there is no upper edge."""
     return posts.filter(F.col("ts") >= ts_lit(to_utc(now) - timedelta(hours=window_hours)))
 
 
-def window_mentions(posts: DataFrame, now: datetime, window_hours: int) -> Column:
-    """Scalar subquery: all mentions of the window, below-floor tickers included."""
-    window = in_window(posts, now, window_hours)
-    return window.agg(F.coalesce(F.sum(F.size(F.array_distinct("tickers"))), F.lit(0))).scalar()
-
-
 def platform_counts(posts: DataFrame, now: datetime, window_hours: int = 24) -> DataFrame:
     """Mentions and earliest time per (ticker, platform) in the window."""
     return mentions(in_window(posts, now, window_hours), "platform", "ts").groupBy("ticker", "platform").agg(
@@ -178,7 +193,11 @@ def platform_counts(posts: DataFrame, now: datetime, window_hours: int = 24) ->
 
 def platform_summary(posts: DataFrame, now: datetime, window_hours: int = 24) -> DataFrame:
     """Per ticker: platform histogram map and the platform that spoke first."""
-    return platform_counts(posts, now, window_hours).groupBy("ticker").agg(
+    return _platform_maps(platform_counts(posts, now, window_hours))
+
+
+def _platform_maps(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("ticker").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("platform", "n")))).alias("platforms"),
         F.min(F.struct("first_ts", "platform"))["platform"].alias("origin_platform"),
     )
@@ -214,11 +233,11 @@ def ticker_trends(
     min_mentions: int = 3,
     authority=fv.PLATFORM_AUTHORITY,
 ) -> DataFrame:
-    """The complete trend row per ticker."""
-    core = core_trends(posts, now, window_hours, history_hours, min_mentions, authority)
+    """The complete trend row per ticker: one pass over the posts for the cells, one for the top posts."""
+    cells = materialize(ticker_cells(posts, now, window_hours, history_hours, authority), "ticker-cells")
     return (
-        enrich_entities(core, entities)
-        .join(platform_summary(posts, now, window_hours), "ticker", "left")
+        enrich_entities(core_of_cells(cells, window_hours, history_hours, min_mentions), entities)
+        .join(platforms_of_cells(cells, window_hours), "ticker", "left")
         .join(top_posts(posts, now, window_hours), "ticker", "left")
     )
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from murmur import schemas
 from murmur.functions.fixed_values import AMBIGUOUS_SYMBOLS
 
-# The dictionary becomes constants of the plan; a larger one belongs in a table.
-MAX_DICTIONARY_TERMS = 20_000
+TERMS = "kind string, term string, ticker string, rank int"
+ENTRY = "name string, sector string, aliases array<string>"
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,6 @@ class Dictionary:
     def build(cls, symbols: dict[str, dict], blocklist=(), ambiguous=AMBIGUOUS_SYMBOLS) -> Dictionary:
         """From ``{symbol: {"name", "sector", "aliases"}}``."""
         pairs = [(a.lower(), s) for s, info in symbols.items() for a in info.get("aliases", [])]
-        if len(symbols) + len(pairs) > MAX_DICTIONARY_TERMS:
-            raise ValueError(f"more than {MAX_DICTIONARY_TERMS} terms: keep them as a table and use tag_posts_by_join")
         pairs.sort(key=lambda p: -len(p[0]))
         return cls(
             {s: (info["name"], info["sector"]) for s, info in symbols.items()},
@@ -46,6 +44,9 @@ class Dictionary:
         data = json.loads(row[0])
         return cls.build(data["tickers"], data.get("blocklist", []))
 
+    def size(self) -> int:
+        return len(self.symbols) + len(self.aliases) + len(self.blocklist)
+
     def entities(self, spark: SparkSession) -> DataFrame:
         rows = [(s, name, sector) for s, (name, sector) in self.symbols.items()]
         return spark.createDataFrame(rows, schemas.ENTITIES)
@@ -56,7 +57,7 @@ class Dictionary:
         rows = [("cashtag", s, s, 0) for s in self.symbols] + [("bare", s, s, 0) for s in sorted(bare)]
         rows += [("alias", phrase, s, rank) for rank, (phrase, s) in enumerate(self.aliases)]
         rows += [("blocked", s, None, 0) for s in sorted(self.blocklist)]
-        return spark.createDataFrame(rows, "kind string, term string, ticker string, rank int")
+        return spark.createDataFrame(rows, TERMS)
 
     def max_words(self) -> int:
         """Words of the longest alias phrase."""
@@ -67,6 +68,43 @@ class Dictionary:
         return spark.createDataFrame(rows, "rank int, alias string, ticker string")
 
 
+def read_entries(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """ticker, name, sector, aliases, blocked: the entries of a dictionary kept as files.
+
+    Lines hold one entry each, ``{"ticker", "name", "sector", "aliases"}`` or ``{"blocked":
+    symbol}``, and are read in many tasks; with ``whole`` each file is one object of the form
+    that ``Dictionary.load`` reads. Names default to the symbol, sectors to Other; entries
+    without a symbol are left out.
+    """
+    nested = "struct<name:string,sector:string,aliases:array<string>>"
+    rows = spark.read.schema(f"ticker string, {ENTRY}, blocked string, tickers map<string,{nested}>, blocklist array<string>").json(path, multiLine=whole)
+    line = F.struct("ticker", "name", "sector", "aliases", "blocked")
+    of_map = F.transform(
+        F.map_entries("tickers"),
+        lambda e: F.struct(e["key"], e["value"]["name"], e["value"]["sector"], e["value"]["aliases"], F.lit(None).cast("string")),
+    )
+    text = F.lit(None).cast("string")
+    of_list = F.transform("blocklist", lambda b: F.struct(text, text, text, F.lit(None).cast("array<string>"), b))
+    kind = "array<struct<ticker:string,name:string,sector:string,aliases:array<string>,blocked:string>>"
+    none = F.array().cast(kind)
+    entries = F.concat(F.array(line), F.coalesce(of_map.cast(kind), none), F.coalesce(of_list.cast(kind), none))
+    listed = rows.select(F.inline(entries)).filter(F.col("ticker").isNotNull() | F.col("blocked").isNotNull())
+    return listed.select("ticker", F.coalesce("name", "ticker").alias("name"), F.coalesce("sector", F.lit("Other")).alias("sector"), "aliases", "blocked")
+
+
+def entries_to_terms(entries: DataFrame, ambiguous=AMBIGUOUS_SYMBOLS) -> DataFrame:
+    """The lookup table of ``entities.tag_posts_by_join`` from ``read_entries``; longer aliases rank first."""
+    symbols = entries.filter(F.col("ticker").isNotNull()).select("ticker").distinct()
+    blocked = entries.filter(F.col("blocked").isNotNull()).select(F.col("blocked").alias("term")).distinct()
+    bare = symbols.filter(~F.col("ticker").isin(list(ambiguous))).join(blocked, F.col("ticker") == F.col("term"), "left_anti")
+    as_terms = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("ticker").alias("term"), "ticker", F.lit(0).alias("rank"))
+    aliases = entries.select("ticker", F.explode("aliases").alias("term")).select(
+        F.lit("alias").alias("kind"), F.lower("term").alias("term"), "ticker", (-F.length("term")).alias("rank")
+    )
+    held_back = blocked.select(F.lit("blocked").alias("kind"), "term", F.lit(None).cast("string").alias("ticker"), F.lit(0).alias("rank"))
+    return as_terms(symbols, "cashtag").unionByName(as_terms(bare, "bare")).unionByName(aliases.distinct()).unionByName(held_back)
+
+
 def enrich_entities(df: DataFrame, entities: DataFrame) -> DataFrame:
     """Add ``name`` (default: the symbol) and ``sector`` (default: Other).
 
