@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.binding import AUTHORITY, NOW, NOW_SQL, POSTS_SQL, PRICES_SQL, posts, prices, ts_text, with_ctes
+from checks.binding import AUTHORITY, ENTITIES_SQL, NOW, NOW_SQL, POSTS_SQL, PRICES_SQL, entities, posts, prices, ts_text, with_ctes
 from checks.trends import REPLAY_STEPS, ROLLING_START, TREND_SQL, bucket_sql
 from murmur.operators import asof, backtest, buckets, correlation, dashboard, trends
 from murmur.session import materialize
@@ -134,7 +134,11 @@ def flag_summary(spark, d):
 
 
 def event_log(spark, d):
-    return backtest.event_log(_returns(spark, d)).withColumn("flagged_at", ts_text("flagged_at"))
+    return backtest.event_log(_returns(spark, d), entities=entities(spark)).withColumn("flagged_at", ts_text("flagged_at"))
+
+
+def newest_events(spark, d):
+    return backtest.newest_events(backtest.event_log(_returns(spark, d))).select("ticker", ts_text("flagged_at").alias("flagged_at"))
 
 
 REPLAY_SQL = with_ctes(
@@ -247,10 +251,14 @@ QUERIES = {
     ),
     "event_log": (
         event_log,
-        _replay(HOT_SQL, "events_in as (select *, as_of flagged_at from hot)", RETURNS_SQL)
+        _replay(HOT_SQL, ENTITIES_SQL, "events_in as (select *, as_of flagged_at from hot)", RETURNS_SQL)
         + f"select e.ticker, strftime(e.flagged_at, '%Y-%m-%d %H:%M:%S') flagged_at, breakout_score, mentions, sentiment_avg, bull_bear_ratio, "
-        "max(ret) filter (where horizon = 4) ret_4h, max(ret) filter (where horizon = 24) ret_24h, max(ret) filter (where horizon = 48) ret_48h "
-        "from events_in e join rets r on r.ticker = e.ticker and r.flagged_at = e.flagged_at group by e.ticker, e.flagged_at, breakout_score, mentions, sentiment_avg, bull_bear_ratio order by e.flagged_at desc, e.ticker limit 60",
+        "max(ret) filter (where horizon = 4) ret_4h, max(ret) filter (where horizon = 24) ret_24h, max(ret) filter (where horizon = 48) ret_48h, coalesce(n.name, e.ticker) as name "
+        "from events_in e join rets r on r.ticker = e.ticker and r.flagged_at = e.flagged_at left join entities n on n.ticker = e.ticker group by all",
+    ),
+    "newest_events": (
+        newest_events,
+        _replay(HOT_SQL) + f"select ticker, strftime(as_of, '%Y-%m-%d %H:%M:%S') flagged_at from hot order by as_of desc, ticker limit 60",
     ),
     "rebased_pair": (
         rebased_pair,

@@ -62,7 +62,7 @@ def _order_posts(spark, d):
 
 def brand_graph(spark, d):
     p = _order_posts(spark, d)
-    return graph.graph_edges(graph.co_mentions(p, graph.mention_counts(p)))
+    return graph.graph_edges(graph.co_mentions(p, graph.mention_counts(p), "l_orderkey"))
 
 
 LINES_SQL = """
@@ -89,6 +89,6 @@ QUERIES = {
     "brand_graph": (
         brand_graph,
         "with ob as (select distinct l_orderkey o, p_brand b from lineitem join part on p_partkey = l_partkey) "
-        "select * from (select x.b source, y.b target, count(*) weight from ob x join ob y on x.o = y.o and x.b < y.b group by 1, 2 order by weight desc, source, target limit 120) where weight >= 2",
+        "select * from (select x.b source, y.b target, count(*) weight from ob x join ob y on x.o = y.o and x.b < y.b group by 1, 2) where weight >= 2",
     ),
 }

@@ -139,6 +139,39 @@ def finnhub(spark, d):
     return _flat(payloads.normalize_finnhub(raw))
 
 
+def _bad_feeds(spark, d):
+    """Landed items of three sources; by the last digit of the event some cannot be read or lack what a post needs."""
+    event, events = F.col("event_id"), _events(spark, d)
+    digit, ident = event % 10, event.cast("string")
+    unless = lambda n, value: F.when(digit != n, value)
+    broken = lambda raw: raw.withColumn("payload", F.when(F.col("position") % 10 == 0, "{broken").otherwise(F.col("payload")))
+    reddit_raw = _raw(events, F.col("event_type"), event, id=unless(1, ident), title=ident, created_utc=unless(2, F.unix_seconds("ts").cast("double")))
+    mastodon_raw = _raw(
+        events, F.col("event_type"), event, id=ident, content=F.when(digit == 3, "<p>short</p>").otherwise("<p>long enough to stay</p>"),
+        language=F.when(digit == 4, "de"), created_at=F.when(digit == 5, "soon").otherwise(_iso()),
+    )
+    hackernews_raw = _raw(events, F.col("event_type"), event, objectID=unless(7, ident), title=unless(6, ident), created_at_i=F.unix_seconds("ts"))
+    return [payloads.reddit_feed(broken(reddit_raw)), payloads.mastodon_feed(broken(mastodon_raw)), payloads.hackernews_feed(broken(hackernews_raw))]
+
+
+def _rejects(spark, d):
+    one, two, three = (payloads.rejects_of(feed) for feed in _bad_feeds(spark, d))
+    return one.unionByName(two).unionByName(three)
+
+
+def rejected_rows(spark, d):
+    return _rejects(spark, d).select("platform", "listing", "position", "reason")
+
+
+def rejected_counts(spark, d):
+    return payloads.rejected_counts(_rejects(spark, d))
+
+
+def accepted_rows(spark, d):
+    """What the same feeds turn into posts: with the rejected rows they are all that landed."""
+    return scans.union_sources([payloads.posts_of(f) for f in _bad_feeds(spark, d)]).groupBy("platform").agg(F.count("*").alias("posts"))
+
+
 def source_stats(spark, d):
     p = all_posts(spark, d).drop("k")
     feeds = [p.filter(F.col("platform") == e) for e in ("click", "view")] + [p.filter(~F.col("platform").isin("click", "view"))]
@@ -200,7 +233,16 @@ def csv_export(spark, d):
 def json_export(spark, d):
     path = scratch_path(spark, "export")
     _loose_rows(spark, d).write.json(path)
-    return _loaded(files.rows_to_posts(files.read_json_rows(spark, path, multiline=False)))
+    return _loaded(files.load_posts(spark, path))
+
+
+def json_posts_object(spark, d):
+    """The same export as whole files, one object with a ``posts`` list per author."""
+    path = scratch_path(spark, "export")
+    rows = _loose_rows(spark, d)
+    packed = rows.groupBy("username").agg(F.collect_list(F.struct(*rows.columns)).alias("posts"))
+    packed.select("posts").repartition(packed.count()).write.option("maxRecordsPerFile", 1).json(path)
+    return _loaded(files.load_posts(spark, path, whole=True))
 
 
 def normalize_prices(spark, d):
@@ -230,6 +272,12 @@ def payload_lookup(spark, d):
     return scans.ticker_payload(meta, "TKK").unionByName(scans.ticker_payload(meta, "tkk")).unionByName(scans.payload(meta, "nothing"))
 
 
+REJECTED_SQL = """
+with rejected as (select platform, event_type listing, event_id as position, reason from events, (values
+  ('reddit', 0, 'unreadable'), ('reddit', 1, 'no id'), ('reddit', 2, 'no time'),
+  ('mastodon', 0, 'unreadable'), ('mastodon', 3, 'short text'), ('mastodon', 4, 'language'), ('mastodon', 5, 'no time'),
+  ('hackernews', 0, 'unreadable'), ('hackernews', 6, 'no title'), ('hackernews', 7, 'no id')) r(platform, digit, reason) where event_id % 10 = digit)
+"""
 NO_BODY = "event_id % 7 = 0 or event_id % 5 = 0"
 ISO_OUT = "strftime({0}, '%Y-%m-%d %H:%M:%S')"
 TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') ts"
@@ -242,9 +290,10 @@ LOOSE_SQL = (
     "'export \"row\", ' || event_id as text, case when event_id % 5 = 0 then 0 else cast(trunc(value) as bigint) end engagement, 'en' lang, "
     f"{TS}, case when event_id % 2 = 0 then 'TKA,TKB' else '' end tickers from events where event_id % 10 <> 0"
 )
-PAGE_SQL = f"""
+def _page_sql(budget: str) -> str:
+    return f"""
 items as (select platform as label, cast(floor((1706637600 - epoch_us(ts) // 1000000) / 3000) as int) + 1 page_no, id, ts from posts),
-pg as (select label, page_no, count(*) items, min(ts) oldest, min(ts) <= {NOW_SQL} - interval 6 hour done from items where page_no <= 8 group by 1, 2),
+pg as (select label, page_no, count(*) items, min(ts) oldest, min(ts) <= {NOW_SQL} - interval 6 hour done from items {budget} group by 1, 2),
 kept as (select * from pg p where not exists (select 1 from pg q where q.label = p.label and q.page_no < p.page_no and q.done))
 """
 
@@ -323,16 +372,20 @@ QUERIES = {
     ),
     "coverage_audit": (
         coverage_audit,
-        with_ctes(POSTS_SQL, PAGE_SQL)
+        with_ctes(POSTS_SQL, _page_sql("where page_no <= 8"))
         + "select label, count(*) pages, cast(sum(items) as bigint) items, strftime(min(oldest), '%Y-%m-%d %H:%M:%S') oldest, max(page_no) = 8 and not bool_or(done) saturated from kept group by 1",
     ),
     "covered_items": (
         covered_items,
-        with_ctes(POSTS_SQL, PAGE_SQL) + "select label, page_no, id from items where (label, page_no) in (select (label, page_no) from kept)",
+        with_ctes(POSTS_SQL, _page_sql("")) + "select label, page_no, id from items where (label, page_no) in (select (label, page_no) from kept)",
     ),
     "loose_rows": (loose_rows, LOOSE_SQL),
     "csv_export": (csv_export, LOOSE_SQL),
     "json_export": (json_export, LOOSE_SQL),
+    "json_posts_object": (json_posts_object, LOOSE_SQL),
+    "rejected_rows": (rejected_rows, REJECTED_SQL + "select * from rejected"),
+    "rejected_counts": (rejected_counts, REJECTED_SQL + "select platform, reason, count(*) items from rejected group by 1, 2"),
+    "accepted_rows": (accepted_rows, REJECTED_SQL + "select platform, (select count(*) from events) - count(*) posts from rejected group by 1"),
     "normalize_prices": (
         normalize_prices,
         f"select event_type ticker, {TS}, round(value, 4) as open, round(value * 1.23456::double, 4) high, round(value * 0.5::double, 4) low, round(value * 1.1::double, 4) as close, "

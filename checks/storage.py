@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from checks.binding import AUTHORITY, EVENTS, NOW, NOW_SQL, POSTS_SQL, all_posts, posts, posts_from, table, ts_text, with_ctes
@@ -194,14 +197,19 @@ def stream_cooldown(spark, d):
 
 
 def alerts_delivered(spark, d):
-    """Three batches of replayed alerts; each delivers what the one before did not raise."""
-    out, state = scratch_path(spark, "delivered"), scratch_path(spark, "alerts")
+    """A stream of three runs of replayed alerts; each delivers what the one before did not raise."""
+    src, out, state = (scratch_path(spark, n) for n in ("raised", "delivered", "state"))
     rows = materialize(backtest.replay_trends(posts(spark, d), NOW, authority=AUTHORITY), "replay").withColumn("window_hours", F.lit(24))
-    for batch, k in enumerate((2, 1, 0)):
-        found = alerts.alert_candidates(rows.filter(F.col("k") == k), NOW)
-        deliver = lambda df, b=batch: df.withColumn("batch", F.lit(b)).write.mode("append").parquet(out)
-        ingest.alerts_once(state, deliver)(found, batch)
-    return spark.read.schema("ticker string, kind string, score double, batch int").parquet(out)
+    for k in (2, 1, 0):
+        found = alerts.alert_candidates(rows.filter(F.col("k") == k), NOW - timedelta(hours=6 * k))
+        found.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)  # the stream takes files in the order of their times
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    _run(ingest.alerts_once(stream, 6).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start())
+    delivered = spark.read.schema(schema).parquet(out)
+    batch = 2 - F.round((F.lit(NOW.timestamp()) - F.unix_seconds("created_at")) / 21600).cast("int")
+    return delivered.select("ticker", "kind", "score", batch.alias("batch"))
 
 
 MERGED_SQL = f"""

@@ -8,6 +8,7 @@ from checks.binding import NOW, NOW_SQL, POSTS_SQL, all_posts, posts, table, wit
 from murmur.functions.fixed_values import STOPWORDS
 from murmur.functions.text import vocab_tokens
 from murmur.operators import dashboard, topics
+from murmur.session import materialize
 
 
 def _docs(spark, d):
@@ -25,25 +26,57 @@ def vocabulary_words(spark, d):
 
 
 def tfidf_vocabulary(spark, d):
-    return topics.vocabulary(_terms(spark, d)).withColumn("idf", F.round("idf", 6))
+    return topics.vocabulary(topics.term_table(_terms(spark, d))).withColumn("idf", F.round("idf", 6))
 
 
 def tfidf_weights(spark, d):
-    terms = _terms(spark, d)
-    return topics.tfidf_weights(terms, topics.vocabulary(terms)).withColumn("weight", F.round("weight", 6))
+    return topics.tfidf_weights(topics.term_table(_terms(spark, d))).withColumn("weight", F.round("weight", 6))
+
+
+def _document_vectors(spark, d):
+    return topics.reduce_vectors(topics.tfidf_vectors(_terms(spark, d)).drop("terms"))
+
+
+def _embedding_vectors(spark, d):
+    vectors = topics.embedding_vectors(table(spark, d, "embeddings"), "embedding").drop("embedding")
+    return topics.reduce_vectors(vectors, 16)
 
 
 def document_topics(spark, d):
     """Vectors, reduction, clustering and layout of all documents."""
-    reduced = topics.svd_reduce(topics.tfidf_vectors(_terms(spark, d)).drop("terms"))
-    return topics.normalized_points(topics.layout(topics.cluster(reduced))).select("doc_id", "topic_id", "x", "y")
+    points = topics.normalized_points(topics.layout(topics.cluster(_document_vectors(spark, d))))
+    return points.select("doc_id", "topic_id", "x", "y")
 
 
 def embedding_topics(spark, d):
     """Clusters and layout of precomputed embeddings."""
-    vectors = topics.embedding_vectors(table(spark, d, "embeddings"), "embedding").drop("embedding")
-    reduced = topics.svd_reduce(vectors, 16)
-    return topics.normalized_points(topics.layout(topics.cluster(reduced, 10))).select("vec_id", "label", "topic_id", "x", "y")
+    points = topics.normalized_points(topics.layout(topics.cluster(_embedding_vectors(spark, d), 10)))
+    return points.select("vec_id", "label", "topic_id", "x", "y")
+
+
+def _hold(reduced, key, k):
+    """One row of what must hold of any clustering and layout of ``reduced``."""
+    placed, centres = topics.nearest_centres(reduced, k)
+    labelled = materialize(topics.topics_of_centres(placed), "labelled")
+    far = F.col("distances")
+    astray = far[F.col("centre")] > F.array_min(far) * (1 + 1e-6) + 1e-9
+    floor = topics.smallest_topic(labelled.count())
+    small = labelled.filter("topic_id <> -1").groupBy("topic_id").count().filter(F.col("count") < floor).agg(F.count("*")).scalar()
+    kept_noise = labelled.filter("topic_id = -1").groupBy("centre").count().filter(F.col("count") >= floor).agg(F.count("*")).scalar()
+    points = topics.normalized_points(topics.layout(labelled.withColumn("distances", topics.squared_distances(centres))))
+    return points.agg(
+        F.count("*").alias("points"), F.count_distinct(key).alias("keys"),
+        (F.count_if(F.col("topic_id") != -1) + F.count_if(F.col("topic_id") == -1)).alias("members_and_noise"), F.count_if(astray).alias("astray"),
+        *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("least", F.min), ("most", F.max))],
+    ).withColumns({"too_small": small, "wrongly_noise": kept_noise})
+
+
+def document_topics_hold(spark, d):
+    return _hold(_document_vectors(spark, d), "doc_id", 12)
+
+
+def embedding_topics_hold(spark, d):
+    return _hold(_embedding_vectors(spark, d), "vec_id", 10)
 
 
 def ctfidf_scores(spark, d):
@@ -125,8 +158,7 @@ VOCAB_SQL = rf"""
 words as (select doc_id, array_to_string({WORDS}, ' ') j from documents),
 toks as (select doc_id, regexp_extract_all(case when j = '' then 'empty' else j end, '\w\w+') t from words),
 terms as (select doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) term from toks),
-vocab as (select term, count(*) cf, count(distinct doc_id) df from terms group by term having count(distinct doc_id) >= 2
-          order by cf desc, term limit 4000),
+vocab as (select term, count(*) cf, count(distinct doc_id) df from terms group by term having count(distinct doc_id) >= 2),
 scored as (select *, ln(((select count(*) from documents) + 1) / (df + 1)) + 1 idf from vocab)
 """
 
@@ -154,6 +186,11 @@ activity as (select topic_id, string_agg(n::varchar, ',' order by idx) series,
            when sum(n) filter (where idx >= 12) * 1.3 < sum(n) filter (where idx < 12) then 'cooling' else 'flat' end trend from series group by 1)
 """
 
+HOLD_SQL = """
+select count(*) points, count(distinct {key}) as keys, count(*) members_and_noise, 0::bigint astray, 0.0::double least_x, 1.0::double most_x,
+  0.0::double least_y, 1.0::double most_y, 0::bigint too_small, 0::bigint wrongly_noise from {table}
+"""
+
 QUERIES = {
     "vocabulary_words": (vocabulary_words, f"select doc_id, len({WORDS}) n, sha1(array_to_string({WORDS}, ' ')) digest from documents"),
     "tfidf_vocabulary": (tfidf_vocabulary, with_ctes(VOCAB_SQL) + "select term, cf, df, round(idf, 6) idf from scored"),
@@ -164,6 +201,8 @@ QUERIES = {
     ),
     "document_topics": (document_topics, None),
     "embedding_topics": (embedding_topics, None),
+    "document_topics_hold": (document_topics_hold, HOLD_SQL.format(key="doc_id", table="documents")),
+    "embedding_topics_hold": (embedding_topics_hold, HOLD_SQL.format(key="vec_id", table="embeddings")),
     "ctfidf_scores": (ctfidf_scores, with_ctes(CTFIDF_SQL) + "select topic_id, term, cnt, round(score, 9) score from scores"),
     "topic_labels": (
         topic_labels,
@@ -189,7 +228,7 @@ QUERIES = {
     "export_points": (
         export_points,
         with_ctes(POSTS_SQL)
-        + "select id post_id, cast(floor(k / 20) as int) - 1 topic_id, round(engagement / 10.0::double, 4) x, round(k / 100.0::double, 4) y, left(text, 200) as text, platform, sentiment, engagement, "
+        + "select id post_id, cast(floor(k / 20) as int) - 1 topic_id, round(engagement / 10.0::double, 4) x, round(k / 100.0::double, 4) y, text, platform, sentiment, engagement, "
         "t1 || case when t2 is not null and t2 <> t1 then ',' || t2 else '' end tickers from allposts",
     ),
     "assign_topics": (

@@ -205,8 +205,7 @@ linked as (select source ticker from weights where weight >= 2 union select targ
 nodes as (select ticker id, coalesce(e.name, ticker) as name, coalesce(e.sector, 'Other') sector, mentions
           from counts left join entities e using (ticker)
           where ticker in (select ticker from linked) or mentions >= 20),
-edges as (select * from (select * from weights order by weight desc, source, target limit 120)
-          where weight >= 2 and source in (select id from nodes) and target in (select id from nodes))
+edges as (select * from weights where weight >= 2 and source in (select id from nodes) and target in (select id from nodes))
 """
 AM_SQL = "am as (select id, t1 ticker from allposts union all select id, t2 from allposts where t2 is not null and t2 <> t1)"
 
@@ -219,6 +218,10 @@ def graph_edges(spark, d):
     return graph.compute_graph(all_posts(spark, d), entities(spark))[1]
 
 
+def strongest_edges(spark, d):
+    return graph.strongest_edges(graph_edges(spark, d))
+
+
 def co_mentions(spark, d):
     p = all_posts(spark, d)
     return graph.co_mentions(p, graph.mention_counts(p))
@@ -278,4 +281,5 @@ QUERIES = {
     "co_mentions": (co_mentions, with_ctes(POSTS_SQL, AM_SQL, ENTITIES_SQL, GRAPH_SQL) + "select * from weights"),
     "graph_nodes": (graph_nodes, with_ctes(POSTS_SQL, AM_SQL, ENTITIES_SQL, GRAPH_SQL) + "select * from nodes"),
     "graph_edges": (graph_edges, with_ctes(POSTS_SQL, AM_SQL, ENTITIES_SQL, GRAPH_SQL) + "select * from edges"),
+    "strongest_edges": (strongest_edges, with_ctes(POSTS_SQL, AM_SQL, ENTITIES_SQL, GRAPH_SQL) + "select * from edges order by weight desc, source, target limit 120"),
 }

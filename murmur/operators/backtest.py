@@ -11,6 +11,7 @@ from murmur.functions import fixed_values as fv
 from murmur.functions.exprs import HOUR_US, floor_div, micros, round_to, to_utc, ts_lit
 from murmur.operators.asof import asof_join
 from murmur.operators.trends import cell_sums, derive_metrics, full_hours_ago, hours_ago, mentions, window_stats
+from murmur.sources.dictionary import enrich_entities
 
 HORIZONS = (4, 24, 48)
 BREAKOUT_FLOOR = 1.5
@@ -172,10 +173,15 @@ def summarize(returns: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataF
     )
 
 
-def event_log(returns: DataFrame, horizons: tuple[int, ...] = HORIZONS, limit: int = 60) -> DataFrame:
-    """Newest events first, one column per horizon."""
+def event_log(returns: DataFrame, horizons: tuple[int, ...] = HORIZONS, entities: DataFrame | None = None) -> DataFrame:
+    """All events, one column per horizon; with ``entities`` also the ticker's ``name``."""
     keys = ["ticker", "flagged_at", "breakout_score", "mentions", "sentiment_avg", "bull_bear_ratio"]
     wide = returns.groupBy(*keys).pivot("horizon", list(horizons)).agg(F.max("ret"))
     for h in horizons:
         wide = wide.withColumnRenamed(str(h), f"ret_{h}h")
-    return wide.orderBy(F.col("flagged_at").desc(), "ticker").limit(limit)
+    return wide if entities is None else enrich_entities(wide, entities).drop("sector")
+
+
+def newest_events(log: DataFrame, n: int = 60) -> DataFrame:
+    """The newest events first, as they are shown; a read step over the stored log."""
+    return log.orderBy(F.col("flagged_at").desc(), "ticker").limit(n)

@@ -6,31 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.operators.trends import mentions
+from murmur.session import materialize
 from murmur.sources.dictionary import enrich_entities
 
-MAX_EDGES = 120
+SHOWN_EDGES = 120
 
 
 def mention_counts(posts: DataFrame, min_mentions: int = 5) -> DataFrame:
     return mentions(posts).groupBy("ticker").agg(F.count("*").alias("mentions")).filter(F.col("mentions") >= min_mentions)
 
 
-def co_mentions(posts: DataFrame, kept: DataFrame) -> DataFrame:
-    """Weights of unordered pairs of kept tickers that share a post.
+def co_mentions(posts: DataFrame, kept: DataFrame, key: str = "id") -> DataFrame:
+    """Weights of unordered pairs of kept tickers that share a post; posts are unique by ``key``.
 
-    Pairs come out of the sorted ticker list of one post row by row and are counted in
-    the same task before anything moves; the floor applies to the far smaller counted
-    pairs.
+    Tickers below the floor leave before any pair is formed, so a post that lists many rare
+    symbols makes no pairs of them. Pairs are counted in the task that forms them.
     """
-    listed = posts.select(F.sort_array(F.array_distinct("tickers")).alias("t")).filter(F.size("t") > 1)
+    several = posts.filter(F.size(F.array_distinct("tickers")) > 1)
+    rows = mentions(several, key).join(kept.select("ticker"), "ticker", "left_semi")
+    listed = rows.groupBy(key).agg(F.sort_array(F.collect_set("ticker")).alias("t")).filter(F.size("t") > 1)
     pairs = listed.select("t", F.posexplode("t").alias("i", "source")).select(
         "source", F.explode(F.slice("t", F.col("i") + 2, F.size("t"))).alias("target")
     )
-    weights = pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
-    ids = kept.select("ticker")
-    return weights.join(ids.withColumnRenamed("ticker", "source"), "source", "left_semi").join(
-        ids.withColumnRenamed("ticker", "target"), "target", "left_semi"
-    ).select("source", "target", "weight")
+    return pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
 
 
 def graph_nodes(kept: DataFrame, weights: DataFrame, entities: DataFrame, min_mentions: int = 5, min_edge: int = 2) -> DataFrame:
@@ -43,19 +41,22 @@ def graph_nodes(kept: DataFrame, weights: DataFrame, entities: DataFrame, min_me
     return enrich_entities(chosen.drop("linked"), entities).select(F.col("ticker").alias("id"), "name", "sector", "mentions")
 
 
-def graph_edges(weights: DataFrame, min_edge: int = 2, max_edges: int = MAX_EDGES) -> DataFrame:
-    """The heaviest edges first, then the weight floor.
+def graph_edges(weights: DataFrame, min_edge: int = 2) -> DataFrame:
+    """All edges of at least ``min_edge``.
 
-    Both ends of an edge that passes the floor are kept tickers with a strong edge, so
-    they are nodes by definition and need no join.
+    Both ends of such an edge are kept tickers with a strong edge, so they are nodes by
+    definition and need no join.
     """
-    top = weights.orderBy(F.col("weight").desc(), "source", "target").limit(max_edges)
-    return top.filter(F.col("weight") >= min_edge)
+    return weights.filter(F.col("weight") >= min_edge)
+
+
+def strongest_edges(edges: DataFrame, n: int = SHOWN_EDGES) -> DataFrame:
+    """The heaviest edges, as they are shown; a read step over the stored edges."""
+    return edges.orderBy(F.col("weight").desc(), "source", "target").limit(n)
 
 
 def compute_graph(posts: DataFrame, entities: DataFrame, min_mentions: int = 5, min_edge: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the graph."""
+    """(nodes, edges) of the graph; the pair weights, which both need, are computed once."""
     kept = mention_counts(posts, min_mentions)
-    weights = co_mentions(posts, kept)
-    nodes = graph_nodes(kept, weights, entities, min_mentions, min_edge)
-    return nodes, graph_edges(weights, min_edge)
+    weights = materialize(co_mentions(posts, kept), "pair-weights")
+    return graph_nodes(kept, weights, entities, min_mentions, min_edge), graph_edges(weights, min_edge)

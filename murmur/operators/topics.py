@@ -1,23 +1,24 @@
 """Topics: vocabulary, TF-IDF, reduction, clustering, labels, rollups and activity.
 
-The layout and the clustering are linear and centroid based (SVD and k-means from
-MLlib); everything after the cluster ids is relational and exact.
+The layout and the clustering are linear and centroid based (principal components and
+k-means from MLlib); everything after the cluster ids is relational and exact.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import fixed_values as fv
 from murmur.functions.exprs import floor_div, micros, round_to, to_utc, top_per_group, ts_lit
 from murmur.functions.text import unigrams_and_bigrams, vocab_tokens
 from murmur.operators.trends import mentions
-from murmur.session import materialize, scratch_path
+from murmur.session import materialize
+
+# Columns that the terms of a text are hashed to before the reduction, which needs a matrix of that width squared.
+HASHED_TERMS = 1024
 
 
 # --- vocabulary and vectors -------------------------------------------------
@@ -29,141 +30,54 @@ def vector_terms(text: Column) -> Column:
     return unigrams_and_bigrams(F.regexp_extract_all(joined, F.lit(r"\w\w+"), F.lit(0)))
 
 
-def vocabulary(docs: DataFrame, max_features: int = 4000, min_df: int = 2) -> DataFrame:
-    """The most frequent terms with corpus frequency, document frequency and smooth idf.
+def term_table(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, term, count), written once; every frequency and weight is computed from it.
 
-    ``docs`` has ``terms``. Frequencies combine inside each task before the shuffle.
+    ``docs`` has ``terms``. Counts combine inside each task before the shuffle.
     """
-    n_docs = docs.agg(F.count("*")).scalar()
-    # The first occurrence of a term in its document carries the document count.
-    firsts = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
-    alls = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    stats = (
-        docs.select(F.explode(F.concat(firsts, alls)).alias("e"))
-        .groupBy("e.term")
-        .agg(F.sum("e.c").alias("cf"), F.sum("e.d").alias("df"))
-        .filter(F.col("df") >= min_df)
-    )
-    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
-    return stats.orderBy(F.col("cf").desc(), "term").limit(max_features).withColumn("idf", idf)
-
+    rows = docs.select(key, F.explode("terms").alias("term"))
+    return materialize(rows.groupBy(key, "term").agg(F.count("*").alias("count")), "term-table")
 
-def tfidf_weights(docs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Long form (doc_id, term, weight), unit length per document."""
-    rows = docs.select("doc_id", F.explode("terms").alias("term")).join(vocab.select("term", "idf"), "term")
-    raw = rows.groupBy("doc_id", "term").agg((F.count("*") * F.max("idf")).alias("raw"))
-    norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
+def vocabulary(terms: DataFrame, min_df: int = 2) -> DataFrame:
+    """All terms of a ``term_table`` in at least ``min_df`` documents: corpus and document frequency and smooth idf."""
+    n_docs = terms.agg(F.count_distinct("doc_id")).scalar()
+    stats = terms.groupBy("term").agg(F.sum("count").alias("cf"), F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    return stats.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
 
-def tfidf_vectors(docs: DataFrame, max_features: int = 4000, min_df: int = 2) -> DataFrame:
-    """Add ``features``: sparse unit vectors over the vocabulary.
 
-    Only the vocabulary (at most ``max_features`` rows) comes to the driver; the
-    vectors themselves are built row by row without a shuffle.
-    """
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-    from pyspark.ml.linalg import Vectors
-
-    vocab = vocabulary(docs, max_features, min_df).collect()
-    counts = CountVectorizerModel.from_vocabulary([r["term"] for r in vocab], inputCol="terms", outputCol="__tf")
-    scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in vocab]), inputCol="__tf", outputCol="__w")
-    unit = Normalizer(p=2.0, inputCol="__w", outputCol="features")
-    return unit.transform(scale.transform(counts.transform(docs))).drop("__tf", "__w")
-
-
-def sparse_arrays(vectors: DataFrame) -> DataFrame:
-    """Write ``features`` out and read them back as plain ``idx``/``val`` arrays."""
-    spark, path = vectors.sparkSession, scratch_path(vectors.sparkSession, "vectors")
-    vectors.write.parquet(path)
-    ddl = ", ".join(
-        f"`{f.name}` " + ("struct<type:tinyint,size:int,indices:array<int>,values:array<double>>" if f.name == "features" else f.dataType.simpleString())
-        for f in vectors.schema
-    )
-    f = F.col("features")
-    dense = F.transform(f["values"], lambda v, i: i)
-    return (
-        spark.read.schema(ddl)
-        .parquet(path)
-        .withColumn("idx", F.coalesce(f["indices"], dense))
-        .withColumn("val", f["values"])
-        .withColumn("width", F.coalesce(f["size"], F.size(f["values"])))
-        .drop("features")
-    )
+def tfidf_weights(terms: DataFrame, min_df: int = 2) -> DataFrame:
+    """Long form (doc_id, term, weight) of a ``term_table``, unit length per document; no term is cut off."""
+    idf = vocabulary(terms, min_df).select("term", "idf")
+    raw = terms.join(idf, "term").select("doc_id", "term", (F.col("count") * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("raw") / norm).alias("weight"))
 
 
-def _row_products():
-    """A function giving sparse rows (lists of index and value arrays) times a basis.
+def tfidf_vectors(docs: DataFrame, width: int = HASHED_TERMS, min_df: int = 2) -> DataFrame:
+    """Add ``features``: unit TF-IDF vectors of all terms, hashed to ``width`` columns.
 
-    Built inside a function so that it travels to the workers by value.
+    No vocabulary is gathered anywhere; the driver sees ``width`` document frequencies.
     """
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
-    def product(idx, val, basis):
-        out = np.zeros((len(idx), basis.shape[1]))
-        for i, (j, v) in enumerate(zip(idx, val)):
-            if len(j):
-                out[i] = v @ basis[j]
-        return out
-
-    return product
+    counts = HashingTF(numFeatures=width, inputCol="terms", outputCol="__tf").transform(docs)
+    weighted = IDF(minDocFreq=min_df, inputCol="__tf", outputCol="__w").fit(counts).transform(counts)
+    return Normalizer(p=2.0, inputCol="__w", outputCol="features").transform(weighted).drop("__tf", "__w")
 
 
-def gram_product(rows: DataFrame, basis) -> DataFrame:
-    """One pass of ``X'X basis``: each task adds up its own small block, Spark adds the blocks by row.
+def reduce_vectors(vectors: DataFrame, k: int = 50) -> DataFrame:
+    """Replace ``features`` by their first ``k`` principal components, computed and applied in the JVM.
 
-    ``basis`` has vocabulary-many rows and a few dozen columns, whatever the corpus.
-    """
-    width, p = basis.shape
-    product = _row_products()
-    shared = rows.sparkSession.sparkContext.broadcast(basis)
-    names = [f"z{c}" for c in range(p)]
-
-    def block(batches):
-        q, z = shared.value, np.zeros((width, p))
-        for batch in batches:
-            y = product(batch["idx"], batch["val"], q)
-            for i, (j, v) in enumerate(zip(batch["idx"], batch["val"])):
-                z[j] += np.outer(v, y[i])
-        used = np.flatnonzero(np.abs(z).sum(axis=1))
-        yield pd.DataFrame({"j": used, **{n: z[used, c] for c, n in enumerate(names)}})
-
-    # Fewer, longer tasks: every task sends one block.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows.select("idx", "val").coalesce(2 * cores).mapInPandas(block, "j bigint, " + ", ".join(f"{n} double" for n in names))
-    return parts.groupBy("j").agg(*[F.sum(n).alias(n) for n in names])
-
-
-def svd_reduce(vectors: DataFrame, k: int = 50, passes: int = 4, oversample: int = 10, seed: int = 42) -> DataFrame:
-    """Replace ``features`` by its projection on the first ``k`` right singular vectors.
-
-    Block power iteration: ``passes`` scans of the vectors, each of which returns one
-    (vocabulary x k+oversample) block to the driver, then one row-wise projection.
+    Tasks add up one (width x width) matrix each, which is what reaches the driver.
     """
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import PCA
 
-    rows = sparse_arrays(vectors)
-    width, height = rows.select(F.max("width"), F.count("*")).first()
-    k = max(1, min(k, width, height))
-    p = min(width, k + oversample)
-    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, p)))
-    for step in range(passes):
-        got = gram_product(rows, basis).toPandas()
-        image = np.zeros((width, p))
-        image[got["j"].to_numpy()] = got.drop(columns="j").to_numpy()
-        if step + 1 < passes:
-            basis, _ = np.linalg.qr(image)
-    values, inner = np.linalg.eigh(basis.T @ image)
-    right = basis @ inner[:, np.argsort(values)[::-1][:k]]
-    right *= np.sign(right[np.abs(right).argmax(axis=0), np.arange(right.shape[1])])
-    shared = rows.sparkSession.sparkContext.broadcast(right)
-    product = _row_products()
-
-    @F.pandas_udf("array<double>")
-    def project(idx: pd.Series, val: pd.Series) -> pd.Series:
-        return pd.Series(list(product(idx, val, shared.value)))
-
-    reduced = rows.withColumn("features", project("idx", "val")).drop("idx", "val", "width")
-    return materialize(reduced, "reduced").withColumn("features", array_to_vector("features"))
+    vectors = materialize(vectors, "vectors")
+    width = vectors.select(F.col("features")).first()["features"].size
+    model = PCA(k=max(1, min(k, width)), inputCol="features", outputCol="__reduced").fit(vectors)
+    reduced = model.transform(vectors).drop("features").withColumnRenamed("__reduced", "features")
+    return materialize(reduced, "reduced")
 
 
 def _dense(column: str) -> Column:
@@ -194,17 +108,38 @@ def layout(reduced: DataFrame) -> DataFrame:
     return reduced.withColumn("x", dense[0]).withColumn("y", dense[1])
 
 
-def cluster(reduced: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:
-    """Add ``topic_id`` by k-means; clusters below max(28, n/55) members become -1."""
+def nearest_centres(reduced: DataFrame, k: int = 12, seed: int = 42) -> tuple[DataFrame, list[list[float]]]:
+    """(``reduced`` with ``centre``, the centres) by k-means."""
     from pyspark.ml.clustering import KMeans
 
     n = reduced.count()
-    model = KMeans(k=max(2, min(k, n)), seed=seed, featuresCol="features", predictionCol="topic_id").fit(reduced)
-    labelled = model.transform(reduced)
-    sizes = labelled.groupBy("topic_id").agg(F.count("*").alias("__size"))
-    kept = labelled.join(sizes, "topic_id", "left")
-    floor = max(fv.TOPIC_MIN_MEMBERS, n // fv.TOPIC_MEMBER_SHARE)
-    return kept.withColumn("topic_id", F.when(F.col("__size") >= floor, F.col("topic_id")).otherwise(F.lit(-1))).drop("__size")
+    model = KMeans(k=max(2, min(k, n)), seed=seed, featuresCol="features", predictionCol="centre").fit(reduced)
+    return model.transform(reduced), [c.tolist() for c in model.clusterCenters()]
+
+
+def smallest_topic(n: int) -> int:
+    """Members below which a cluster of ``n`` points is noise."""
+    return max(fv.TOPIC_MIN_MEMBERS, n // fv.TOPIC_MEMBER_SHARE)
+
+
+def topics_of_centres(placed: DataFrame) -> DataFrame:
+    """Turn ``centre`` into ``topic_id``; clusters below the smallest size become -1."""
+    sizes = placed.groupBy("centre").agg(F.count("*").alias("__size"))
+    floor = smallest_topic(placed.count())
+    kept = placed.join(sizes, "centre", "left")
+    return kept.withColumn("topic_id", F.when(F.col("__size") >= floor, F.col("centre")).otherwise(F.lit(-1))).drop("__size")
+
+
+def cluster(reduced: DataFrame, k: int = 12, seed: int = 42) -> DataFrame:
+    """Add ``topic_id`` by k-means; clusters below max(28, n/55) members become -1."""
+    return topics_of_centres(nearest_centres(reduced, k, seed)[0]).drop("centre")
+
+
+def squared_distances(centres: list[list[float]]) -> Column:
+    """Squared distance of ``features`` to every centre."""
+    dense = _dense("features")
+    between = lambda c: F.aggregate(F.zip_with(dense, F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d)
+    return F.array(*[between(c) for c in centres])
 
 
 # --- labels -----------------------------------------------------------------
@@ -392,18 +327,12 @@ def normalized_points(points: DataFrame, x: str = "x", y: str = "y") -> DataFram
     return out.drop("__b")
 
 
-def export_points(points: DataFrame) -> DataFrame:
-    """The point rows that are published; the preview length is part of the format."""
+def export_points(points: DataFrame, text_chars: int | None = None, max_tickers: int | None = None) -> DataFrame:
+    """The point rows with whole texts and all tickers; both can be shortened for a preview."""
+    text = F.col("text") if text_chars is None else F.substring("text", 1, text_chars)
+    tickers = F.col("tickers") if max_tickers is None else F.slice("tickers", 1, max_tickers)
     return points.select(
-        F.col("id").alias("post_id"),
-        "topic_id",
-        "x",
-        "y",
-        F.substring("text", 1, 200).alias("text"),
-        "platform",
-        "sentiment",
-        "engagement",
-        F.slice("tickers", 1, 4).alias("tickers"),
+        F.col("id").alias("post_id"), "topic_id", "x", "y", text.alias("text"), "platform", "sentiment", "engagement", tickers.alias("tickers")
     )
 
 
@@ -418,12 +347,12 @@ def recency_sample(posts: DataFrame, n: int) -> DataFrame:
     return posts.orderBy(F.col("ts").desc(), "id").limit(n)
 
 
-def compute_topics(posts: DataFrame, now: datetime, k: int = 12, max_features: int = 4000) -> tuple[DataFrame, DataFrame] | None:
+def compute_topics(posts: DataFrame, now: datetime, k: int = 12) -> tuple[DataFrame, DataFrame] | None:
     """(topics, points) over all given posts, or None below the minimum of posts."""
     if posts.limit(fv.TOPIC_MIN_POSTS).count() < fv.TOPIC_MIN_POSTS:
         return None
     docs = posts.drop("topic_id").withColumn("terms", vector_terms(F.col("text")))
-    reduced = svd_reduce(tfidf_vectors(docs, max_features).drop("terms"))
+    reduced = reduce_vectors(tfidf_vectors(docs).drop("terms"))
     points = materialize(normalized_points(layout(cluster(reduced, k))).drop("features"), "topic-points")
     labels = pick_labels(cluster_term_scores(points))
     return topic_rollup(points, labels, now), export_points(points)

@@ -27,7 +27,7 @@ class BatchConfig:
     window_hours: int = 24
     history_hours: int = 168
     bucket_minutes: int = 60
-    top_n: int = 40
+    top_n: int | None = None  # tickers whose series are kept; all above the floor by default
     retention_days: int = 30
     topic_clusters: int = 12
     with_topics: bool = True
@@ -57,7 +57,7 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
 
     trend = materialize(trends.ticker_trends(posts, entities, now, cfg.window_hours, cfg.history_hours), "trends")
     tables.write_snapshot(sink_columns(trend), path["ticker_trends"])
-    top = trends.top_tickers(trend, cfg.top_n)
+    top = trend if cfg.top_n is None else trends.top_tickers(trend, cfg.top_n)
 
     raised = materialize(alerting.alert_candidates(trend, now), "raised")
     before = spark.read.parquet(path["alerts"]) if exists(spark, path["alerts"]) else raised.limit(0)
@@ -69,7 +69,8 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
 
     flags = backtest.replay_flags(posts, now, window_hours=cfg.window_hours, history_hours=cfg.history_hours)
     returns = materialize(backtest.forward_returns(flags, prices), "returns")
-    tables.write_snapshot(backtest.event_log(returns), path["backtest"])
+    log = materialize(backtest.event_log(returns, entities=entities), "event-log")
+    tables.write_snapshot(log, path["backtest"])
 
     series = materialize(buckets.bucket_series(posts, now, cfg.bucket_minutes, cfg.history_hours, top), "series")
     corr = materialize(correlation.correlation(series, prices), "correlations")
@@ -98,7 +99,7 @@ def run(spark: SparkSession, raw_posts: DataFrame, prices: DataFrame, dictionary
         artifacts.payload_rows(summary, F.lit("meta"))
         .unionByName(artifacts.list_payload(alerting.detect_alerts(trend, now), "alerts", "alerts", ["ticker", "kind"]))
         .unionByName(artifacts.list_payload(backtest.summarize(returns), "backtest", "horizons", ["horizon"]))
-        .unionByName(artifacts.list_payload(backtest.event_log(returns), "backtest_events", "events", ["flagged_at", "ticker"]))
+        .unionByName(artifacts.list_payload(backtest.newest_events(log), "backtest_events", "events", ["flagged_at", "ticker"]))
         .unionByName(artifacts.payload_rows(text, F.lit("brief")))
         .unionByName(dashboard.ticker_bundle(top, series, prices, corr))
     )

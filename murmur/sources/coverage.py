@@ -4,31 +4,29 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.exprs import to_utc, ts_lit
 
 
-def audited_pages(items: DataFrame, now: datetime, lookback_hours: int = 6, max_pages: int = 8) -> DataFrame:
+def audited_pages(items: DataFrame, now: datetime, lookback_hours: int = 6, max_pages: int | None = None) -> DataFrame:
     """Pages that count per listing, newest first.
 
     ``items`` has ``label, page_no, id, ts``; a page without items is landed as one row
     with a null ``id``. Pages count up to the first one that reaches the look-back
-    horizon or is empty, and never beyond ``max_pages``. The window runs over at most
-    ``max_pages`` aggregated rows per listing.
+    horizon or is empty, and not beyond a page budget where there is one. That first page is an
+    aggregate, so a listing of any length needs no window.
     """
     horizon = ts_lit(to_utc(now) - timedelta(hours=lookback_hours))
+    landed = items if max_pages is None else items.filter(F.col("page_no") <= max_pages)
     pages = (
-        items.filter(F.col("page_no") <= max_pages)
-        .groupBy("label", "page_no")
+        landed.groupBy("label", "page_no")
         .agg(F.count("id").alias("items"), F.min("ts").alias("oldest"))
         .withColumn("done", (F.col("items") == 0) | (F.col("oldest") <= horizon))
     )
-    before = Window.partitionBy("label").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    return pages.withColumn("seen_done", F.coalesce(F.max("done").over(before), F.lit(False))).filter(
-        ~F.col("seen_done")
-    ).drop("seen_done")
+    last = pages.groupBy("label").agg(F.min(F.when(F.col("done"), F.col("page_no"))).alias("last"))
+    return pages.join(last, "label").filter(F.col("last").isNull() | (F.col("page_no") <= F.col("last"))).drop("last")
 
 
 def coverage_audit(items: DataFrame, now: datetime, lookback_hours: int = 6, max_pages: int = 8) -> DataFrame:
@@ -42,7 +40,7 @@ def coverage_audit(items: DataFrame, now: datetime, lookback_hours: int = 6, max
     )
 
 
-def covered_items(items: DataFrame, now: datetime, lookback_hours: int = 6, max_pages: int = 8) -> DataFrame:
-    """The items on pages that count."""
+def covered_items(items: DataFrame, now: datetime, lookback_hours: int = 6, max_pages: int | None = None) -> DataFrame:
+    """The items on pages that count; all landed pages can, unless a page budget is given."""
     pages = audited_pages(items, now, lookback_hours, max_pages).select("label", "page_no")
     return items.filter(F.col("id").isNotNull()).join(pages, ["label", "page_no"], "left_semi")

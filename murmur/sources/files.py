@@ -12,17 +12,20 @@ _NAMES = sorted({name for names in FIELD_ALIASES.values() for name in names})
 _ROW = ", ".join(f"`{n}` string" for n in _NAMES)
 
 
-def read_json_rows(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Rows of a JSON list, an object with a ``posts`` list, or JSON lines; every field as text."""
+def read_json_rows(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Rows of JSON lines; with ``whole`` of files that are one list or one object with a ``posts`` list. Every field is text.
+
+    Lines are read in as many tasks as their size asks for; a whole file is one task.
+    """
     nested = ", ".join(f"`{n}`: string" for n in _NAMES)
-    raw = spark.read.schema(f"{_ROW}, posts array<struct<{nested}>>").json(path, multiLine=multiline)
+    raw = spark.read.schema(f"{_ROW}, posts array<struct<{nested}>>").json(path, multiLine=whole)
     own = F.array(F.struct(*[F.col(n) for n in _NAMES]))
     return raw.select(F.explode(F.coalesce("posts", own)).alias("r")).select("r.*")
 
 
-def read_csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV file with a header; every field as text."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv_rows(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Rows of a CSV file with a header; every field as text. ``whole`` allows line breaks inside quotes and reads each file in one task."""
+    return spark.read.csv(path, header=True, multiLine=whole, escape='"')
 
 
 def pick(df: DataFrame, field: str) -> Column:
@@ -63,7 +66,7 @@ def rows_to_posts(rows: DataFrame, default_platform: str = "sample") -> DataFram
     ).filter(F.col("ts").isNotNull())
 
 
-def load_posts(spark: SparkSession, path: str, default_platform: str = "sample") -> DataFrame:
-    """Posts of a ``.csv`` or JSON file."""
-    rows = read_csv_rows(spark, path) if path.lower().endswith(".csv") else read_json_rows(spark, path)
+def load_posts(spark: SparkSession, path: str, default_platform: str = "sample", whole: bool = False) -> DataFrame:
+    """Posts of ``.csv`` or JSON files, one record per line unless ``whole`` is asked for."""
+    rows = read_csv_rows(spark, path, whole) if path.lower().endswith(".csv") else read_json_rows(spark, path, whole)
     return rows_to_posts(rows, default_platform)

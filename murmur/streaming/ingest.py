@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmur.functions.exprs import HOUR_US, round_to
-from murmur.operators.alerts import fresh_alerts
 from murmur.operators.dedup import dedupe_posts
 from murmur.sinks.cells import BUCKETS
-from murmur.sinks.storage import exists
-from murmur.sinks.tables import merge_buckets, merge_posts, prune_days, write_snapshot
+from murmur.sinks.tables import merge_buckets, merge_posts, prune_days
 
 LATENESS = "6 hours"
 
@@ -73,24 +71,40 @@ def buckets_into(path: str, retention_days: int | None = None, clock: Callable |
     return write
 
 
-def alerts_once(state_path: str, deliver: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer: deliver alerts the previous batch did not raise.
+def alerts_once(alerts: DataFrame, hours: float, lateness: str = LATENESS) -> DataFrame:
+    """Alerts whose (ticker, kind) was not raised in the ``hours`` before, the time between two runs.
 
-    Snapshots alternate between two folders, so the previous one stays readable while
-    the next is written; a batch that is run again sees the same predecessor.
+    A stream of the schema of ``alerts``, which has ticker, kind and ``created_at``. State is one
+    time per key, kept with the stream's checkpoint until the interval has passed in event
+    time, so a restarted stream neither repeats nor loses an alert. An alert that goes on is not
+    fresh again; one that was away for a run is. A run raises a key once, so the rows of a key
+    in one batch are few.
     """
+    import pandas as pd
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current, previous = f"{state_path}/{batch_id % 2}", f"{state_path}/{(batch_id + 1) % 2}"
-        write_snapshot(batch, current)
-        stored = spark.read.parquet(current)
-        if exists(spark, previous):
-            deliver(fresh_alerts(stored, spark.read.parquet(previous)))
+    schema = alerts.schema
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values("created_at", kind="stable")
+        fresh = []
+        for at in rows["created_at"]:
+            us = at.value // 1000
+            fresh.append(last is None or us - last > hours * HOUR_US)
+            last = us if last is None else max(last, us)
+        state.update((last,))
+        deadline = last // 1000 + int(hours * 3_600_000) + 1
+        if deadline > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(deadline)
         else:
-            deliver(fresh_alerts(stored, stored.limit(0)))
+            state.remove()
+        if any(fresh):
+            yield rows[fresh][schema.names]
 
-    return write
+    return alerts.withWatermark("created_at", lateness).groupBy("ticker", "kind").applyInPandasWithState(step, schema, "last bigint", "append", "EventTimeTimeout")
 
 
 def cooldown(flags: DataFrame, hours: int = 24, lateness: str = LATENESS) -> DataFrame:

@@ -108,8 +108,9 @@ def test_graph_equals_brute_force(spark):
     counts = Counter(t for x in lists for t in x)
     keep = {t for t, n in counts.items() if n >= 5}
     want = Counter(p for x in lists for p in combinations(sorted(set(x) & keep), 2))
-    top = sorted(want.items(), key=lambda e: (-e[1], e[0]))[:120]
-    assert {(e["source"], e["target"]): e["weight"] for e in dicts(edges)} == {k: w for k, w in top if w >= 2}
+    assert {(e["source"], e["target"]): e["weight"] for e in dicts(edges)} == {k: w for k, w in want.items() if w >= 2}
+    first = sorted((e for e in want.items() if e[1] >= 2), key=lambda e: (-e[1], e[0]))[:7]
+    assert [((e["source"], e["target"]), e["weight"]) for e in graph.strongest_edges(edges, 7).collect()] == first
     linked = {t for p, w in want.items() if w >= 2 for t in p}
     assert {n["id"]: n["mentions"] for n in dicts(nodes)} == {t: counts[t] for t in keep if t in linked or counts[t] >= 20}
     by_id = {n["id"]: n for n in dicts(nodes)}
@@ -139,16 +140,34 @@ def test_labels_by_pool_and_by_rounds_equal_a_plain_loop(spark):
         assert {r["topic_id"]: r["terms"] for r in topics.pick_labels(scores, 5, pool).collect()} == want
 
 
-def test_svd_finds_the_dominant_directions(spark):
+def test_reduction_finds_the_principal_directions(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(80, 3)) * [10, 5, 2] @ np.linalg.qr(rng.normal(size=(20, 3)))[0].T
+    x = rng.normal(size=(80, 3)) * [10, 5, 2] @ np.linalg.qr(rng.normal(size=(20, 3)))[0].T + 3
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "i int, v array<double>")
-    got = topics.svd_reduce(topics.embedding_vectors(df, "v"), 3).orderBy("i").collect()
+    got = topics.reduce_vectors(topics.embedding_vectors(df, "v"), 3).orderBy("i").collect()
     got = np.stack([r["features"].toArray() for r in got])
-    _, _, vt = np.linalg.svd(x, full_matrices=False)
-    assert np.allclose(np.abs(got), np.abs(x @ vt[:3].T), atol=1e-6)
+    _, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(np.abs(got), np.abs(x @ vectors[:, ::-1][:, :3]), atol=1e-6)
+
+
+def test_weights_come_from_one_table_without_a_cut(spark):
+    from math import log, sqrt
+
+    rng = random.Random(4)
+    texts = {i: [rng.choice("abcdefghij") + str(rng.randrange(600)) for _ in range(200)] for i in range(60)}
+    table = topics.term_table(spark.createDataFrame(list(texts.items()), "doc_id int, terms array<string>"))
+    df = Counter(t for words in texts.values() for t in set(words))
+    vocab = {r["term"]: (r["cf"], r["df"]) for r in topics.vocabulary(table).collect()}
+    assert vocab == {t: (sum(w.count(t) for w in texts.values()), n) for t, n in df.items() if n >= 2} and len(vocab) > 1000
+    want = {}
+    for i, words in texts.items():
+        raw = {t: n * (log(61 / (df[t] + 1)) + 1) for t, n in Counter(words).items() if df[t] >= 2}
+        norm = sqrt(sum(v * v for v in raw.values()))
+        want |= {(i, t): v / norm for t, v in raw.items()}
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in topics.tfidf_weights(table).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_topics_end_to_end(spark):
@@ -187,5 +206,5 @@ def test_encoder_hook_feeds_the_clustering(spark):
         return lambda texts: np.array([[float(len(t)), float("oil" in t)] for t in texts], dtype="float32")
 
     df = frame(spark, [post(i, 1, text="oil " * (i % 2) + "x" * (i % 5)) for i in range(60)])
-    points = topics.layout(topics.svd_reduce(topics.embed_texts(df, make), 2))
+    points = topics.layout(topics.reduce_vectors(topics.embed_texts(df, make), 2))
     assert points.count() == 60 and points.filter("x is null").count() == 0

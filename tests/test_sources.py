@@ -49,13 +49,13 @@ def check_loaded(rows):
 def test_json_files(spark, tmp_path, shape):
     path = tmp_path / "posts.json"
     path.write_text(json.dumps(ROWS if shape == "list" else {"posts": ROWS}, indent=1))
-    check_loaded(dicts(files.load_posts(spark, str(path))))
+    check_loaded(dicts(files.load_posts(spark, str(path), whole=True)))
 
 
 def test_csv_files(spark, tmp_path):
     path = tmp_path / "posts.csv"
     path.write_text('text,created_at,likes\n"multi\nline, ""quoted""",1785500000,3\nplain,2026-07-31T12:00:00Z,\n,1785500000,1\n')
-    rows = dicts(files.load_posts(spark, str(path), "csv"))
+    rows = dicts(files.load_posts(spark, str(path), "csv", whole=True))
     assert sorted((r["text"], r["engagement"]) for r in rows) == [('multi\nline, "quoted"', 3), ("plain", 0)]
 
 
@@ -131,3 +131,31 @@ def test_feed_budget_counts_items_before_the_title_filter(spark):
     items = [{"title": "" if i == 0 else f"h{i}", "id": str(i)} for i in range(5)]
     assert payloads.normalize_rss(raw(spark, *items, listing="f"), NOW, per_feed=3).count() == 2
     assert payloads.normalize_rss(raw(spark, *items, listing="f"), NOW, per_feed=None).count() == 4
+
+
+def test_lines_are_read_in_several_tasks(spark, tmp_path):
+    """A file of records per line is split by size; whole files are not."""
+    rows = [{"text": f"row {i} " + "x" * 200, "timestamp": 1785500000 + i, "id": i} for i in range(20_000)]
+    lines, table = tmp_path / "lines.json", tmp_path / "table.csv"
+    lines.write_text("\n".join(map(json.dumps, rows)))
+    table.write_text("text,timestamp,id\n" + "\n".join(f"{r['text']},{r['timestamp']},{r['id']}" for r in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512k")
+    try:
+        for path in (lines, table):
+            found = files.load_posts(spark, str(path))
+            assert found.rdd.getNumPartitions() >= 8
+            assert found.count() == 20_000 and found.select("id").distinct().count() == 20_000
+            assert files.load_posts(spark, str(path), whole=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rejected_items_keep_their_payload_and_reason(spark):
+    good = {"objectID": "7", "title": "a title", "created_at_i": 1785500000}
+    landed = raw(spark, good, {**good, "title": ""}, {**good, "objectID": None}, {**good, "objectID": "8", "created_at_i": None}, good)
+    landed = landed.unionByName(spark.createDataFrame([("x", 9, "{broken"), ("x", 10, None), ("x", 11, "[]")], payloads.RAW_DDL))
+    feed = payloads.hackernews_feed(landed)
+    assert payloads.posts_of(feed).count() == 1
+    rejects = {r["position"]: (r["reason"], r["payload"]) for r in payloads.rejects_of(feed).collect()}
+    assert {p: r for p, (r, _) in rejects.items()} == {1: "no title", 2: "no id", 3: "no time", 9: "unreadable", 10: "unreadable", 11: "unreadable"}
+    assert rejects[9][1] == "{broken" and json.loads(rejects[1][1])["objectID"] == "7"

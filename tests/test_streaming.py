@@ -1,4 +1,4 @@
-from datetime import timedelta
+from datetime import timedelta, timezone
 
 from pyspark.sql import functions as F
 
@@ -55,15 +55,30 @@ def test_closed_hours_equal_the_batch_series(spark, tmp_path):
 
 
 def test_alerts_are_delivered_once(spark, tmp_path):
-    sent = []
-    write = ingest.alerts_once(str(tmp_path / "alerts"), lambda df: sent.append(sorted(r["ticker"] for r in df.collect())))
+    """Runs an hour apart; the stream is stopped and started again after the second."""
+    import time
+
+    path, out = str(tmp_path / "raised"), str(tmp_path / "out")
 
-    def batch(*names):
-        return spark.createDataFrame([(n, "mention_spike", 2.0, "m", NOW) for n in names], schemas.ALERTS)
+    def land(run, *names):
+        rows = [(n, "mention_spike", 2.0, "m", NOW + timedelta(hours=run)) for n in names]
+        spark.createDataFrame(rows, schemas.ALERTS).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
 
-    for i, names in enumerate([("A", "B"), ("A", "B", "C"), ("C",), ("A",)]):
-        write(batch(*names), i)
-    assert sent == [["A", "B"], ["C"], [], ["A"]]
+    def deliver():
+        stream = spark.readStream.schema(schemas.ALERTS).option("maxFilesPerTrigger", 1).parquet(path)
+        drain(ingest.alerts_once(stream, 1).writeStream.format("parquet").option("path", out), tmp_path)
+        found = {}
+        for r in spark.read.schema(schemas.ALERTS).parquet(out).collect():
+            found.setdefault(round((r["created_at"].astimezone(timezone.utc) - NOW).total_seconds() / 3600), []).append(r["ticker"])
+        return {run: sorted(names) for run, names in found.items()}
+
+    land(0, "A", "B")
+    land(1, "A", "B", "C")
+    assert deliver() == {0: ["A", "B"], 1: ["C"]}
+    land(2, "C")
+    land(3, "A", "C")
+    assert deliver() == {0: ["A", "B"], 1: ["C"], 3: ["A"]}
 
 
 def test_cooldown_across_batches(spark, tmp_path):
