@@ -9,10 +9,11 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm_fixtures import SCHEMA, Classes, corpus, shingle_counts
-from murmur.llm import inputs, language, line_dedup, mixing, near_dedup, queries, token_counts, token_files
+from murmur.llm import inputs, language, mixing, near_dedup, queries, token_counts, token_files
 from murmur.session import scratch_path
 
 ROWS = corpus()
@@ -194,16 +195,15 @@ def test_line_dedup(spark, folder):
     places = [((r[0] is not None, r[0] or 0, r[1] or "", p), line) for r in ROWS for p, line in enumerate((r[1] or "").split("\n")) if line]
     different = sorted({line for _, line in places})
     classes, degree = Classes(), Counter()
-    by_length = defaultdict(list)
-    for line in different:
-        by_length[len(line)].append(line)
-    for a in different:
-        for n in range(len(a), len(a) + 3):
-            for b in by_length[n]:
-                if (len(a) < n or a < b) and line_dedup.within(a, b, line_dedup.allowed(len(a))):
-                    classes.link(a, b)
-                    degree[a] += 1
-                    degree[b] += 1
+    lines = spark.createDataFrame([(line,) for line in different], "a string")
+    others = lines.withColumnRenamed("a", "b")
+    n, m = F.length("a"), F.length("b")
+    close = lines.join(others, ((n < m) | ((n == m) & (F.col("a") < F.col("b")))) & (m * 10 <= n * 11)).repartition(8)
+    for a, b in close.filter(F.levenshtein("a", "b") * 10 <= n).collect():  # at most a tenth of the shorter line
+        classes.link(a, b)
+        degree[a] += 1
+        degree[b] += 1
+    assert max((len(a) - len(b) for a in degree for b in degree if classes.find(a) == classes.find(b)), default=0) > 2
     per_class, first = Counter(), {}
     for where, line in places:
         c = classes.find(line)
