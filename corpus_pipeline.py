@@ -2,17 +2,35 @@
 
 Null ids are kept and judged by their rows' texts; rows that repeat a doc_id share what near-duplicate
 search decides for that id. Null and empty texts leave with the first stage. Other
-columns of the table travel along; an empty table gives an empty result.
+columns of the table travel along under whatever names they have, also with dots or names that an
+operator uses itself: a stage packs them before it calls its operator. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from murmur.llm import decontaminate, language, mixing, near_dedup, token_files
 from murmur.session import materialize, scratch_path
 
 
+READ = ("doc_id", "text", "lang", "source")  # the columns that operators read; all others are only carried
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The columns that operators read, and all others in one column ``carried``."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in READ]
+    return docs.select(*READ, F.struct(F.lit(0).alias("carried"), *[c.alias(f"c{i}") for i, c in enumerate(others)]).alias("carried"))
+
+
+def _unpacked(packed: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, in their order."""
+    place = {c: i for i, c in enumerate(c for c in like.columns if c not in READ)}
+    return packed.select(*[F.col(c) if c in READ else F.col("carried")[f"c{place[c]}"].alias(c) for c in like.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter have none.
 
@@ -21,24 +39,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.train(docs)
     if not model.languages:
         return docs.filter(language.has_letter("text"))
-    judged = language.identify(docs, model, prefix="stage_")
-    return judged.filter(judged["stage_lang_pred"] != language.UNKNOWN).select(*docs.columns)
+    judged = language.identify(_packed(docs), model)
+    return _unpacked(judged.filter(F.col("lang_pred") != language.UNKNOWN), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near duplicates: the one with the least doc_id."""
     gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(materialize(gone, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(gone, "near-duplicates"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    clean = decontaminate.drop_contaminated(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _unpacked(clean, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    return _unpacked(mixing.mixed_documents(_packed(docs)), docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

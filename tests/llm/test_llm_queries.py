@@ -98,7 +98,7 @@ def test_decontamination(spark, folder):
 def near_classes(rows):
     """doc_id -> least doc_id of its class, by all pairs of different word sequences."""
     n, frequency = len(rows), Counter(s for r in rows for s in shingle_counts(r[1]))
-    weight = lambda s: math.log1p(n / max(frequency[s], n / near_dedup.CLIP))
+    weight = lambda s: math.log1p(n / frequency[s])
     sets = {r[0]: shingle_counts(r[1]) for r in rows if r[0] is not None and shingle_counts(r[1])}
     classes = Classes()
     for a, b in combinations(sorted(sets), 2):
@@ -286,6 +286,23 @@ def test_stages_keep_the_columns(spark, folder):
         assert stage(spark, docs, folder).columns == docs.columns
 
 
+def test_stages_carry_columns_of_any_name(spark, folder, tmp_path):
+    names = ["shard", "shard_order", "stage_lang_pred", "stage___letter", "lang_pred", "score", "__letter", "a.b", "row", "carried", "key", "c0"]
+    docs = queries.table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    order = ["a.b", "doc_id", "shard", "text", *[n for n in names if n not in ("a.b", "shard")], "n_chars", "source", "lang"]
+    docs = docs.select(*[F.col(f"`{n}`") for n in order])
+    plain = queries.table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, folder)
+        assert found.columns == order and found.dtypes == docs.dtypes, name
+        rows = found.collect()
+        assert all(r[n] == (None if r["doc_id"] is None else f"{n}{r['doc_id']}") for r in rows for n in names), name
+        want = Counter(r["doc_id"] for r in stage(spark, plain, folder).collect())
+        assert Counter(r["doc_id"] for r in rows) == want, name
+
+
 def test_held_out_rows_do_not_teach(spark):
     rows = [(i, "the quick brown fox", "en") for i in range(40)] + [(1000 + i, "der schnelle braune fuchs", "de") for i in range(40)]
     rows += [(i, "zzz qqq xxx", "xx") for i in range(2000, 2400) if zlib.crc32(str(i).encode()) % 4 == 2]
