@@ -42,6 +42,8 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame([], "page_id long, url string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return path
 
 
