@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -49,11 +50,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/murmur/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def finished_shuffles_removed(spark: SparkSession):
+    """Shuffle files of an execution that ends inside go with it, not at some later garbage collection of the driver."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
 def materialize(df, name: str):
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
+    """Write ``df`` to the shared folder and read it back, cutting its lineage.
+
+    What the write shuffled is not needed again: a written table is read by its files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with finished_shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
