@@ -55,6 +55,21 @@ def cut(batch: pa.RecordBatch, max_bytes: int) -> Iterator[pa.RecordBatch]:
         start = end
 
 
+def releasing(work: Callable) -> Callable:
+    """``work`` for ``mapInArrow``, after which the worker gives freed memory back; workers are reused by later stages."""
+
+    def run(batches):
+        import ctypes
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def flat_bytes(column: pa.Array):
     """(bytes as uint8, offsets as int64 starting at 0) of a string column without nulls; no copy of the text."""
     import numpy as np

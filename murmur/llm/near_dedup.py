@@ -2,8 +2,8 @@
 
 1. Document frequencies of all shingles, exactly. Those in at least 1 of ``CLIP`` documents are few and sent to
    every task: a shingle that frequent is so in some block of documents, which names it; all documents
-   then count the named ones. All others are counted by a shuffle, and those in several documents are
-   joined to the texts that have them. What is left is in one document.
+   then count the named ones. All others are shuffled once, packed, to parts that count them and tell
+   the texts which of theirs several documents have. What is left is in one document.
 2. Every text is drawn ``BANDS * ROWS`` consistent weighted samples: a sample agrees
    between two texts with the probability of their weighted Jaccard similarity. ``ROWS``
    samples form the key of a band.
@@ -27,14 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm.components import components
-from murmur.llm.inputs import cut, texts
+from murmur.llm.inputs import cut, flat_bytes, releasing, texts
 from murmur.llm.words import BATCH_BYTES, SHINGLE_WORDS, mix64, shingles, word_hashes
 from murmur.session import materialize
 
 BANDS, ROWS = 20, 4
-CLIP = 100  # shingles in at least 1 of CLIP documents are sent to every task, the others joined to the texts
+CLIP = 100  # shingles in at least 1 of CLIP documents are sent to every task, the others counted by a shuffle
 POOL = 1 << 14  # random triples per hash function, picked by the shingle's hash
-BLOCK_SHINGLES = 1 << 22  # of a block of documents that names its frequent shingles
+BLOCK_SHINGLES = 1 << 21  # of a block of documents that names its frequent shingles
+DEALT_BYTES = 4 << 20  # of texts whose shingles are dealt together
+PART_SHINGLES = 1 << 21  # of a part that is counted by sorting it, about
+WORD_BYTES = 6  # of a word and the space behind it, about: tells how many parts there are
 SLOTS = 64  # partial sums of a text's weight, for a bound of what two texts share
 LOCAL_NAMES = 1 << 21  # named shingles up to this many are sent to every task; beyond it they are joined
 
@@ -94,28 +97,32 @@ def counted(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return flat[at], times, np.searchsorted(text[at], np.arange(len(offsets), dtype=np.uint64)).astype(np.int64)
 
 
+def _in_documents(flat: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles, in how many texts each is) of pairs that may repeat."""
+    order = np.lexsort((text, flat))
+    flat, text = flat[order], text[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])
+    return np.unique(flat[new], return_counts=True)
+
+
 def _named(batches):
     """(shingle) for every shingle that at least 1 of CLIP documents of a block has."""
     held, docs, size = [], 0, 0
 
     def block():
-        flat = np.concatenate([f for f, _ in held])
+        flat, text = (np.concatenate([h[i] for h in held]) for i in (0, 1))
         least = -(-docs // CLIP)
-        bins = (flat & np.uint64((1 << 22) - 1)).astype(np.int64)
-        often = np.bincount(bins, minlength=1 << 22) >= least
-        keys, at = [], 0
-        for f, text in held:
-            mask = often[bins[at : at + len(f)]]
-            at += len(f)
-            keys.append(np.unique(np.rec.fromarrays([f[mask], text[mask]], names="s,t"))["s"])
-        names, times = np.unique(np.concatenate(keys), return_counts=True)
+        bins = (flat & np.uint64(BLOCK_SHINGLES - 1)).astype(np.int64)
+        often = (np.bincount(bins, minlength=BLOCK_SHINGLES) >= least)[bins]
+        names, times = _in_documents(flat[often], text[often])
         return pa.RecordBatch.from_arrays([pa.array(names[times >= least].view(np.int64))], ["shingle"])
 
     for batch in batches:
         for piece in cut(batch, BATCH_BYTES):
             flat, offsets = shingles(piece.column(0))
             if len(flat):
-                held.append((flat, np.repeat(np.arange(docs, docs + piece.num_rows), np.diff(offsets))))
+                held.append((flat, np.repeat(np.arange(docs, docs + piece.num_rows, dtype=np.uint32), np.diff(offsets))))
             docs, size = docs + piece.num_rows, size + len(flat)
             if size >= BLOCK_SHINGLES:
                 yield block()
@@ -129,7 +136,7 @@ def _counts(batches, names=None):
     for batch in batches:
         for piece in cut(batch, BATCH_BYTES):
             flat, offsets = shingles(piece.column(0))
-            text = np.repeat(np.arange(piece.num_rows), np.diff(offsets))
+            text = np.repeat(np.arange(piece.num_rows, dtype=np.uint32), np.diff(offsets))
             if names is not None:
                 keys, seen = names
                 maybe = np.flatnonzero(seen[(flat & np.uint64(0xFFFF)).astype(np.int64)])
@@ -137,8 +144,7 @@ def _counts(batches, names=None):
                 maybe = maybe[keys[at] == flat[maybe]]
                 flat, text = flat[maybe], text[maybe]
             if len(flat):
-                pairs = np.unique(np.rec.fromarrays([flat, text], names="s,t"))
-                found, times = np.unique(pairs["s"], return_counts=True)
+                found, times = _in_documents(flat, text)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times)], ["shingle", "documents"])
 
 
@@ -147,7 +153,7 @@ def document_frequencies(rows: DataFrame) -> Frequencies:
     spark = rows.sparkSession
     documents = rows.count()
     column = rows.select("text")
-    names = materialize(column.mapInArrow(_named, "shingle long").distinct(), "frequent-names")
+    names = materialize(column.mapInArrow(releasing(_named), "shingle long").distinct(), "frequent-names")
     if names.isEmpty():
         return Frequencies(documents, np.zeros(0, np.uint64), np.zeros(0))
     if names.count() <= LOCAL_NAMES:
@@ -155,38 +161,102 @@ def document_frequencies(rows: DataFrame) -> Frequencies:
         seen = np.zeros(1 << 16, bool)
         seen[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
         sent = spark.sparkContext.broadcast((keys, seen))
-        counts = column.mapInArrow(lambda batches: _counts(batches, sent.value), "shingle long, documents long")
+        counts = column.mapInArrow(releasing(lambda batches: _counts(batches, sent.value)), "shingle long, documents long")
     else:
-        counts = column.mapInArrow(_counts, "shingle long, documents long").join(names, "shingle", "left_semi")
+        counts = column.mapInArrow(releasing(_counts), "shingle long, documents long").join(names, "shingle", "left_semi")
     sums = counts.groupBy("shingle").agg(F.sum("documents").alias("documents"))
     frequent = sums.filter(F.col("documents") * CLIP >= documents).toArrow()
     return Frequencies(documents, frequent.column(0).to_numpy().view(np.uint64), frequent.column(1).to_numpy())
 
 
-def _cells(batches, frequencies: Frequencies):
-    """(shingle, text_key): the shingles of every text that are not frequent."""
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of numbers that end at ``ends``, as binary values."""
+    offsets = np.append(0, ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
+
+
+def _dealt(batches, frequencies: Frequencies, parts: int):
+    """(part, keys, owners, sizes): shingles of a batch that are not frequent, dealt to parts by their upper bits.
+
+    ``keys`` holds the shingles of a part, text after text, ``owners`` the texts' keys and
+    ``sizes`` how many of them each has: one row for many shingles.
+    """
     for batch in batches:
-        for piece in cut(batch, BATCH_BYTES):
+        for piece in cut(batch, DEALT_BYTES):
             flat, _, offsets = counted(*shingles(piece.column(0)))
-            keys = np.repeat(piece.column(1).to_numpy(), np.diff(offsets))
+            text = np.repeat(np.arange(piece.num_rows, dtype=np.uint32), np.diff(offsets))
             other = frequencies.of(flat) == frequencies.rare
-            yield pa.RecordBatch.from_arrays([pa.array(flat[other].view(np.int64)), pa.array(keys[other])], ["shingle", "text_key"])
+            flat, text = flat[other], text[other]
+            if not len(flat):
+                continue
+            part = (((flat >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint32 if parts > 1 << 16 else np.uint16)
+            order = np.argsort(part, kind="stable")
+            part, flat, text = part[order], flat[order], text[order]
+            last = part[1:] != part[:-1]
+            ends = np.append(np.flatnonzero(last) + 1, len(flat))
+            runs = np.append(np.flatnonzero(last | (text[1:] != text[:-1])) + 1, len(flat))
+            owners = piece.column(1).to_numpy()[text[runs - 1]]
+            sizes = np.diff(np.append(0, runs)).astype(np.uint32)
+            run_ends = np.searchsorted(runs, ends, side="right")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[ends - 1].astype(np.int32)), _blobs(flat, ends), _blobs(owners, run_ends), _blobs(sizes, run_ends)],
+                ["part", "keys", "owners", "sizes"],
+            )
+
+
+def _several(batches):
+    """(text_key, shingles, documents): the shingles of a part that are in several documents, by text."""
+    held: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for i, kind in enumerate(("<u8", "<i8", "<u4")):
+            held[i].append(np.frombuffer(flat_bytes(batch.column(i))[0].tobytes(), kind))
+    if not held[0]:
+        return
+    flat = np.concatenate(held[0])
+    owners = np.repeat(np.concatenate(held[1]), np.concatenate(held[2]))
+    held.clear()
+    order = np.argsort(flat)
+    flat = flat[order]
+    first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    documents = np.diff(np.append(first, len(flat)))
+    documents = np.repeat(documents, documents)
+    more = documents > 1
+    flat, owners, documents = flat[more], owners[order[more]], documents[more]
+    if not len(flat):
+        return
+    order = np.lexsort((flat, owners))
+    flat, owners, documents = flat[order], owners[order], documents[order]
+    new = np.append(True, (flat[1:] != flat[:-1]) | (owners[1:] != owners[:-1]))  # copies of a text have one key
+    flat, owners, documents = flat[new], owners[new], documents[new]
+    ends = np.append(np.flatnonzero(owners[1:] != owners[:-1]) + 1, len(flat))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(owners[ends - 1]), _lists(flat.view(np.int64), ends), _lists(documents, ends)], ["text_key", "shingles", "documents"]
+    )
 
 
 def shared_shingles(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
     """(text_key, shingles, documents): the shingles of a text that several documents have but fewer than 1 of CLIP.
 
-    ``rows`` is (doc_id, text, text_key). No shingle here is in more than 1 of CLIP documents, so no key is hot.
+    ``rows`` is (doc_id, text, text_key). Shingles are dealt once, by ranges of their hash, to parts whose number
+    follows the bytes of all texts; a part is counted by sorting it. No shingle here is in more than 1 of CLIP
+    documents, so no part is hot, whatever repeats.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(frequencies)
-    counts = rows.select("text").mapInArrow(_counts, "shingle long, documents long")
-    sums = counts.groupBy("shingle").agg(F.sum("documents").alias("documents"))
-    several = sums.filter((F.col("documents") > 1) & (F.col("documents") * CLIP < frequencies.documents))
-    several = materialize(several, "shared-frequencies")
-    cells = rows.filter("doc_id is not null").select("text", "text_key").mapInArrow(lambda batches: _cells(batches, sent.value), "shingle long, text_key long")
-    held = cells.join(several, "shingle").dropDuplicates(["text_key", "shingle"])  # copies of a text have one key
-    lists = held.groupBy("text_key").agg(F.collect_list(F.struct("shingle", "documents")).alias("held"))
-    return materialize(lists.select("text_key", F.col("held.shingle").alias("shingles"), F.col("held.documents").alias("documents")), "shared-shingles")
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast(frequencies)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (PART_SHINGLES * WORD_BYTES)))
+    dealt = rows.select("text", "text_key").mapInArrow(
+        releasing(lambda batches: _dealt(batches, sent.value, parts)), "part int, keys binary, owners binary, sizes binary"
+    )
+    found = dealt.repartitionById(parts, F.col("part")).select("keys", "owners", "sizes")
+    found = found.mapInArrow(releasing(_several), "text_key long, shingles array<bigint>, documents array<bigint>")
+    lists = found.groupBy("text_key").agg(F.collect_list(F.struct("shingles", "documents")).alias("held"))
+    lists = lists.select("text_key", F.flatten("held.shingles").alias("shingles"), F.flatten("held.documents").alias("documents"))
+    return materialize(lists, "shared-shingles")
 
 
 def with_shared(rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -270,7 +340,7 @@ def signatures(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
                     [piece.column(1).take(pa.array(has)), pa.array([digests[i] for i in has], pa.binary()), lists], ["doc_id", "words", "bands"]
                 )
 
-    return rows.select("text", "doc_id", "shingles", "documents").mapInArrow(sign, SIGNATURE_SCHEMA)
+    return rows.select("text", "doc_id", "shingles", "documents").mapInArrow(releasing(sign), SIGNATURE_SCHEMA)
 
 
 def word_digests(column: pa.Array) -> list[bytes]:
@@ -315,7 +385,7 @@ def verified(pairs: DataFrame, rows: DataFrame, frequencies: Frequencies, thresh
                 good = [weighted_jaccard(x, y, weights, held) >= threshold for x, y in zip(*sets)]
                 yield piece.select([2, 3]).filter(pa.array(good))
 
-    return both.mapInArrow(compare, "a long, b long")
+    return both.mapInArrow(releasing(compare), "a long, b long")
 
 
 def shared_weights(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
@@ -334,7 +404,7 @@ def shared_weights(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
                 ids = np.repeat(piece.column(1).to_numpy(), np.diff(offsets))
                 yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(ids), pa.array(times * weights.of(flat, listed(piece.column(2), piece.column(3))))], ["shingle", "doc_id", "weight"])
 
-    cells = rows.select("text", "doc_id", "shingles", "documents").mapInArrow(weigh, "shingle long, doc_id long, weight double")
+    cells = rows.select("text", "doc_id", "shingles", "documents").mapInArrow(releasing(weigh), "shingle long, doc_id long, weight double")
     slot = F.col("shingle").bitwiseAND(F.lit(SLOTS - 1))
     by_slot = lambda name: F.array(*[F.coalesce(F.sum(F.when(slot == i, F.col("weight"))), F.lit(0.0)) for i in range(SLOTS)]).alias(name)
     owners = cells.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"), F.max("weight").alias("weight"))
