@@ -175,10 +175,6 @@ def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values))
-
-
 def _dealt(batches, frequencies: Frequencies, parts: int):
     """(part, keys, owners, sizes): shingles of a batch that are not frequent, dealt to parts by their upper bits.
 
@@ -209,7 +205,7 @@ def _dealt(batches, frequencies: Frequencies, parts: int):
 
 
 def _several(batches):
-    """(text_key, shingles, documents): the shingles of a part that are in several documents, by text."""
+    """(text_key, shingle, documents): the shingles of a part that are in several documents, once for each text."""
     held: list[list[np.ndarray]] = [[], [], []]
     for batch in batches:
         for i, kind in enumerate(("<u8", "<i8", "<u4")):
@@ -231,11 +227,7 @@ def _several(batches):
     order = np.lexsort((flat, owners))
     flat, owners, documents = flat[order], owners[order], documents[order]
     new = np.append(True, (flat[1:] != flat[:-1]) | (owners[1:] != owners[:-1]))  # copies of a text have one key
-    flat, owners, documents = flat[new], owners[new], documents[new]
-    ends = np.append(np.flatnonzero(owners[1:] != owners[:-1]) + 1, len(flat))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(owners[ends - 1]), _lists(flat.view(np.int64), ends), _lists(documents, ends)], ["text_key", "shingles", "documents"]
-    )
+    yield pa.RecordBatch.from_arrays([pa.array(owners[new]), pa.array(flat[new].view(np.int64)), pa.array(documents[new])], ["text_key", "shingle", "documents"])
 
 
 def shared_shingles(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
@@ -253,9 +245,9 @@ def shared_shingles(rows: DataFrame, frequencies: Frequencies) -> DataFrame:
         releasing(lambda batches: _dealt(batches, sent.value, parts)), "part int, keys binary, owners binary, sizes binary"
     )
     found = dealt.repartitionById(parts, F.col("part")).select("keys", "owners", "sizes")
-    found = found.mapInArrow(releasing(_several), "text_key long, shingles array<bigint>, documents array<bigint>")
-    lists = found.groupBy("text_key").agg(F.collect_list(F.struct("shingles", "documents")).alias("held"))
-    lists = lists.select("text_key", F.flatten("held.shingles").alias("shingles"), F.flatten("held.documents").alias("documents"))
+    found = found.mapInArrow(releasing(_several), "text_key long, shingle long, documents long")
+    lists = found.groupBy("text_key").agg(F.collect_list(F.struct("shingle", "documents")).alias("held"))
+    lists = lists.select("text_key", F.col("held.shingle").alias("shingles"), F.col("held.documents").alias("documents"))
     return materialize(lists, "shared-shingles")
 
 
