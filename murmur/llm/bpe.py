@@ -35,9 +35,12 @@ _END = "\n"  # stands for the end mark inside the automaton; byte-level words ho
 def _plain_range() -> tuple[str, str, str]:
     """(letters, numbers, all) below U+0250 and among dashes and quotation marks, as the inside of character classes.
 
-    In this range no text changes under NFC, and white space is that of ASCII.
+    In this range no text changes under NFC, and white space is that of ASCII. Capitals whose small letters
+    lie outside of it are left out.
     """
     points = [c for c in range(0x250) if c not in (0x85, 0xA0) and not 0x1C <= c <= 0x1F] + [*range(0x2010, 0x2028), *range(0x2030, 0x205F)]
+    closed = {*map(chr, points), "\u0307"}
+    points = [c for c in points if closed.issuperset(chr(c).lower())]
     escaped = lambda kinds: "".join(re.escape(chr(c)) for c in points if unicodedata.category(chr(c))[0] in kinds)
     return escaped("L"), escaped("N"), escaped("LNMPSZC")
 

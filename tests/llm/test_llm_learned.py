@@ -163,6 +163,8 @@ def test_every_word_of_a_small_alphabet_is_exact():
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(1, 30))) for _ in range(5000)]
     words += ["a" * n for n in range(1, 200)] + ["ab" * n for n in range(1, 100)]
+    low = [*range(0x250), *range(0x2010, 0x2060)]  # the characters that the module cuts by itself, and their neighbours
+    words += ["".join(chr(rng.choice(low)) for _ in range(12)) for _ in range(3000)] + [f"a{chr(c)}b {chr(c)}{chr(c)}" for c in low]
     for word, coded in zip(words, library.encode_batch(words, add_special_tokens=False)):
         assert np.frombuffer(own.encode(word), "<u4").tolist() == coded.ids, word
 

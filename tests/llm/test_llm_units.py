@@ -38,6 +38,7 @@ def test_wavelet_matrix_of_wide_ids():
 TRICKY = [
     "", " ", "\n", "a\n b", "a \n b", "  a  b  ", "x<|endoftext|> y", "<|startoftext|>Foo", "a\x1cb c", "a\x85 b", "İstanbul Ångström é ́x",
     "a b c", "tab\tb  \t c", "᠎ x ᠎y", "it's we'll 12 345", "a　b 　 c", "end ", " start", "日本 語​ x", "﻿bom a",
+    "Ələsgər ƏLİ", "ĭƔ ƐƆa ȺB", "Retierha, retierha. 'Twas'nt I'LL", "ÉCOLE école, ßẞ", "a\x00b\x7f ½²ª",
 ]
 
 
