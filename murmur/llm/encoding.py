@@ -4,14 +4,23 @@ Both tokenizers cut a text at white space before they merge anything, so a text'
 are those of its pieces one after another. A worker process keeps the ids of pieces
 it has seen and sends only new ones to the tokenizers library. Texts whose white space a
 cut could misread go to the library as a whole.
+
+Under the tokenizer with word ends, texts of plain characters are cut into its words already, in
+lower case, so "Word." and "word," share what is kept. New words go to the library many at a
+time, joined by spaces; the ids that end a word part them again.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
+import numpy as np
+
+from murmur.llm.bpe import _OTHER_TEXT, _WORDS, END_OF_WORD, _cuts_as_known
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MEMO_PIECES = 400_000  # about 80 MB; a full memory is started anew
@@ -20,8 +29,12 @@ MEMO_PIECES = 400_000  # about 80 MB; a full memory is started anew
 DOUBTFUL = re.compile("[\x1c-\x1f\x85᠎​-‏⁠﻿]")
 # A space beside other white space: the tokenizer's rule for runs of white space applies there.
 RUNS = re.compile(r" \s|\s ")
+# The word pattern over lower-case ASCII.
+ASCII_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\x20\x09-\x0Da-z0-9]+")
+JOINED = 256  # new words in one call's text
 
 _loaded: dict = {}
+_endings: dict = {}
 
 
 def tokenizer(path: str):
@@ -83,15 +96,62 @@ def byte_counts(path: str, texts: list[str]) -> list[int]:
     return counts
 
 
+def _word_ends(path: str):
+    """(which ids end a word, strings that become special ids), or None where the file cuts words in another way than this module."""
+    if path not in _endings:
+        with open(path, encoding="utf-8") as file:
+            declared = json.load(file)
+        model = declared["model"]
+        if model.get("end_of_word_suffix") == END_OF_WORD and _cuts_as_known(declared):
+            added = declared.get("added_tokens") or []
+            ends = np.zeros(max([*model["vocab"].values(), *(t["id"] for t in added)]) + 1, bool)
+            ends[[i for t, i in model["vocab"].items() if t.endswith(END_OF_WORD)]] = True
+            _endings[path] = (ends, [t["content"] for t in added])
+        else:
+            _endings[path] = None
+    return _endings[path]
+
+
+def _words(text: str, special: list[str]) -> list[str] | None:
+    """The words of a text of plain characters, None for others and for texts that hold a special string."""
+    lower = text.lower()
+    if any(s in text for s in special):
+        return None
+    if text.isascii() and not DOUBTFUL.search(text):
+        return ASCII_WORDS.findall(lower)
+    return None if _OTHER_TEXT.search(text) else _WORDS.findall(lower)
+
+
 def word_ids(path: str, texts: list[str]) -> list[bytes]:
-    """Ids (little-endian 32-bit) of every text under a tokenizer that drops white space; cut at any white space."""
+    """Ids (little-endian 32-bit) of every text under a tokenizer that drops white space.
+
+    Cut into words where they are known, else at any white space.
+    """
     model, memo = tokenizer(path)
+    known = _word_ends(path)
     pack = lambda batch: [array("I", e.ids).tobytes() for e in model.encode_batch_fast(batch, add_special_tokens=False)]
+
+    def joined(words: list[str]) -> list[bytes]:
+        parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        coded: list[bytes] = []
+        for part, ids in zip(parts, pack([" ".join(p) for p in parts])):
+            ends = (4 * np.flatnonzero(known[0][np.frombuffer(ids, "<u4")]) + 4).tolist()
+            whole = len(ends) == len(part) and ends[-1] == len(ids)
+            coded += [ids[a:b] for a, b in zip([0, *ends], ends)] if whole else pack(part)
+        return coded
+
     found: list[bytes] = []
     for group in _groups(texts):
-        odd = {i for i, t in enumerate(group) if DOUBTFUL.search(t)}
-        whole = iter(pack([group[i] for i in sorted(odd)]))
-        pieces = [[] if i in odd else t.split() for i, t in enumerate(group)]
-        _remember(memo, pieces, pack)
-        found += [next(whole) if i in odd else b"".join(map(memo.__getitem__, p)) for i, p in enumerate(pieces)]
+        words = [_words(t, known[1]) if known else None for t in group]
+        _remember(memo, [w for w in words if w is not None], joined)
+        for i, w in enumerate(words):
+            if w is not None:
+                words[i] = b"".join(map(memo.__getitem__, w))
+        others = [i for i, w in enumerate(words) if w is None]
+        odd = [i for i in others if DOUBTFUL.search(group[i])]
+        whole = dict(zip(odd, pack([group[i] for i in odd])))
+        pieces = {i: group[i].split() for i in others if i not in whole}
+        _remember(memo, list(pieces.values()), pack)
+        whole |= {i: b"".join(map(memo.__getitem__, p)) for i, p in pieces.items()}
+        found += [whole[i] if w is None else w for i, w in enumerate(words)]
     return found
