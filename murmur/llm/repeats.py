@@ -219,7 +219,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     long_texts = keyed.filter(F.octet_length("text") >= LENGTH)
     found = materialize(long_texts.select("text", "k1", "k2").mapInArrow(_emit_anchors, "gram long, k1 long, k2 long, place long, first long, last long"), "anchors")
-    shared = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Written first, so that adaptive execution can split a hot gram's anchors in the join.
+    shared = materialize(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "shared-grams")
     lists = found.join(shared, "gram", "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "first", "last")).alias("anchors"))
     wanted = lists.join(copies, ["k1", "k2"]).withColumnsRenamed({"k1": "j1", "k2": "j2"})
     same = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("doc_id").eqNullSafe(F.col("speaker"))
