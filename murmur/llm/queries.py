@@ -51,10 +51,11 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = found.cut.select(
         "k1", "k2", F.sha2("kept", 256).alias("cut_sha256"), F.size("spans").cast("long").alias("runs"), F.length("kept").cast("long").alias("n_kept")
     )
-    judged = found.documents.join(cut, ["k1", "k2"], "left")
+    judged = found.documents.join(cut, ["k1", "k2"], "left").withColumn("n_kept", F.coalesce("n_kept", "n_bytes"))
     return judged.select(
-        "doc_id", "n_bytes", (F.col("n_bytes") - F.coalesce("n_kept", "n_bytes")).alias("n_removed"),
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.col("n_kept")).alias("n_removed"),
         F.coalesce("runs", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"),
+        "n_kept", F.col("runs").isNotNull().alias("has_repeats"),
     )
 
 
