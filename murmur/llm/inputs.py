@@ -84,6 +84,15 @@ def flat_bytes(column: pa.Array):
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing reads it any more."""
+    jvm = table.sparkSession._jvm
+    files = table.inputFiles()
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(files[0])).getParent()
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def sha256_text(col: Column | str) -> Column:
     return F.sha2(F.encode(F.col(col) if isinstance(col, str) else col, "UTF-8"), 256)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmur.llm.inputs import cut, flat_bytes, texts
+from murmur.llm.inputs import cut, discard, flat_bytes, texts
 from murmur.session import materialize
 
 LENGTH = 400
@@ -226,6 +226,8 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")) & F.col("doc_id").eqNullSafe(F.col("speaker"))
     speaking = long_texts.join(wanted.hint("shuffle_hash"), same).select("text", "k1", "k2", "anchors", "copies").dropDuplicates(["k1", "k2"])
     speaking = materialize(speaking, "repeat-texts")
+    for done in (found, shared):
+        discard(done)
 
     cells_found = materialize(speaking.mapInArrow(_emit_cells, CELL_SCHEMA), "cells")
     kinds = cells_found.groupBy(*CELL_KEY).agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "first", "last")).alias("one"))
