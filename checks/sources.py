@@ -11,6 +11,8 @@ from murmur.session import scratch_path
 from murmur.sources import coverage, files, payloads, prices, scans
 from murmur.sources.dictionary import Dictionary
 
+# Posts of an author that one object of an export lists; more are dealt to further objects.
+POSTS_PER_OBJECT = 2000
 OUT = ["id", "platform", "source", "author", "text", "url", "lang", "engagement"]
 
 
@@ -237,14 +239,24 @@ def json_export(spark, d):
 
 
 def json_posts_object(spark, d):
-    """The same export as whole files, one object with a ``posts`` list per author."""
+    """The same export as whole files, one object with a ``posts`` list per author; long lists are dealt to several objects."""
     path = scratch_path(spark, "export")
-    rows = _loose_rows(spark, d)
-    packed = rows.groupBy("username").agg(F.collect_list(F.struct(*rows.columns)).alias("posts"))
-    packed.select("posts").repartition(packed.count()).write.option("maxRecordsPerFile", 1).json(path)
+    _write_post_objects(_loose_rows(spark, d), path)
     return _loaded(files.load_posts(spark, path, whole=True))
 
 
+def _write_post_objects(rows, path, posts_per_object=POSTS_PER_OBJECT):
+    """One file per object; a file is read whole, so no object holds many more than ``posts_per_object`` posts.
+
+    As many tasks write as hold the posts, each all of its files.
+    """
+    sizes = rows.groupBy(F.col("username").alias("name")).agg(F.ceil(F.count("*") / posts_per_object).alias("objects"))
+    dealt = rows.withColumn("at", F.monotonically_increasing_id())
+    dealt = dealt.join(sizes.filter("objects > 1"), F.col("username").eqNullSafe(F.col("name")), "left")
+    packed = dealt.groupBy("username", F.col("at") % F.coalesce("objects", F.lit(1))).agg(F.collect_list(F.struct(*rows.columns)).alias("posts"))
+    packed.select("posts").write.option("maxRecordsPerFile", 1).json(path)
+
+
 def normalize_prices(spark, d):
     raw = _events(spark, d).select(
         F.col("event_type").alias("ticker"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),

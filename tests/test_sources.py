@@ -159,3 +159,20 @@ def test_rejected_items_keep_their_payload_and_reason(spark):
     rejects = {r["position"]: (r["reason"], r["payload"]) for r in payloads.rejects_of(feed).collect()}
     assert {p: r for p, (r, _) in rejects.items()} == {1: "no title", 2: "no id", 3: "no time", 9: "unreadable", 10: "unreadable", 11: "unreadable"}
     assert rejects[9][1] == "{broken" and json.loads(rejects[1][1])["objectID"] == "7"
+
+
+def test_posts_of_a_busy_author_are_dealt_to_objects(spark, tmp_path):
+    """Nobody's posts make one object, or one file, that a single task has to hold."""
+    from checks.sources import _write_post_objects
+
+    path = str(tmp_path / "export")
+    rows = [(str(i), "" if i % 2 else None if i % 3 else f"u{i % 12}") for i in range(600)]
+    df = spark.createDataFrame(rows + rows[:2], "body string, username string").repartition(3)
+    _write_post_objects(df, path, 40)
+    objects = spark.read.schema("posts array<struct<body:string,username:string>>").json(path, multiLine=True)
+    assert objects.agg(F.max(F.size("posts"))).first()[0] <= 45
+    assert objects.filter(F.size(F.array_distinct(F.transform("posts", lambda p: F.coalesce(p["username"], F.lit("none"))))) > 1).count() == 0
+    names = sorted((r["body"], r["username"]) for r in objects.select(F.inline("posts")).filter("username is not null").collect())
+    assert names == sorted(r for r in rows + rows[:2] if r[1] is not None)
+    assert objects.select(F.inline("posts")).count() == 602
+    assert len(list((tmp_path / "export").glob("part-*"))) == objects.count()
