@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KEYS_PER_SLOT = 2
+LISTED = 256  # so many keys at most are listed in the plan themselves
 
 
 def slotted(values: Mapping[str, object], ddl: str) -> Callable[[Column], Column]:
@@ -28,5 +29,8 @@ def slotted(values: Mapping[str, object], ddl: str) -> Callable[[Column], Column
 
 def member(keys: Iterable[str]) -> Callable[[Column], Column]:
     """A function that tells whether a string column is one of ``keys``; null is not."""
-    found = slotted(dict.fromkeys(keys, True), "boolean")
+    known = sorted(set(keys))
+    if len(known) <= LISTED:
+        return lambda key: F.coalesce(key.isin(known), F.lit(False))
+    found = slotted(dict.fromkeys(known, True), "boolean")
     return lambda key: F.coalesce(found(key), F.lit(False))

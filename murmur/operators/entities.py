@@ -37,16 +37,17 @@ def bare_symbols(text: Column, d: Dictionary) -> Column:
 
 def of_words(phrase: str) -> bool:
     """Whether a phrase begins and ends with a word and splits into words alike in Python and the JVM."""
-    same = all(unicodedata.category(c)[0] != "M" and c.isnumeric() == c.isdecimal() for c in phrase)
+    kinds = [unicodedata.category(c) for c in phrase if c != "_"]
+    same = all(kind[0] != "M" and kind not in ("Pc", "So", "Cf") for kind in kinds) and all(c.isnumeric() == c.isdecimal() for c in phrase)
     return same and re.fullmatch(r"\w(.*\w)?", phrase, re.DOTALL) is not None
 
 
 def alias_symbols(text: Column, d: Dictionary) -> Column:
     """Symbols whose alias phrase occurs between word boundaries, longest phrase first.
 
-    The text is cut once into its runs of neighbouring words, as long as the longest phrase
-    has words, and each run is looked up: the cost does not depend on the number of
-    aliases. Phrases that do not begin and end with a word are searched for one by one.
+    The text is cut once into its words, and the runs of neighbouring words that begin as
+    some phrase of as many words does are looked up: the cost does not depend on the number
+    of aliases. Phrases that do not begin and end with a word are searched for one by one.
     """
     if not d.aliases:
         return string_array([])
@@ -57,11 +58,15 @@ def alias_symbols(text: Column, d: Dictionary) -> Column:
             entries.setdefault(phrase, []).append({"rank": rank, "symbol": symbol})
         else:
             odd.append((rank, phrase, symbol))
+    heads: dict[int, set[str]] = {}
+    for phrase in entries:
+        words = re.findall(r"\w+", phrase)
+        heads.setdefault(len(words), set()).add(words[0])
     hit = "array<struct<rank:int,symbol:string>>"
     find = slotted(entries, hit)
 
     def hits(low: Column) -> Column:
-        looked_up = F.flatten(F.filter(F.transform(_phrases(low, d.max_words()), find), lambda x: x.isNotNull()))
+        looked_up = F.flatten(F.filter(F.transform(_phrases_from(low, heads), find), lambda x: x.isNotNull()))
         searched = [
             F.when(F.contains(low, F.lit(p)) & low.rlike(rf"(?U)\b\Q{p}\E\b"), F.struct(F.lit(rank).alias("rank"), F.lit(s).alias("symbol")))
             for rank, p, s in odd
@@ -98,24 +103,44 @@ def _numbered(terms: Column, kind: str) -> Column:
     return F.transform(terms, lambda t, i: F.struct(F.lit(kind).alias("kind"), t.alias("term"), i.alias("pos")))
 
 
+def _cut(low: Column) -> Column:
+    """The words of a lower-case text, and each with what follows it up to the next one."""
+    return F.struct(
+        F.regexp_extract_all(low, F.lit(r"(?U)\w+\W*"), F.lit(0)).alias("pieces"),
+        F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)).alias("words"),
+    )
+
+
 def _phrases(low: Column, max_words: int) -> Column:
     """All runs of up to ``max_words`` neighbouring words of a lower-case text with their own separators."""
 
     def runs(parts: Column) -> Column:
         pieces, words = parts["pieces"], parts["words"]
-        found = []
-        for k in range(1, max_words + 1):
-            starts = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1))).otherwise(
-                F.array().cast("array<int>")
-            )
-            found.append(_runs_of(starts, pieces, words, k))
+        found = [words]
+        joined = lambda a, b: F.concat(a, b)
+        before = pieces  # runs of one word less and what follows them
+        for k in range(2, max_words + 1):
+            n = F.greatest(F.size(words) - (k - 1), F.lit(0))
+            found.append(F.zip_with(F.slice(before, F.lit(1), n), F.slice(words, F.lit(k), n), joined))
+            before = F.zip_with(F.slice(before, F.lit(1), n), F.slice(pieces, F.lit(k), n), joined)
         return F.array_distinct(F.concat(*found))
 
-    split = F.struct(
-        F.regexp_extract_all(low, F.lit(r"(?U)\w+\W*"), F.lit(0)).alias("pieces"),
-        F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)).alias("words"),
-    )
-    return bind(split, runs)
+    return bind(_cut(low), runs) if max_words else string_array([])
+
+
+def _phrases_from(low: Column, heads: dict[int, set[str]]) -> Column:
+    """The runs of ``k`` neighbouring words, with their own separators, whose first word is in ``heads[k]``."""
+    if not heads:
+        return string_array([])
+    any_head = member(set().union(*heads.values()))
+
+    def runs(parts: Column) -> Column:
+        pieces, words = parts["pieces"], parts["words"]
+        starts = F.array_compact(F.transform(words, lambda w, i: F.when(any_head(w), i + 1)))
+        of = lambda at, k, head: F.filter(at, lambda i: (i <= F.size(words) - (k - 1)) & head(F.element_at(words, i)))
+        return bind(starts, lambda at: F.array_distinct(F.concat(*[_runs_of(of(at, k, member(h)), pieces, words, k) for k, h in heads.items()])))
+
+    return bind(_cut(low), runs)
 
 
 def _runs_of(starts: Column, pieces: Column, words: Column, k: int) -> Column:
