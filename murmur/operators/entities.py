@@ -19,6 +19,8 @@ from murmur.sources.dictionary import Dictionary
 
 # Above this a dictionary is joined as a table; below it is a literal of the plan.
 PLAN_TERMS = 200_000
+# A table of up to so many terms is sent to every task of the join, so that no candidate is shuffled.
+SENT_TERMS = 1_000_000
 
 
 def cashtags(text: Column, d: Dictionary) -> Column:
@@ -154,12 +156,14 @@ def tag_posts_by_join(posts: DataFrame, terms: DataFrame, max_words: int) -> Dat
     """``tag_posts`` for dictionaries too large to be constants of a plan.
 
     ``terms`` has ``kind`` (cashtag, bare, alias or blocked), ``term``, ``ticker`` and
-    ``rank``, as ``Dictionary.terms`` gives. Candidates of a post are distinct before the
-    join, so a word that occurs in every post costs one row per post; the join side of
-    such a word can be split because the dictionary holds it once. ``posts`` must be
-    unique by id.
+    ``rank``, as ``Dictionary.terms`` gives. Up to ``SENT_TERMS`` of them are sent to the
+    posts and only what is found is shuffled. Beyond, candidates are: those of a post are
+    distinct before the join, so a word that occurs in every post costs one row per post; the
+    join side of such a word can be split because the dictionary holds it once. ``posts`` must
+    be unique by id.
     """
     text = F.col("text")
+    sent = F.broadcast if terms.count() <= SENT_TERMS else lambda table: table
     cash = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(CASHTAG), F.lit(1)), lambda s: F.upper(s)))
     bare = F.array_distinct(F.regexp_extract_all(text, F.lit(BARE_SYMBOL), F.lit(1)))
     candidates = posts.select(
@@ -168,14 +172,16 @@ def tag_posts_by_join(posts: DataFrame, terms: DataFrame, max_words: int) -> Dat
             F.concat(_numbered(cash, "cashtag"), _numbered(bare, "bare"), _numbered(_phrases(F.lower(text), max_words), "alias"))
         ).alias("c"),
     ).select("id", "c.kind", "c.term", "c.pos")
-    listed = terms.filter(F.col("kind").isin(*KINDS))
+    listed = sent(terms.filter(F.col("kind").isin(*KINDS)))
     known = candidates.join(listed, ["kind", "term"]).select(
         "id", "kind", F.when(F.col("kind") == "alias", F.col("rank")).otherwise(F.col("pos")).alias("place"), "ticker"
     )
     taken = terms.filter(F.col("kind").isin("cashtag", "blocked")).select("term").distinct()
     unknown = (
-        candidates.filter((F.col("kind") == "cashtag") & F.col("term").rlike(PLAUSIBLE_SYMBOL))
-        .join(taken, "term", "left_anti")
+        posts.select("id", F.explode(_numbered(cash, "cashtag")).alias("c"))
+        .select("id", "c.kind", "c.term", "c.pos")
+        .filter(F.col("term").rlike(PLAUSIBLE_SYMBOL))
+        .join(sent(taken), "term", "left_anti")
         .select("id", "kind", F.col("pos").alias("place"), F.col("term").alias("ticker"))
     )
     order = F.when(F.col("kind") == "cashtag", 0).when(F.col("kind") == "bare", 1).otherwise(2)
