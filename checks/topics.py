@@ -25,12 +25,21 @@ def vocabulary_words(spark, d):
     return _docs(spark, d).select("doc_id", F.size(words).alias("n"), F.sha1(F.array_join(words, " ")).alias("digest"))
 
 
+def _term_table(spark, d):
+    """The term table and the number of documents; each has a term, be it ``empty``."""
+    docs = _docs(spark, d)
+    table = topics.term_table(docs.select("doc_id", "text"), terms=topics.vector_terms(F.col("text")))
+    return table, docs.agg(F.count_distinct("doc_id")).scalar()
+
+
 def tfidf_vocabulary(spark, d):
-    return topics.vocabulary(topics.term_table(_terms(spark, d))).withColumn("idf", F.round("idf", 6))
+    terms, n_docs = _term_table(spark, d)
+    return topics.vocabulary(terms, n_docs=n_docs).withColumn("idf", F.round("idf", 6))
 
 
 def tfidf_weights(spark, d):
-    return topics.tfidf_weights(topics.term_table(_terms(spark, d))).withColumn("weight", F.round("weight", 6))
+    terms, n_docs = _term_table(spark, d)
+    return topics.tfidf_weights(terms, n_docs=n_docs).withColumn("weight", F.round("weight", 6))
 
 
 def _document_vectors(spark, d):

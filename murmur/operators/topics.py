@@ -19,6 +19,8 @@ from murmur.session import materialize
 
 # Columns that the terms of a text are hashed to before the reduction, which needs a matrix of that width squared.
 HASHED_TERMS = 1024
+# Parts that the texts of one scan task are dealt to before they are cut into terms.
+PARTS_PER_SCAN = 16
 
 
 # --- vocabulary and vectors -------------------------------------------------
@@ -30,27 +32,54 @@ def vector_terms(text: Column) -> Column:
     return unigrams_and_bigrams(F.regexp_extract_all(joined, F.lit(r"\w\w+"), F.lit(0)))
 
 
-def term_table(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, count), written once; every frequency and weight is computed from it.
+def _parts(docs: DataFrame) -> int:
+    """Parts to deal texts to before they are cut into terms, so that a part's different terms fit in a task's memory."""
+    return PARTS_PER_SCAN * max(1, docs.rdd.getNumPartitions())
 
-    ``docs`` has ``terms``. Counts combine inside each task before the shuffle.
+
+def term_table(docs: DataFrame, key: str = "doc_id", terms: Column | str = "terms") -> DataFrame:
+    """(block, key, term, count); every frequency and weight is computed from it.
+
+    ``terms`` of ``docs`` are cut and counted where the rows of a key are: ``docs`` are dealt to
+    blocks by their key, which shuffles no more than they hold. Best if they hold a text that ``terms`` cuts.
     """
-    rows = docs.select(key, F.explode("terms").alias("term"))
-    return materialize(rows.groupBy(key, "term").agg(F.count("*").alias("count")), "term-table")
+    blocks = _parts(docs)
+    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    rows = docs.withColumn("block", block.alias("block", metadata={"blocks": blocks})).repartition(blocks, "block").select("block", key, F.explode(terms).alias("term"))
+    return rows.groupBy("block", key, "term").agg(F.count("*").alias("count"))
+
+
+def _documents(terms: DataFrame) -> Column:
+    return terms.agg(F.count_distinct("doc_id")).scalar()
+
 
+def _idf(n_docs: Column | int, df: str) -> Column:
+    return F.log((n_docs + F.lit(1)) / (F.col(df) + 1)) + 1
 
-def vocabulary(terms: DataFrame, min_df: int = 2) -> DataFrame:
-    """All terms of a ``term_table`` in at least ``min_df`` documents: corpus and document frequency and smooth idf."""
-    n_docs = terms.agg(F.count_distinct("doc_id")).scalar()
+
+def vocabulary(terms: DataFrame, min_df: int = 2, n_docs: Column | int | None = None) -> DataFrame:
+    """All terms of a ``term_table`` in at least ``min_df`` documents: corpus and document frequency and smooth idf.
+
+    ``n_docs`` is the number of documents with terms, counted in ``terms`` if it is not given.
+    """
+    n_docs = _documents(terms) if n_docs is None else n_docs
     stats = terms.groupBy("term").agg(F.sum("count").alias("cf"), F.count("*").alias("df")).filter(F.col("df") >= min_df)
-    return stats.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)) + 1)
+    return stats.withColumn("idf", _idf(n_docs, "df"))
 
 
-def tfidf_weights(terms: DataFrame, min_df: int = 2) -> DataFrame:
-    """Long form (doc_id, term, weight) of a ``term_table``, unit length per document; no term is cut off."""
-    idf = vocabulary(terms, min_df).select("term", "idf")
-    raw = terms.join(idf, "term").select("doc_id", "term", (F.col("count") * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("doc_id")))
+def tfidf_weights(terms: DataFrame, min_df: int = 2, n_docs: Column | int | None = None) -> DataFrame:
+    """Long form (doc_id, term, weight) of a ``term_table``, unit length per document; no term is cut off.
+
+    Each block sends its different terms and gets their idf back, as rows that lie beside those of
+    its documents: these stay in their block, and a term that all documents hold is one row per block.
+    """
+    n_docs = _documents(terms) if n_docs is None else n_docs
+    asked = terms.groupBy("block", "term").agg(F.count("*").alias("df"))
+    answers = asked.withColumn("df", F.sum("df").over(Window.partitionBy("term"))).filter(F.col("df") >= min_df)
+    idf = answers.select("block", "term", _idf(n_docs, "df").alias("idf")).repartition(terms.schema["block"].metadata["blocks"], "block")
+    beside = terms.unionByName(idf, allowMissingColumns=True).withColumn("idf", F.max("idf").over(Window.partitionBy("block", "term")))
+    raw = beside.filter("count is not null and idf is not null").select("block", "doc_id", "term", (F.col("count") * F.col("idf")).alias("raw"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("block", "doc_id")))
     return raw.select("doc_id", "term", (F.col("raw") / norm).alias("weight"))
 
 

@@ -208,3 +208,31 @@ def test_encoder_hook_feeds_the_clustering(spark):
     df = frame(spark, [post(i, 1, text="oil " * (i % 2) + "x" * (i % 5)) for i in range(60)])
     points = topics.layout(topics.reduce_vectors(topics.embed_texts(df, make), 2))
     assert points.count() == 60 and points.filter("x is null").count() == 0
+
+
+def exchanges(df):
+    """What the shuffles of a plan are dealt by, final or not."""
+    import re
+
+    return re.findall(r"Exchange (?:hashpartitioning\(([^)]*)\)|Round)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_rows_of_documents_stay_in_their_block(spark):
+    """Only texts, a block's different terms and their idf are shuffled; rows of a repeated or null id are one document."""
+    rows = [(1, "oil gas oil"), (2, "oil rate"), (2, "gas oil"), (None, "rate cut"), (None, "cut gas"), (3, "chip")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    table = topics.term_table(docs, terms=F.split("text", " "))
+    assert all(e.startswith("block") for e in exchanges(table))
+    counts = {(r["doc_id"], r["term"]): r["count"] for r in table.collect()}
+    assert counts == Counter((i, w) for i, t in rows for w in t.split())
+    weights = topics.tfidf_weights(table)
+    assert not any("doc_id" in e for e in exchanges(topics.tfidf_weights(table, n_docs=3)))
+    from math import log, sqrt
+
+    df = Counter(t for _, t in counts)
+    want = {}
+    for i in {i for i, _ in counts}:
+        raw = {t: n * (log(4 / (df[t] + 1)) + 1) for (j, t), n in counts.items() if j == i and df[t] >= 2}
+        want |= {(i, t): v / sqrt(sum(x * x for x in raw.values())) for t, v in raw.items()}
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in weights.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
