@@ -84,13 +84,15 @@ def tfidf_weights(terms: DataFrame, min_df: int = 2, n_docs: Column | int | None
 
 
 def tfidf_vectors(docs: DataFrame, width: int = HASHED_TERMS, min_df: int = 2) -> DataFrame:
-    """Add ``features``: unit TF-IDF vectors of all terms, hashed to ``width`` columns.
+    """Replace ``terms`` by ``features``: unit TF-IDF vectors of all terms, hashed to ``width`` columns.
 
-    No vocabulary is gathered anywhere; the driver sees ``width`` document frequencies.
+    No vocabulary is gathered anywhere; the driver sees ``width`` document frequencies. The hashed
+    counts are needed twice and written once, so texts are cut into terms once.
     """
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
-    counts = HashingTF(numFeatures=width, inputCol="terms", outputCol="__tf").transform(docs)
+    counts = HashingTF(numFeatures=width, inputCol="terms", outputCol="__tf").transform(docs).drop("terms")
+    counts = materialize(counts, "hashed-terms")
     weighted = IDF(minDocFreq=min_df, inputCol="__tf", outputCol="__w").fit(counts).transform(counts)
     return Normalizer(p=2.0, inputCol="__w", outputCol="features").transform(weighted).drop("__tf", "__w")
 

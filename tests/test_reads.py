@@ -236,3 +236,17 @@ def test_rows_of_documents_stay_in_their_block(spark):
         want |= {(i, t): v / sqrt(sum(x * x for x in raw.values())) for t, v in raw.items()}
     got = {(r["doc_id"], r["term"]): r["weight"] for r in weights.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_texts_are_cut_into_terms_once_for_their_vectors(spark):
+    cuts = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def words(text):
+        cuts.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(i, f"oil gas w{i % 3}") for i in range(50)], "doc_id int, text string")
+    vectors = topics.tfidf_vectors(docs.select("doc_id", words.asNondeterministic()("text").alias("terms")))
+    assert vectors.columns == ["doc_id", "features"] and len(vectors.collect()) == 50
+    assert cuts.value == 50
