@@ -182,3 +182,29 @@ def test_shingles_are_counted_per_text():
     flat, times, offsets = near_dedup.counted(*hashed.shingles(pa.array(texts, pa.large_string())))
     for i, text in enumerate(texts):
         assert sorted(times[offsets[i] : offsets[i + 1]].tolist()) == sorted(shingle_counts(text).values())
+
+
+def test_plain_texts_are_cut_into_words_together_and_the_library_gets_different_new_words_only(monkeypatch):
+    import re
+
+    from murmur.llm.bpe import _WORDS
+
+    path = inputs.tokenizer_path("word_bpe_49k.json")
+    rng = random.Random(11)
+    alphabet = list("  \n\t\r\x0b\x0c'''''stremvldLD01aXéÉßİ½²’–“”!.,<|\x00\x7f")
+    plain = ["", " ", "'", "a'", "'s", "'ll'll're", "''s", "!'s't", "1's", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(90))) for _ in range(200))]
+    found, edges = encoding.words_of(plain)
+    assert [found[a:b].to_pylist() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())] == [_WORDS.findall(t.lower()) for t in plain]
+
+    model, memo = encoding.tokenizer(path)
+    expected = [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in plain]
+    memo.clear()
+    assert encoding.word_ids(path, plain) == expected
+    assert len(memo) == len(set(found.to_pylist()))
+    assert encoding.word_ids(path, ["'s a 's"] * 3)[0] * 3 == b"".join(encoding.word_ids(path, ["'S A 'S"] * 3))
+
+    memo.clear()
+    monkeypatch.setattr(encoding, "GROUP_CHARS", 16)  # long texts are cut at white space
+    monkeypatch.setattr(encoding, "MEMO_PIECES", 30)
+    assert encoding.word_ids(path, plain + ["x" * 40 + " \n" + "y " * 30]) == expected + [np.array(model.encode("x" * 40 + " \n" + "y " * 30, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert not re.search(r"\s", "".join(memo)) and len(memo) < 200
