@@ -40,6 +40,22 @@ def test_lines_may_differ_by_a_tenth_whatever_their_length(spark):
     assert len(want) > 50
 
 
+def test_rounds_shuffle_a_share_of_the_grams_and_find_the_same_links(spark):
+    rng = random.Random(8)
+    lines = set()
+    for n in (11, 19, 20, 34, 63, 64, 65, 66, 90, 130, 300):
+        line = "".join(rng.choice("abcdefg ") for _ in range(n))
+        lines |= {line, *(spoiled(rng, line, max(1, k)) for k in (n // 10 - 1, n // 10))}
+    lines |= {"a" * n for n in (60, 63, 64, 70, 20_000, 22_000, 22_001)}
+    frame = spark.createDataFrame(list(enumerate(sorted(lines))), "id long, line string")
+    whole, rounds = (sorted(tuple(r) for r in line_dedup.line_links(frame, rounds=n).collect()) for n in (1, 5))
+    assert rounds == whole and len(whole) > 11
+    found = [pair for low in range(0, 1 << 32, 1 << 29) for pair in line_dedup.gram_rows(sorted(lines), line_dedup.Places(), low, low + (1 << 29))]
+    rows = [sum(len(pair[probing]) for pair in found) for probing in (0, 1)]
+    chars = sum(len(x) for x in lines)
+    assert rows[0] <= chars / 9 and rows[1] <= chars * 1.1  # about a row a character, in all rounds
+
+
 def similarity(x, y, n, frequency):
     weigh = lambda kept: sum(times * math.log1p(n / frequency[s]) for s, times in kept.items())
     return weigh(x & y) / weigh(x | y)
