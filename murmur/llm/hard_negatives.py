@@ -215,11 +215,12 @@ def _tasks(spark, row_blocks: DataFrame) -> int:
 def _meetings(anchors: DataFrame, row_blocks: DataFrame, tasks: int) -> DataFrame:
     """Every block of anchors beside every block of rows.
 
-    Rows are dealt to buckets once; the anchors, a hundredth of them or less, go to every bucket.
+    Rows are dealt to buckets once; the anchors, a hundredth of them or less, go to every bucket. The planner
+    takes them for as small as one copy is and would gather all copies on the driver; so both sides are shuffled.
     """
     dealt = row_blocks.select(*[F.col(c).alias(f"row_{c}") for c in row_blocks.columns], F.pmod(F.xxhash64("row_block"), F.lit(tasks)).alias("bucket"))
     sent = anchors.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
-    return dealt.join(sent, "bucket")
+    return dealt.join(sent.hint("merge"), "bucket")
 
 
 def _pairs(batches, names: list[str]):

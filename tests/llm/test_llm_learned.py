@@ -285,3 +285,13 @@ def test_text_columns_of_other_names(spark):
     docs = spark.createDataFrame([("7", "Hello there")], "`my.id` string, `my.text` string")
     coded = bpe.encode_documents(docs, id_col="my.id", text_col="my.text")
     assert [r["doc_id"] for r in bpe.decode_documents(coded).filter(F.col("text").startswith("hello")).collect()] == [7]
+
+
+def test_copies_of_the_anchors_are_never_gathered_on_the_driver(spark):
+    """A few anchors times many buckets: the planner counts one copy, which it would broadcast."""
+    blocks = spark.range(40).select(F.col("id").alias("row_block"), F.lit("v").alias("vectors"))
+    anchors = spark.range(2).select(F.col("id").alias("anchor_block"), F.lit("a").alias("vectors"))
+    met = hard_negatives._meetings(anchors, blocks, 8)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert Counter((r["row_row_block"], r["anchor_block"]) for r in met.collect()) == Counter(product(range(40), range(2)))
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
