@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.functions import fixed_values as fv
 from murmur.functions.exprs import floor_div, micros, round_to, to_utc, top_per_group, ts_lit
@@ -67,20 +71,33 @@ def vocabulary(terms: DataFrame, min_df: int = 2, n_docs: Column | int | None =
     return stats.withColumn("idf", _idf(n_docs, "df"))
 
 
+def _weigh(held: pa.Table, known: pa.Table) -> pa.Table:
+    """The rows of a block whose term is known: count times idf, unit length per document."""
+    if not known.num_rows:  # no term of the block is in enough documents
+        return held.select(["doc_id", "term"]).slice(0, 0).append_column("weight", pa.array([], pa.float64()))
+    at = pc.index_in(held["term"], value_set=known["known"].combine_chunks())
+    held = held.filter(pc.is_valid(at))
+    raw = held["count"].to_numpy() * known["idf"].to_numpy()[at.drop_null().to_numpy()]
+    doc = held["doc_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    norm = np.sqrt(np.bincount(doc, raw * raw))
+    return pa.table([held["doc_id"], held["term"], pa.array(raw / norm[doc])], ["doc_id", "term", "weight"])
+
+
 def tfidf_weights(terms: DataFrame, min_df: int = 2, n_docs: Column | int | None = None) -> DataFrame:
     """Long form (doc_id, term, weight) of a ``term_table``, unit length per document; no term is cut off.
 
-    Each block sends its different terms and gets their idf back, as rows that lie beside those of
-    its documents: these stay in their block, and a term that all documents hold is one row per block.
+    Each block sends its different terms and gets their idf back beside the rows of its documents.
+    These stay in their block, where a task looks the terms up in a hash table instead of sorting all rows
+    by term and again by document; a term that all documents hold is one row per block.
     """
     n_docs = _documents(terms) if n_docs is None else n_docs
     asked = terms.groupBy("block", "term").agg(F.count("*").alias("df"))
     answers = asked.withColumn("df", F.sum("df").over(Window.partitionBy("term"))).filter(F.col("df") >= min_df)
-    idf = answers.select("block", "term", _idf(n_docs, "df").alias("idf")).repartition(terms.schema["block"].metadata["blocks"], "block")
-    beside = terms.unionByName(idf, allowMissingColumns=True).withColumn("idf", F.max("idf").over(Window.partitionBy("block", "term")))
-    raw = beside.filter("count is not null and idf is not null").select("block", "doc_id", "term", (F.col("count") * F.col("idf")).alias("raw"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("block", "doc_id")))
-    return raw.select("doc_id", "term", (F.col("raw") / norm).alias("weight"))
+    # new columns: Spark loses those of the right side that the left one has, too
+    idf = answers.select(F.col("block").alias("asked_by"), F.col("term").alias("known"), _idf(n_docs, "df").alias("idf"))
+    idf = idf.repartition(terms.schema["block"].metadata["blocks"], "asked_by")
+    schema = T.StructType([terms.schema["doc_id"], terms.schema["term"], T.StructField("weight", T.DoubleType())])
+    return terms.groupBy("block").cogroup(idf.groupBy("asked_by")).applyInArrow(_weigh, schema)
 
 
 def tfidf_vectors(docs: DataFrame, width: int = HASHED_TERMS, min_df: int = 2) -> DataFrame:

@@ -260,3 +260,15 @@ def test_texts_are_dealt_to_parts_before_their_terms_are_counted(spark, monkeypa
     got = {(r["topic_id"], r["term"]): r["cnt"] for r in topics.cluster_term_scores(docs).collect()}
     assert got[0, "oil"] == got[1, "oil gas"] == 20
     assert [name for name, _ in written] == ["term-counts"] and "" in written[0][1]
+
+
+def test_weights_sort_only_the_different_terms_of_blocks(spark):
+    """The rows of documents are looked up where they are; blocks without a shared term and rows without an id count, too."""
+    rows = [(1, "oil gas"), (None, "oil oil gas rate"), *((i, f"only{i}") for i in range(10, 30))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    weights = topics.tfidf_weights(topics.term_table(docs, terms=F.split("text", " ")), n_docs=len(rows))
+    assert weights._jdf.queryExecution().executedPlan().toString().count("Window [") == 1
+    assert weights.dtypes == [("doc_id", "int"), ("term", "string"), ("weight", "double")]
+    got = {(r["doc_id"], r["term"]): r["weight"] for r in weights.collect()}
+    assert got.keys() == {(1, "oil"), (1, "gas"), (None, "oil"), (None, "gas")}
+    assert abs(got[1, "oil"] - 0.5**0.5) < 1e-9 and abs(got[None, "oil"] - 0.8**0.5) < 1e-9 and abs(got[None, "gas"] - 0.2**0.5) < 1e-9
