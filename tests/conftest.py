@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.maxMetadataStringLength": "1000",  # tests look for paths in plans; longer ones would be cut
         },
     )
     session.sparkContext.setLogLevel("ERROR")
